@@ -1,0 +1,10 @@
+"""Registered queries and the SQL they are checked against."""
+
+from __future__ import annotations
+
+from hydromelt.catalog import measures
+
+_TOPICS = (measures,)
+
+QUERIES = {name: fn for topic in _TOPICS for name, fn in topic.QUERIES.items()}
+ORACLES = {name: sql for topic in _TOPICS for name, sql in topic.ORACLES.items()}

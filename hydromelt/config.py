@@ -158,5 +158,7 @@ ALIAS_NOISE = r"[\s_\-./()\[\]{}]+"
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 # Work groups per shuffle partition in the similarity stage.
 NAME_SPLITS_PER_PARTITION = 4
+# Most rows a join side may have to be broadcast; layout rows run to some kilobytes.
+BROADCAST_ROWS = 5_000
 # Widest run of positions that one numbering task handles.
 NUMBERING_CHUNK = 4096

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -28,7 +29,7 @@ def ratio(a: str, b: str) -> float:
     return (1.0 - (total - 2 * common_subsequence(a, b)) / total) * 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else round(ratio(a, b), 1)
                       for a, b in zip(left, right)], dtype="float64")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
@@ -15,14 +15,18 @@ _FLOAT_TEXT = (rf"(?iU)^\s*[+-]?(?:nan|inf|infinity|(?:{_DIGITS}\.?(?:{_DIGITS})
                rf"(?:e[+-]?{_DIGITS})?)\s*$")
 
 
+# Every character Python and Unicode count as a blank.
+_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+           + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
     """Trim every Unicode blank, not only the ASCII space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def blank_to_null(text: Column) -> Column:
-    trimmed = strip(text)
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(strip(text), F.lit(""))
 
 
 def is_number_like(text: Column) -> Column:
@@ -30,9 +34,10 @@ def is_number_like(text: Column) -> Column:
 
 
 def number_text(text: Column) -> Column:
-    """The numeric part of a cell, or null when the cell is no number."""
-    return F.nullif(F.regexp_extract(F.regexp_replace(text, ",", ""), "(?U)" + C.NUMERIC_CELL, 1),
-                    F.lit(""))
+    """The numeric part of a trimmed cell, or null when the cell is no number."""
+    wide = F.octet_length(text) > F.char_length(text)
+    ascii_digits = F.when(wide, F.translate(text, "０１２３４５６７８９", "0123456789")).otherwise(text)
+    return F.nullif(F.regexp_extract(F.replace(ascii_digits, F.lit(","), F.lit("")), C.NUMERIC_CELL, 1), F.lit(""))
 
 
 def is_marker(text: Column) -> Column:
@@ -40,48 +45,54 @@ def is_marker(text: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Value of a trimmed cell; markers and other texts give null."""
-    return F.when(~is_marker(text), number_text(text)).try_cast(DECIMAL)
+    """Value of a trimmed cell; markers and other texts give null.
+
+    No marker matches the numeric pattern, so the pattern alone decides.
+    """
+    return number_text(text).try_cast(DECIMAL)
 
 
 def parse_reason(text: Column) -> Column:
-    return (F.when(text.isNull(), "empty")
-            .when(is_marker(text) | number_text(text).isNull(), "non_numeric")
-            .otherwise("ok"))
+    return F.when(text.isNull(), "empty").when(number_text(text).isNull(), "non_numeric").otherwise("ok")
 
 
-def is_censored(text: Column) -> Column:
+def is_censored(text: Column, number: Column) -> Column:
     """True for detection-limit notations such as ``<0.001``."""
-    return F.coalesce(text.rlike("^[<>≤≥]") & number_text(text).isNotNull(), F.lit(False))
+    return F.coalesce(F.left(text, F.lit(1)).isin("<", ">", "≤", "≥") & number.isNotNull(), F.lit(False))
+
+
+# One pass turns a date cell into y-m-d, or into a text no cast accepts.
+_DATE_CELL = (r"(?s)^(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{4})(\d{2})(\d{2}))(?: .*)?$|^.*$")
+_YEAR_CELL = r"^[<>≤≥]?\s*0*([1-9]\d{0,3})(?:\.\d+)?\s*$"
+_MONTH_CELL = r"(?s)^[<>≤≥]?\s*0*(?:(1[01]|[1-9])(?:\.\d+)?|(12)(?:\.0+)?)\s*$|^.*$"
 
 
 def parse_date(text: Column) -> Column:
-    """Date before the first blank, in one of four notations.
+    """Date before the first blank, as y-m-d, y/m/d, y.m.d or eight digits."""
+    return F.regexp_replace(text, _DATE_CELL, "$1$5-$3$6-$4$7").try_cast("date")
 
-    A shape test guards a single cast, so bad cells cost no exceptions.
-    """
-    head = F.split_part(text, F.lit(" "), F.lit(1))
-    parted = head.rlike(r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$")
-    packed = head.rlike(r"^\d{8}$")
-    iso = (F.when(parted, F.regexp_replace(head, "[/.]", "-"))
-           .when(packed, F.regexp_replace(head, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
-    return iso.try_cast("date")
 
+def first_of_month(year_text: Column, month_text: Column) -> Column:
+    """First day from separate year and month cells; an unusable month counts as January."""
+    year = F.lpad(F.regexp_extract(F.replace(year_text, F.lit(","), F.lit("")), _YEAR_CELL, 1), 4, "0")
+    month = F.coalesce(F.regexp_replace(month_text, _MONTH_CELL, "$1$2"), F.lit(""))
+    return F.when(year != "0000", F.concat_ws(
+        "-", year, F.when(month == "", "1").otherwise(month), F.lit("1"))).try_cast("date")
 
-def resolve_date(date_text: Column, datetime_text: Column, year_text: Column,
-                 month_text: Column) -> Column:
-    """One date from the date, date-time or year and month cells of a row."""
-    year = F.floor(parse_number(year_text)).cast("int")
-    month = parse_number(month_text)
-    month = F.when(month.between(1, 12), F.floor(month).cast("int")).otherwise(F.lit(1))
-    first = F.when(year.between(1, 9999), F.make_date(
-        F.when(year.between(1, 9999), year), month, F.lit(1)))
-    return F.coalesce(parse_date(date_text), parse_date(datetime_text), first)
 
+def resolve_dates(df: DataFrame, date_text: str, datetime_text: str, year_text: str, month_text: str,
+                  label: str) -> DataFrame:
+    """Adds ``measured_on`` and ``period_label`` from the date cells of a row.
 
-def period_label(date_text: Column, datetime_text: Column, label: Column) -> Column:
-    """The period label survives only where no full date was given."""
-    return F.when(F.coalesce(parse_date(date_text), parse_date(datetime_text)).isNull(), label)
+    A full date wins over year and month; the label survives only without one.
+    """
+    full = F.coalesce(parse_date(F.col(date_text)), parse_date(F.col(datetime_text)))
+    first = first_of_month(F.col(year_text), F.col(month_text))
+    gone = (date_text, datetime_text, year_text, month_text)
+    part = df.withColumn("_full", full).withColumn("_first", first).drop(*gone)
+    return part.withColumns({
+        "measured_on": F.coalesce("_full", "_first"),
+        "period_label": F.when(F.col("_full").isNull(), F.col(label))}).drop("_full", "_first", label)
 
 
 def quality_flag(value: Column, reason: Column, measured_on: Column, as_of: Column) -> Column:
@@ -90,11 +101,14 @@ def quality_flag(value: Column, reason: Column, measured_on: Column, as_of: Colu
             .when(value < 0, "negative"))
 
 
+# Period buckets: what rows are grouped by, and how a group is spelled. Rows are
+# grouped by a date, so only groups, not rows, are turned into text.
 BUCKETS = {
-    "month": lambda d: F.date_format(d, "yyyy-MM"),
-    "quarter": lambda d: F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string")),
-    "year": lambda d: F.year(d).cast("string"),
-    "none": lambda d: d.cast("string"),
+    "month": (lambda d: F.trunc(d, "month"), lambda g: F.date_format(g, "yyyy-MM")),
+    "quarter": (lambda d: F.trunc(d, "quarter"),
+                lambda g: F.concat(F.year(g).cast("string"), F.lit("-Q"), F.quarter(g).cast("string"))),
+    "year": (lambda d: F.trunc(d, "year"), lambda g: F.year(g).cast("string")),
+    "none": (lambda d: d, lambda g: g.cast("string")),
 }
 
 METRICS = {"avg": F.avg, "max": F.max, "min": F.min, "count": F.count}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
@@ -93,20 +93,24 @@ def series(measurements: DataFrame, request: AnalysisRequest) -> DataFrame:
     request = request.with_defaults()
     number = values.METRICS[request.metric](F.col("value_num"))
     rounded = number if request.metric == "count" else F.round(number, 4)
+    grouped, spelled = values.BUCKETS[request.bucket]
     return (measurements.where(condition(request))
-            .groupBy(values.BUCKETS[request.bucket](F.col("measured_on")).alias("bucket"), "item_code")
+            .groupBy(grouped(F.col("measured_on")).alias("_period"), "item_code")
             .agg(rounded.alias("value"), F.count("*").alias("n"),
-                 F.count_if(F.col("value_num").isNull()).alias("missing"), F.min("unit").alias("unit")))
+                 F.count_if(F.col("value_num").isNull()).alias("missing"), F.min("unit").alias("unit"))
+            .select(spelled(F.col("_period")).alias("bucket"), "item_code", "value", "n", "missing", "unit"))
 
 
 def capped_series(points: DataFrame, cap: int = C.MAX_SERIES_ROWS) -> DataFrame:
-    """The ordered series, at most ``cap`` points, flagged when more exist."""
+    """The ordered series, at most ``cap`` points, flagged when more exist.
+
+    The window spans the capped result only: cap + 1 rows at most.
+    """
     part = capped(points, [F.col("bucket"), F.col("item_code")], cap)
-    seen = part.agg(F.count("*").alias("_seen"))
-    # One-row side: the count of at most cap + 1 rows.
-    flagged = part.withColumn("_one", F.lit(1)).join(seen.withColumn("_one", F.lit(1)), "_one").withColumn(
-        "truncated", F.col("_seen") > cap).drop("_one", "_seen")
-    return flagged.orderBy("bucket", "item_code").limit(cap)
+    ordered = Window.orderBy("bucket", "item_code")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return part.select("*", (F.count("*").over(whole) > cap).alias("truncated"),
+                       F.row_number().over(ordered).alias("_nth")).where(F.col("_nth") <= cap).drop("_nth")
 
 
 def series_limits(limits: DataFrame, request: AnalysisRequest) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.functions import values
-from hydromelt.operators.matching import contained_in
+from hydromelt.operators.joins import checked_broadcast
 from hydromelt.operators.numbering import top_per
 
-_MEASURE = "array<struct<column_index:int,code:string,raw:string,unit:string,limit_index:int>>"
-
 
 def value_subset(cells_long: DataFrame, keys: list[str], value: str, allowed: tuple[str, ...]) -> DataFrame:
     """Per key: whether all filled values lie inside ``allowed`` (and any exist)."""
@@ -39,63 +37,56 @@ def sample_type_columns(columns: DataFrame, data: DataFrame) -> DataFrame:
     return by_name.unionByName(by_value).groupBy("file_id").agg(F.min("column_index").alias("sample_type"))
 
 
-def resolve_roles(columns: DataFrame, sample_types: DataFrame, priority: bool = False) -> DataFrame:
-    """Column index per role and file.
+def file_layouts(columns: DataFrame, sample_types: DataFrame, units: DataFrame | None = None,
+                 priority: bool = False) -> DataFrame:
+    """One row per file: position of every role, and its measured columns.
 
     The leftmost column of a role serves it; with ``priority`` the code listed
-    first for the role does. The sample-type column serves no other role.
+    first for the role does. The sample-type column serves no other role. Each
+    measured column carries the limit column that reports on it. One pass over
+    the columns; a file's list is as long as its rows are wide.
     """
-    open_to = (columns.join(sample_types, "file_id", "left")
-               .where(F.col("sample_type").isNull() | (F.col("column_index") != F.col("sample_type")))
-               .where(F.col("code").isNotNull() & ~F.col("code").isin(*C.LIMIT_CODES)
-                      & ~F.col("dict_type").eqNullSafe(C.DICT_MEASUREMENT)))
-
-    def pick(codes: tuple[str, ...]) -> Column:
-        place = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("code"))
-        order = F.struct(place, F.col("column_index")) if priority else F.col("column_index")
-        return F.min_by(F.when(place > 0, F.col("column_index")), F.when(place > 0, order))
-
-    roles = open_to.groupBy("file_id").agg(*[pick(codes).alias(role) for role, codes in C.ROLE_CODES.items()])
-    every = columns.select("file_id").distinct()
-    return every.join(roles, "file_id", "left").join(sample_types, "file_id", "left")
-
-
-def limit_columns(columns: DataFrame) -> DataFrame:
-    """Columns that carry a reported limit, with the item label they belong to.
+    if units is not None:
+        columns = columns.drop("unit").join(units.select("code", "unit"), "code", "left")
+    elif "unit" not in columns.columns:
+        columns = columns.withColumn("unit", F.lit(None).cast("string"))
+    label = F.replace(F.coalesce(F.nullif("site", F.lit("")), F.col("raw")), F.lit(" "), F.lit(""))
+    entry = F.struct("column_index", "code", "raw", "unit", label.alias("label"),
+                     F.col("dict_type").eqNullSafe(C.DICT_MEASUREMENT).alias("measured"),
+                     F.col("code").isin(*C.LIMIT_CODES).alias("reports_limit"))
+    lists = (columns.groupBy("file_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+             .join(sample_types, "file_id", "left"))
+    usable = F.filter("entries", lambda e: e["code"].isNotNull() & ~e["column_index"].eqNullSafe(
+        F.col("sample_type")))
+    part = lists.select(
+        "file_id", "sample_type",
+        F.filter(usable, lambda e: e["reports_limit"] & (e["label"] != "")).alias("limits"),
+        F.filter(usable, lambda e: e["measured"] & ~e["reports_limit"]).alias("items"),
+        F.filter(usable, lambda e: ~e["measured"] & ~e["reports_limit"]).alias("others"))
+    roles = [_role(codes, priority).alias(role) for role, codes in C.ROLE_CODES.items()]
+    return part.select("file_id", "sample_type", *roles, F.transform("items", lambda e: F.struct(
+        e["column_index"].alias("column_index"), e["code"].alias("code"), e["raw"].alias("raw"),
+        e["unit"].alias("unit"), _limit_of(e["raw"]).alias("limit_index"))).alias("measures"))
+
+
+def _role(codes: tuple[str, ...], priority: bool) -> Column:
+    """Index of the column serving a role."""
+    listed = F.array(*[F.lit(c) for c in codes])
+    fits = F.filter("others", lambda e: F.array_contains(listed, e["code"]))
+    ranked = F.array_sort(F.transform(fits, lambda e: F.struct(
+        (F.array_position(listed, e["code"]) if priority else F.lit(0)).alias("rank"), e["column_index"])))
+    return F.get(ranked, F.lit(0))["column_index"]
+
+
+def _limit_of(raw: Column) -> Column:
+    """The limit column of an item: the first whose label occurs in the item's name.
 
     A label that repeats in a file keeps its first place but its last column.
     """
-    part = columns.where(F.col("code").isin(*C.LIMIT_CODES)).withColumn(
-        "label", F.coalesce(F.nullif("site", F.lit("")), F.col("raw")))
-    return part.groupBy("file_id", "label").agg(
-        F.min("column_index").alias("limit_order"), F.max("column_index").alias("limit_index"))
-
-
-def attach_limits(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """First limit column whose label occurs in the measured column's name, blanks ignored."""
-    tight = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    labels = limits.where(F.col("label") != "").withColumn("_label", tight("label"))
-    names = measured.select("file_id", "raw").distinct().withColumn("_name", tight("raw"))
-    held = contained_in(labels, "_label", names, "_name", on=("file_id",)).join(
-        names.withColumnRenamed("file_id", "_f"), ["_name"]).where(F.col("file_id") == F.col("_f"))
-    best = held.groupBy("file_id", "raw").agg(F.min_by("limit_index", "limit_order").alias("limit_index"))
-    return measured.join(best, ["file_id", "raw"], "left")
-
-
-def file_layouts(columns: DataFrame, roles: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """One row per file: role positions and the list of its measured columns."""
-    measured = columns.where((F.col("dict_type") == C.DICT_MEASUREMENT) & F.col("code").isNotNull()
-                             & ~F.col("code").isin(*C.LIMIT_CODES))
-    measured = measured.join(roles.select("file_id", "sample_type"), "file_id", "left").where(
-        F.col("sample_type").isNull() | (F.col("column_index") != F.col("sample_type"))).drop("sample_type")
-    measured = attach_limits(measured, limit_columns(columns))
-    if units is not None:
-        measured = measured.join(units.select("code", "unit"), "code", "left")
-    else:
-        measured = measured.withColumn("unit", F.lit(None).cast("string"))
-    lists = measured.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(
-        "column_index", "code", "raw", "unit", "limit_index"))).cast(_MEASURE).alias("measures"))
-    return roles.join(lists, "file_id")
+    name = F.replace(raw, F.lit(" "), F.lit(""))
+    label = F.get(F.filter("limits", lambda e: F.contains(name, e["label"])), F.lit(0))["label"]
+    same = F.filter("limits", lambda e: e["label"] == label)
+    return F.when(F.size("limits") > 0, F.try_element_at(same, F.lit(-1))["column_index"])
 
 
 def _cell(index: Column) -> Column:
@@ -108,36 +99,34 @@ def melt(data: DataFrame, layouts: DataFrame, as_of: Column) -> DataFrame:
     The layout is joined before the rows fan out, and only measured columns
     are fanned out. A blank cell gives no record: missing is not zero.
     """
-    wide = data.join(layouts, "file_id").select(
-        "file_id", "source_row", "cells",
-        *[_cell(F.col(role)).alias(f"{role}_text") for role in (*C.ROLE_CODES, "sample_type")], "measures")
-    dated = wide.select(
-        "file_id", "source_row", F.col("site_text").alias("site_name"), F.col("outlet_text").alias("outlet"),
-        F.col("sample_type_text").alias("sample_type"),
-        values.resolve_date(F.col("date_text"), F.col("datetime_text"), F.col("year_text"),
-                            F.col("month_text")).alias("measured_on"),
-        values.period_label(F.col("date_text"), F.col("datetime_text"), F.col("period_text")).alias("period_label"),
-        "cells", F.explode("measures").alias("m"))
-    cell = dated.withColumn("text", _cell(F.col("m.column_index"))).where("text is not null")
-    return typed_records(cell.withColumnRenamed("m", "_m").select(
+    wide = data.join(checked_broadcast(layouts), "file_id").select(
+        "file_id", "source_row", "cells", "measures", _cell(F.col("site")).alias("site_name"),
+        _cell(F.col("outlet")).alias("outlet"), _cell(F.col("sample_type")).alias("sample_type"),
+        *[_cell(F.col(role)).alias(f"{role}_text") for role in ("date", "datetime", "year", "month", "period")])
+    dated = values.resolve_dates(wide, "date_text", "datetime_text", "year_text", "month_text", "period_text")
+    # Row-level work ends before the rows fan out.
+    fanned = dated.select("file_id", "source_row", "site_name", "outlet", "sample_type", "measured_on",
+                          "period_label", "cells", "measures").select("*", F.explode("measures").alias("m"))
+    return typed_records(fanned.select(
         "file_id", "source_row", "site_name", "outlet", "sample_type", "measured_on", "period_label",
-        F.col("_m.raw").alias("source_column"), F.col("_m.column_index").alias("source_column_index"),
-        F.col("_m.code").alias("item_code"), F.col("_m.unit").alias("unit"), "text",
-        _cell(F.col("_m.limit_index")).alias("limit_text")), as_of)
+        F.col("m.raw").alias("source_column"), F.col("m.column_index").alias("source_column_index"),
+        F.col("m.code").alias("item_code"), F.col("m.unit").alias("unit"),
+        _cell(F.col("m.column_index")).alias("text"), _cell(F.col("m.limit_index")).alias("limit_text")
+    ).where("text is not null"), as_of)
 
 
 def typed_records(cells: DataFrame, as_of: Column) -> DataFrame:
     """Parse the text of long cells into value, flags and reported limit."""
-    text, limit = F.col("text"), F.col("limit_text")
-    part = cells.withColumn("value_num", values.parse_number(text)).withColumn(
-        "_reason", values.parse_reason(text))
-    return part.select(
+    text, number = F.col("text"), F.col("_number")
+    reason = F.when(number.isNull(), "non_numeric").otherwise("ok")
+    return cells.withColumn("_number", values.number_text(text)).withColumn(
+        "value_num", number.try_cast(values.DECIMAL)).select(
         "file_id", "source_row", "source_column", "source_column_index", "site_name", "outlet", "sample_type",
         "measured_on", "period_label", "item_code", "unit", "value_num",
-        F.left(text, F.lit(C.VALUE_TEXT_LENGTH)).alias("value_text"),
-        (F.col("_reason") == "ok").alias("is_numeric"), values.is_censored(text).alias("censored"),
-        values.parse_number(limit).alias("reported_limit"),
-        values.quality_flag(F.col("value_num"), F.col("_reason"), F.col("measured_on"), as_of).alias("quality_flag"))
+        F.left(text, F.lit(C.VALUE_TEXT_LENGTH)).alias("value_text"), number.isNotNull().alias("is_numeric"),
+        values.is_censored(text, number).alias("censored"),
+        values.parse_number(F.col("limit_text")).alias("reported_limit"),
+        values.quality_flag(F.col("value_num"), reason, F.col("measured_on"), as_of).alias("quality_flag"))
 
 
 def melt_table(wide: DataFrame, ids: list[str], measures: dict[str, tuple[int, str, str]]) -> DataFrame:

@@ -15,8 +15,7 @@ from hydromelt.sources import ndjson, sinks
 def layouts_of(columns: DataFrame, data: DataFrame, units: DataFrame | None = None,
                priority: bool = False) -> DataFrame:
     """Roles and measured columns per file."""
-    samples = melt.sample_type_columns(columns, data)
-    return melt.file_layouts(columns, melt.resolve_roles(columns, samples, priority), units)
+    return melt.file_layouts(columns, melt.sample_type_columns(columns, data), units, priority)
 
 
 def records_of(columns: DataFrame, data: DataFrame, as_of: date, overrides: DataFrame | None = None,

@@ -55,3 +55,13 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a few large input splits out over all cores before per-row work.
+
+    Inputs that already come in at least one split per core, as any large table
+    does, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

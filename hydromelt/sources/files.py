@@ -17,8 +17,9 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydromelt import config as C
 from hydromelt import schemas
@@ -47,7 +48,7 @@ def content_hashes(files: DataFrame) -> DataFrame:
     return files.select("path", "filename", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def is_excel(name) -> F.Column:
+def is_excel(name: Column) -> Column:
     return name.rlike(_suffixes(C.EXCEL_SUFFIXES))
 
 
@@ -184,7 +185,7 @@ def read_cells(files: DataFrame) -> DataFrame:
     return part.mapInPandas(_parse_files, schemas.CELLS)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _split_line(line: pd.Series, encoding: pd.Series) -> pd.Series:
     def cells(raw, name):
         row = next(iter(csv.reader([bytes(raw).decode(name)])), [])
@@ -193,7 +194,7 @@ def _split_line(line: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([cells(raw, name) for raw, name in zip(line, encoding)])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _fits_cp949(line: pd.Series) -> pd.Series:
     def fits(raw) -> bool:
         try:
