@@ -9,23 +9,15 @@ from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.catalog import standins as S
+from hydromelt.catalog.registry import Topic
 from hydromelt.functions import values
-from hydromelt.operators import analysis, headers, numbering, paging, standards, summaries
+from hydromelt.operators import analysis, headers, numbering, paging, quality, standards, summaries
 from hydromelt.operators import melt as melting
 from hydromelt.operators.analysis import AnalysisRequest
 from hydromelt.plans import ingest
 from hydromelt.session import spread
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return register
+query = Topic()
 
 
 # --- melt ----------------------------------------------------------------------
@@ -116,8 +108,7 @@ def melt_unpivot(spark, folder):
 @query(f"""SELECT item_code, quality_flag, CAST(count(*) AS BIGINT) AS n FROM ({_melt_sql("''")})
   WHERE quality_flag IS NOT NULL GROUP BY ALL""")
 def quality_flags(spark, folder):
-    from hydromelt.operators import quality
-    return quality.negative_or_future(_melted(spark, folder))
+    return quality.flag_counts(_melted(spark, folder))
 
 
 @query("""SELECT s_suppkey AS file_id, 0 AS site, 1 AS outlet, 2 AS sample_type, 3 AS "date",
@@ -292,12 +283,28 @@ def owner_semi(spark, folder):
     return rows.groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(S.with_tables("m limits", f"""SELECT 'run-1' AS execution_id, '{C.RULESET_VERSION}' AS ruleset_version,
+  CAST(count(*) AS BIGINT) AS row_count, false AS truncated, 0 AS assumed, CAST(sum(n) AS BIGINT) AS values_seen,
+  sum(value) AS value_sum, (SELECT CAST(count(*) AS BIGINT) FROM lines) AS limit_lines,
+  CAST(count(*) FILTER (EXISTS (SELECT 1 FROM lines l WHERE l.item_code = p.item_code AND (value > limit_max OR value < limit_min)))
+  AS BIGINT) AS exceeded_count FROM points p""",
+                     points="""SELECT year(measured_on) || '-Q' || quarter(measured_on) AS bucket, item_code,
+  CAST(max(value_num) AS DOUBLE) AS value, count(*) AS n FROM m GROUP BY 1, 2""",
+                     lines="""SELECT * FROM limits WHERE standard_set = '배출허용기준' AND (region_grade IS NULL OR region_grade = '가지역')
+  AND (scale IS NULL OR scale = 'large')"""))
 def analysis_record(spark, folder):
-    """The stored record of a run: conditions, series and limits as JSON, with counts."""
-    request = AnalysisRequest(region_grade="가지역", scale="large", bucket="quarter")
+    """The stored record of a run, its JSON columns read back and summed up."""
+    request = AnalysisRequest(region_grade="가지역", scale="large", bucket="quarter", metric="max",
+                              from_date=date(1990, 1, 1))
     points = analysis.series(S.measurements(spark, folder), request)
-    return analysis.run_record(points, analysis.series_limits(S.limits(spark), request), request, "", "run-1")
+    record = analysis.run_record(points, analysis.series_limits(S.limits(spark), request), request, "", "run-1")
+    series = F.from_json("series", "array<struct<value:double,n:bigint>>")
+    total = lambda field: F.aggregate(F.transform(series, lambda p: p[field].cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return record.select(
+        "execution_id", "ruleset_version", F.col("row_count").cast("bigint").alias("row_count"), "truncated",
+        F.size(F.from_json("assumptions", "array<string>")).alias("assumed"), total("n").cast("bigint").alias("values_seen"),
+        total("value").alias("value_sum"), F.size(F.from_json("limits", "array<struct<item_code:string>>")).cast(
+            "bigint").alias("limit_lines"), F.col("exceeded_count").cast("bigint").alias("exceeded_count"))
 
 
 # --- limits --------------------------------------------------------------------

@@ -311,9 +311,9 @@ CTES = {
 }
 
 
-def with_tables(names: str, query: str, **extra: str) -> str:
+def with_tables(tables: str, query: str, /, **extra: str) -> str:
     """A query over the named stand-in tables and further expressions, in order."""
-    parts = [f"{n} AS ({CTES[n]})" for n in names.split()] + [f"{n} AS ({sql})" for n, sql in extra.items()]
+    parts = [f"{n} AS ({CTES[n]})" for n in tables.split()] + [f"{n} AS ({sql})" for n, sql in extra.items()]
     return f"WITH {', '.join(parts)} {query}" if parts else query
 
 

@@ -129,8 +129,15 @@ def remaining_rows(inventory: DataFrame, owner: int) -> DataFrame:
     return inventory.where((F.col("owner_user_id") == owner) & (F.col("n") > 0))
 
 
-def negative_or_future(measurements: DataFrame) -> DataFrame:
-    return measurements.where(F.col("quality_flag").isNotNull()).groupBy("item_code", "quality_flag").agg(
-        F.count("*").alias("n"))
-
-
+def flag_counts(measurements: DataFrame) -> DataFrame:
+    """Flagged values per item and flag.
+
+    Counted in one pass; filtering on the flag first would make Spark parse
+    every cell once more for the filter.
+    """
+    flags = ("non_numeric", "future_date", "negative")
+    counted = measurements.groupBy("item_code").agg(*[
+        F.count_if(F.col("quality_flag") == flag).alias(flag) for flag in flags])
+    return counted.select("item_code", F.explode(F.array(*[
+        F.struct(F.lit(flag).alias("quality_flag"), F.col(flag).alias("n")) for flag in flags])).alias("f")).select(
+        "item_code", "f.*").where("n > 0")

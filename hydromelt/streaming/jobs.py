@@ -12,7 +12,9 @@ from hydromelt.sources import ndjson, sinks
 
 def rate_counts(usage: DataFrame, lateness: str = "2 minutes") -> DataFrame:
     """Requests per key and minute over an event stream; late rows beyond ``lateness`` are dropped."""
-    return (usage.withWatermark("requested_at", lateness)
+    # Watermarks need an instant, so a zoneless time is read in the session's zone.
+    return (usage.withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+            .withWatermark("requested_at", lateness)
             .groupBy("api_key_id", F.window("requested_at", "1 minute").alias("w"))
             .agg(F.count("*").alias("requests"))
             .select("api_key_id", F.col("w.start").alias("minute"), "requests"))
