@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from hydromelt import session  # noqa: E402
 
@@ -76,4 +76,3 @@ def samples(tmp_path_factory):
     return str(folder)
 
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
