@@ -31,7 +31,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit(" site-"), F.col("l_suppkey").cast("string")), F.col("l_returnflag"), S._sample_type(),
         F.date_format("l_shipdate", "yyyy.MM.dd HH:mm"), quantity, S.money("l_extendedprice"), discount, tax,
         (F.col("l_linenumber") * 8).cast("string"))
-    return spread(S.table(spark, folder, "lineitem")).select(
+    return spread(S.table(spark, folder, "lineitem"), "l_orderkey").select(
         F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("source_row"), cells.alias("cells"))
 
 
@@ -89,7 +89,7 @@ def melt(spark, folder):
 @query(_melt_sql("'site-' || l_suppkey"))
 def melt_unpivot(spark, folder):
     """The same records from the typed table, by unpivoting its known columns."""
-    wide = spread(S.table(spark, folder, "lineitem")).select(
+    wide = spread(S.table(spark, folder, "lineitem"), "l_orderkey").select(
         F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("source_row"),
         F.concat(F.lit("site-"), F.col("l_suppkey").cast("string")).alias("site_name"),
         F.col("l_returnflag").alias("outlet"), S._sample_type().alias("sample_type"),

@@ -53,7 +53,7 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
         (F.when(F.col(c) > 0, F.col(c)) if c == "l_discount" else F.col(c)).cast(values.DECIMAL).alias("value_num"),
         ((F.col("l_linenumber") * 8).cast(values.DECIMAL) if i == 4 else none).alias("reported_limit"))
         for i, name, code, c in MEASURES]
-    long = spread(table(spark, folder, "lineitem")).select(
+    long = spread(table(spark, folder, "lineitem"), "l_orderkey").select(
         F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("source_row"),
         F.concat(F.lit("site-"), F.col("l_suppkey").cast("string")).alias("site_name"),
         F.col("l_returnflag").alias("outlet"), _sample_type().alias("sample_type"),

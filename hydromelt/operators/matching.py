@@ -49,7 +49,9 @@ def first_hits(keyed: DataFrame, lexicon: DataFrame) -> DataFrame:
     hit = F.struct("via", "site", *_ENTRY)
     found = keyed.join(lexicon.select(*_ENTRY), F.col("key") == F.col("variant_norm"), "left")
     known = F.col("variant_norm").isNotNull()
-    return found.groupBy("raw", "body", "paren_tokens").agg(
+    # Grouped by the name alone, whose distinct rows are already placed by it.
+    return found.groupBy("raw").agg(
+        F.any_value("body").alias("body"), F.any_value("paren_tokens").alias("paren_tokens"),
         F.min_by(F.when(known, hit), F.when(known, F.col("rank"))).alias("hit"))
 
 

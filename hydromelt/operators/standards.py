@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.functions import values
+from hydromelt.operators.joins import checked_broadcast
 from hydromelt.operators.numbering import first_per
 
 LIMIT_KEY = ("standard_set", "item_code", "region_grade", "scale")
@@ -83,7 +84,7 @@ def exceedances(measurements: DataFrame, limits: DataFrame, standard_set: str =
     applying = applicable_limits(limits, standard_set, region_grade, checked_scale(scale)).select(
         "item_code", "limit_min", "limit_max", F.col("source").alias("limit_source"))
     value, low, high = F.col("value_num"), F.col("limit_min"), F.col("limit_max")
-    return (measurements.where(value.isNotNull() & not_influent()).join(applying, "item_code")
+    return (measurements.where(value.isNotNull() & not_influent()).join(checked_broadcast(applying), "item_code")
             .withColumn("verdict", values.limit_verdict(value, low, high)).where("verdict is not null"))
 
 

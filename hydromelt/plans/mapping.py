@@ -33,7 +33,7 @@ def file_facts(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Name, stem, encoding, header row and raggedness per file."""
     facts = cells.where("row_idx >= 0").groupBy("file_id").agg(
         F.max("encoding").alias("encoding_detected"), F.bool_or("ragged").alias("ragged"))
-    name = F.url_decode(F.regexp_extract("file_id", r"([^/]+)$", 1))
+    name = F.regexp_extract("file_id", r"([^/]+)$", 1)
     return facts.join(header_rows.select("file_id", "header_row"), "file_id").withColumn(
         "filename", name).withColumn("stem", F.regexp_replace("filename", r"\.[^.]*$", ""))
 

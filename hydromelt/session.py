@@ -57,11 +57,12 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """Deal a few large input splits out over all cores before per-row work.
 
     Inputs that already come in at least one split per core, as any large table
-    does, are left alone.
+    does, are left alone. ``by`` names columns to deal by, which spares the sort
+    of a round-robin exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)

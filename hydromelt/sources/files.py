@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from hydromelt import config as C
 from hydromelt import schemas
+from hydromelt.functions.values import any_of
+from hydromelt.operators.joins import checked_broadcast
+from hydromelt.session import stage
 
 _BATCH_ROWS = 20_000
 
@@ -31,17 +34,23 @@ def _suffixes(suffixes: tuple[str, ...]) -> str:
     return "(?i)(" + "|".join(re.escape(s) for s in suffixes) + ")$"
 
 
+def plain_path(path: Column) -> Column:
+    """A metadata path, which comes percent-encoded, as the file system spells it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _hidden(name: Column) -> Column:
+    return any_of([name.startswith(prefix) for prefix in C.SKIPPED_NAME_PREFIXES])
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """Data files below a folder with their size; lock files and dotfiles are left out.
 
     The content column is only read by plans that select it.
     """
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-             .withColumn("filename", F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))))
-    hidden = F.lit(False)
-    for prefix in C.SKIPPED_NAME_PREFIXES:
-        hidden = hidden | F.col("filename").startswith(prefix)
-    return found.where(F.col("filename").rlike(_suffixes(C.DATA_SUFFIXES)) & ~hidden)
+             .withColumn("filename", F.regexp_extract("path", r"([^/]+)$", 1)))
+    return found.where(F.col("filename").rlike(_suffixes(C.DATA_SUFFIXES)) & ~_hidden(F.col("filename")))
 
 
 def content_hashes(files: DataFrame) -> DataFrame:
@@ -206,51 +215,56 @@ def _fits_cp949(line: pd.Series) -> pd.Series:
     return line.map(fits)
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Cell grid of large CSV files, split inside files.
+def _large_csv(length: Column, name: Column, whole_bytes: int) -> Column:
+    return (length > whole_bytes) & ~is_excel(name)
 
-    Lines are numbered per file block and shifted by the lines of earlier
-    blocks. Only for files whose quoted cells hold no line breaks; see
-    :func:`has_broken_quotes`.
+
+def read_lines(spark: SparkSession, folder: str, whole_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(cell grid, unsplittable files) of the large CSV files of a folder, split inside files.
+
+    Lines are written once with their task-local number, so that numbering and
+    parsing see the same split. A line's row index is its place in its file
+    block plus the lines of earlier blocks; no line is shuffled for it. Files
+    with a line break inside quotes cannot be split and are listed apart.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("line"))
-    lines = lines.where(F.trim(F.col("line").cast("string")) != "")
-    own = F.row_number().over(Window.partitionBy("file_id", "block").orderBy("_id"))
-    sizes = lines.groupBy("file_id", "block").agg(
-        F.count("*").alias("rows"), F.bool_and(F.expr("is_valid_utf8(cast(line as string))")).alias("utf8"),
-        F.bool_and(_fits_cp949(F.col("line"))).alias("cp949"))
+    meta = F.col("_metadata")
+    name = plain_path(meta["file_name"])
+    text = (spark.read.option("recursiveFileLookup", True).text(folder)
+            .where(_large_csv(meta["file_size"], name, whole_bytes) & name.rlike(_suffixes(C.DATA_SUFFIXES))
+                   & ~_hidden(name))
+            .where(F.trim("value") != "")
+            .select(plain_path(meta["file_path"]).alias("file_id"), meta["file_block_start"].alias("block"),
+                    F.col("value").cast("binary").alias("line")))
+    lines = stage(text.withColumn("id", F.monotonically_increasing_id()), "lines")
+    quotes = F.octet_length("line") - F.octet_length(F.replace(F.col("line").cast("string"), F.lit('"'), F.lit("")))
+    blocks = stage(lines.groupBy("file_id", "block").agg(
+        F.count("*").alias("rows"), F.min("id").alias("first_id"), F.bool_or(quotes % 2 == 1).alias("broken"),
+        F.bool_and(F.expr("is_valid_utf8(cast(line as string))")).alias("utf8"),
+        F.bool_and(_fits_cp949(F.col("line"))).alias("cp949")), "blocks")
+    whole = blocks.groupBy("file_id").agg(
+        F.bool_or("broken").alias("broken"),
+        F.when(F.bool_and("utf8"), "utf-8-sig").when(F.bool_and("cp949"), "cp949").alias("encoding"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file_id")
-    shifts = sizes.select("file_id", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("shift"),
-                          F.when(F.min("utf8").over(whole), "utf-8-sig").when(F.min("cp949").over(whole), "cp949")
-                          .alias("encoding"))
-    numbered = lines.withColumn("own", own).join(shifts, ["file_id", "block"])
+    shifts = blocks.select("file_id", "block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first_id")
+                                                ).alias("shift")).join(whole.where(~F.col("broken")), "file_id")
+    numbered = lines.join(checked_broadcast(shifts, C.BROADCAST_BLOCKS), ["file_id", "block"])
     cells = _split_line(F.col("line"), F.coalesce("encoding", F.lit("latin-1")))
-    return numbered.select("file_id", "encoding", F.lit(False).alias("ragged"),
-                           (F.col("own") + F.col("shift") - 1).alias("row_idx"),
+    grid = numbered.select("file_id", "encoding", F.lit(False).alias("ragged"),
+                           (F.col("id") + F.col("shift")).alias("row_idx"),
                            F.when(F.col("encoding").isNotNull(), cells).alias("cells"))
-
-
-def has_broken_quotes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Large files with a line whose quotes do not pair up: those must be read whole."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_id"), "value")
-    odd = F.length(F.regexp_replace(F.col("value").cast("binary").cast("string"), '[^"]', "")) % 2 == 1
-    return lines.groupBy("file_id").agg(F.bool_or(odd).alias("broken")).where("broken")
+    return grid, whole.where("broken").select("file_id")
 
 
 def read_folder(spark: SparkSession, folder: str, whole_bytes: int = C.WHOLE_FILE_BYTES) -> DataFrame:
     """Cell grid of all data files of a folder, large CSV files split over tasks."""
     files = discover(spark, folder)
-    big = files.where((F.col("length") > whole_bytes) & ~is_excel(F.col("filename"))).select("path")
-    paths = [row["path"] for row in big.toLocalIterator()]
-    if not paths:
+    large = _large_csv(F.col("length"), F.col("filename"), whole_bytes)
+    if files.where(large).select("path").isEmpty():
         return read_cells(files)
-    broken = {row["file_id"] for row in has_broken_quotes(spark, paths).toLocalIterator()}
-    split = [p for p in paths if p not in broken]
-    whole = read_cells(files.where(~F.col("path").isin(split)) if split else files)
-    return whole.unionByName(read_lines(spark, split)) if split else whole
+    grid, unsplittable = read_lines(spark, folder, whole_bytes)
+    unsplittable = unsplittable.select(F.col("file_id").alias("path"))
+    few = files.where(large).join(checked_broadcast(unsplittable), "path", "left_semi")
+    return read_cells(files.where(~large)).unionByName(read_cells(few)).unionByName(grid)
 
 
 def unreadable(cells: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydromelt import schemas
+from hydromelt.sources.files import plain_path
 
 _FIELDS = ("source_row", "source_column", "source_column_index", "site_name", "outlet", "sample_type",
            "measured_on", "period_label", "item_code", "unit", "value_num", "value_text", "is_numeric",
@@ -51,5 +52,5 @@ def parse_meta(lines: DataFrame, value: str = "value") -> DataFrame:
 def read_records(spark: SparkSession, path: str, file_id: Column | None = None) -> DataFrame:
     """Records of NDJSON files; each file stands for one source file."""
     lines = spark.read.text(path).select(
-        (F.col("_metadata.file_path") if file_id is None else file_id).alias("file_id"), "value")
+        (plain_path(F.col("_metadata.file_path")) if file_id is None else file_id).alias("file_id"), "value")
     return parse_lines(lines)

@@ -20,12 +20,10 @@ def write_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
 def write_measurements(records: DataFrame, path: str) -> None:
     """Replace the stored measurements of every file in ``records``.
 
-    Rows are spread over several writers per file, so a very large file does
-    not end in one task, and sorted by item and date for row-group pruning.
+    Rebalancing gathers small files into few writers and splits a very large
+    one over many; rows are sorted by item and date for row-group pruning.
     """
-    spread = F.pmod(F.xxhash64("source_row"), F.lit(16))
-    sized = records.repartition("file_id", "item_code", spread).sortWithinPartitions(
-        "file_id", "item_code", "measured_on")
+    sized = records.hint("rebalance", F.col("file_id")).sortWithinPartitions("file_id", "item_code", "measured_on")
     write_partitions(sized, path, ("file_id",))
 
 
