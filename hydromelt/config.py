@@ -86,6 +86,25 @@ REVIEW_SOURCE = {
     "reliability": "observed",
 }
 
+EVIDENCE_PREFIX = "출처파일: "
+IMPORT_NOTE = ("리뷰 대기열 승인 (판정자: ", ")")
+
+# --- fixed values: report keys and official table headers --------------------
+REPORT_KEYS = {"filename": "파일", "header_row": "헤더 행"}
+REPORT_COLUMN_KEYS = {
+    "raw": "원본명", "normalized": "정규화명", "status": "결과", "via": "판정경로", "any_code": "표준코드",
+    "site": "지점명", "output_column": "출력 컬럼명", "matched_variant": "매칭 문자열", "score": "점수",
+    "dict_type": "사전 종류"}
+REPORT_SUMMARY_KEYS = {
+    "total_columns": "전체 컬럼 수", "auto_mapped": "자동 매핑 수", "needs_review": "확인 필요 수", "unmapped": "실패 수",
+    "auto_mapped_rate": "자동 매핑률", "needs_review_rate": "확인 필요율", "unmapped_rate": "실패율"}
+TERM_HEADERS = {"term_name": "용어명", "description": "설명", "synonyms": "이음동의어"}
+WORD_HEADERS = {"word": "단어명", "abbr": "단어영문약어명", "revision": "개정구분"}
+WORD_DESCRIPTION_HEADERS = ("단어 설명", "단어설명")
+ENGLISH_HEADER_MARK = "영문"
+TOXIC_BASIS = ("제", "호(", ")")
+NOT_TOXIC_BASIS = "별표 3 목록에 없음"
+
 # --- fixed values: standards and analyses -----------------------------------
 DEFAULT_STANDARD_SET = "배출허용기준"
 SCALES = ("large", "small")

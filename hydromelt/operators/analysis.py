@@ -81,6 +81,11 @@ def condition(request: AnalysisRequest) -> Column:
     return values.all_of([*parts, F.col("measured_on").isNotNull()])
 
 
+def insensitive(df: DataFrame, columns: tuple[str, ...] = ("site_name", "outlet", "sample_type")) -> DataFrame:
+    """The table with texts that compare and group without regard to case and accents."""
+    return df.withColumns({c: F.collate(F.col(c), "UNICODE_CI_AI") for c in columns})
+
+
 def owned(measurements: DataFrame, files: DataFrame, owner: int | None) -> DataFrame:
     """Rows of files the owner holds."""
     if owner is None:

@@ -239,11 +239,12 @@ def flag_listed(terms: DataFrame, listed: DataFrame, rank: str = "position") ->
     joined = terms.join(listed.select("code", F.col(rank).alias("_at"), F.col("label").alias("_label")),
                         "code", "left")
     statutory = F.col("legal_status") == "statutory"
+    opening, middle, closing = C.TOXIC_BASIS
     return joined.withColumn("is_toxic_substance", F.when(F.col("_at").isNotNull(), F.lit(True)).when(
         statutory, F.lit(False))).withColumn("toxic_substance_basis", F.when(
-            F.col("_at").isNotNull(), F.concat(F.lit("제"), F.col("_at").cast("string"), F.lit("호("),
-                                               F.col("_label"), F.lit(")"))).when(
-            statutory, F.lit("별표 3 목록에 없음")).otherwise("")).drop("_at", "_label")
+            F.col("_at").isNotNull(), F.concat(F.lit(opening), F.col("_at").cast("string"), F.lit(middle),
+                                               F.col("_label"), F.lit(closing))).when(
+            statutory, F.lit(C.NOT_TOXIC_BASIS)).otherwise("")).drop("_at", "_label")
 
 
 def orphans(synonyms: DataFrame, terms: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def extend_terms(terms: DataFrame, accepted: DataFrame) -> DataFrame:
     """Flat terms with accepted spellings appended to their synonyms in queue order."""
     extra = accepted.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("row_no", "synonym"))), lambda s: s["synonym"]), "|").alias("_extra"))
-    own = F.coalesce(F.nullif(values.strip(F.col("synonyms")), F.lit("")), F.lit(None))
+    own = values.blank_to_null(F.col("synonyms"))
     return terms.join(extra, "code", "left").withColumn("synonyms", F.when(
         F.col("_extra").isNull(), F.coalesce("synonyms", F.lit(""))).otherwise(
         F.concat_ws("|", own, F.col("_extra")))).select(*terms.columns)
@@ -214,10 +214,10 @@ def log_synonyms(log: DataFrame, synonyms: DataFrame, key=None) -> DataFrame:
         of(C.METADATA_PREFIX).alias("metadata_code"), "surface", F.lit(C.REVIEW_SOURCE_ID).alias("source_id"),
         F.left(F.coalesce("collected_at", F.lit("")), F.lit(10)).alias("collected_on"),
         F.lit("").alias("evidence_url"),
-        F.concat(F.lit("출처파일: "), F.coalesce("source", F.lit(""))).alias("evidence_snippet"),
+        F.concat(F.lit(C.EVIDENCE_PREFIX), F.coalesce("source", F.lit(""))).alias("evidence_snippet"),
         F.lit("column_name").alias("synonym_type"), F.lit("verified").alias("review_status"),
-        F.concat(F.lit("리뷰 대기열 승인 (판정자: "), F.coalesce(F.nullif("reviewer", F.lit("")), F.lit(
-            C.UNSTATED_REVIEWER)), F.lit(")")).alias("note"))
+        F.concat(F.lit(C.IMPORT_NOTE[0]), F.coalesce(F.nullif("reviewer", F.lit("")), F.lit(
+            C.UNSTATED_REVIEWER)), F.lit(C.IMPORT_NOTE[1])).alias("note"))
 
 
 def review_sheet(queue: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.functions import names
-from hydromelt.operators.numbering import first_per
 
 
 def replace_by_file(current: DataFrame, fresh: DataFrame, key: str = "file_id") -> DataFrame:
@@ -106,5 +105,6 @@ def unknown_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     return decisions.join(queue.select("id"), "id", "left_anti")
 
 
-def newest_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return first_per(df, keys, [F.col(order).desc()])
+def open_sightings(queue: DataFrame) -> DataFrame:
+    """Names still to be decided, the most seen first."""
+    return queue.where(F.col("status") == "pending").orderBy(F.col("seen_count").desc(), "surface_norm", "source_id")

@@ -34,7 +34,7 @@ def build(app: str = "hydromelt", master: str | None = None, **confs: str) -> Sp
 
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

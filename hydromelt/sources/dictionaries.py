@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
@@ -53,7 +53,7 @@ def read_limits(spark: SparkSession, path: str) -> DataFrame:
     return typed_limits(raw)
 
 
-def pick_column(columns: list[str], must: str, avoid: tuple[str, ...] = ("영문",)) -> str:
+def pick_column(columns: list[str], must: str, avoid: tuple[str, ...] = (C.ENGLISH_HEADER_MARK,)) -> str:
     """The first column whose name holds ``must`` and nothing to avoid."""
     for name in columns:
         if must in name and not any(word in name for word in avoid):
@@ -65,21 +65,26 @@ def _any_column(columns: list[str], *parts: str) -> str | None:
     return next((c for c in columns if any(p in c for p in parts)), None)
 
 
+def _optional(table: DataFrame, *parts: str) -> Column:
+    found = _any_column(table.columns, *parts)
+    return F.col(f"`{found}`") if found else F.lit("")
+
+
 def read_standard_terms(spark: SparkSession, path: str) -> DataFrame:
     """National standard terms: row_no, term_name, description, synonyms."""
-    table = read_table(spark, path)
-    optional = lambda *parts: F.col(f"`{c}`") if (c := _any_column(table.columns, *parts)) else F.lit("")
-    return table.select("row_no", F.col(f"`{pick_column(table.columns, '용어명')}`").alias("term_name"),
-                        optional("설명").alias("description"), optional("이음동의어").alias("synonyms"))
+    table, heads = read_table(spark, path), C.TERM_HEADERS
+    return table.select(
+        "row_no", F.col(f"`{pick_column(table.columns, heads['term_name'])}`").alias("term_name"),
+        *[_optional(table, heads[c]).alias(c) for c in ("description", "synonyms")])
 
 
 def read_standard_words(spark: SparkSession, path: str) -> DataFrame:
     """National standard words: row_no, word, abbr, revision, description."""
-    table = read_table(spark, path)
-    optional = lambda *parts: F.col(f"`{c}`") if (c := _any_column(table.columns, *parts)) else F.lit("")
-    return table.select("row_no", F.col(f"`{pick_column(table.columns, '단어명')}`").alias("word"),
-                        optional("단어영문약어명").alias("abbr"), optional("개정구분").alias("revision"),
-                        optional("단어 설명", "단어설명").alias("description"))
+    table, heads = read_table(spark, path), C.WORD_HEADERS
+    return table.select(
+        "row_no", F.col(f"`{pick_column(table.columns, heads['word'])}`").alias("word"),
+        *[_optional(table, heads[c]).alias(c) for c in ("abbr", "revision")],
+        _optional(table, *C.WORD_DESCRIPTION_HEADERS).alias("description"))
 
 
 def dictionary_hash(spark: SparkSession, measurement_path: str, metadata_path: str) -> str:

@@ -89,21 +89,13 @@ def file_reports(columns: DataFrame, summaries: DataFrame) -> DataFrame:
 
     A file's columns are as many as the file is wide.
     """
-    entry = F.struct(
-        "column_index", F.col("raw").alias("원본명"), F.col("normalized").alias("정규화명"),
-        F.col("status").alias("결과"), F.col("via").alias("판정경로"),
-        F.coalesce("code", "candidate_code").alias("표준코드"), F.col("site").alias("지점명"),
-        F.col("output_column").alias("출력 컬럼명"), F.col("matched_variant").alias("매칭 문자열"),
-        F.col("score").alias("점수"), F.col("dict_type").alias("사전 종류"))
-    lists = columns.groupBy("file_id", "filename", "header_row").agg(
+    listed = columns.withColumn("any_code", F.coalesce("code", "candidate_code"))
+    entry = F.struct("column_index", *[F.col(c).alias(key) for c, key in C.REPORT_COLUMN_KEYS.items()])
+    lists = listed.groupBy("file_id", "filename", "header_row").agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda c: c.dropFields("column_index")).alias("columns"))
-    total = F.struct(
-        F.col("total_columns").alias("전체 컬럼 수"), F.col("auto_mapped").alias("자동 매핑 수"),
-        F.col("needs_review").alias("확인 필요 수"), F.col("unmapped").alias("실패 수"),
-        F.col("auto_mapped_rate").alias("자동 매핑률"), F.col("needs_review_rate").alias("확인 필요율"),
-        F.col("unmapped_rate").alias("실패율"))
+    total = F.struct(*[F.col(c).alias(key) for c, key in C.REPORT_SUMMARY_KEYS.items()])
     return lists.join(summaries.select("file_id", total.alias("summary")), "file_id").select(
-        F.col("filename").alias("파일"), F.col("header_row").alias("헤더 행"), "columns", "summary")
+        *[F.col(c).alias(key) for c, key in C.REPORT_KEYS.items()], "columns", "summary")
 
 
 def write_report(reports: DataFrame, path: str) -> None:

@@ -146,3 +146,10 @@ def test_replace_standard_set(spark, limits, tmp_path):
 def test_totals(facts):
     row = summaries.measurement_totals(facts).first()
     assert (row.total_values, row.distinct_items, row.distinct_sites, row.first_date) == (5, 2, 2, date(2024, 1, 5))
+
+
+def test_insensitive_conditions(spark, facts):
+    loud = facts.withColumn("site_name", F.when(F.col("source_row") == 0, F.upper("site_name")).otherwise(F.col("site_name")))
+    request = AnalysisRequest(site_names=["a"], bucket="year")
+    assert analysis.series(loud, request).first().n == 1
+    assert analysis.series(analysis.insensitive(loud), request).first().n == 2

@@ -176,3 +176,14 @@ def test_hand_over_once(spark, tmp_path):
 def test_listing_refuses_unknown_status(spark):
     with pytest.raises(review.ReviewRequestError):
         review.listing(spark.range(1), "open")
+
+
+def test_open_sightings_most_seen_first(spark):
+    queue = spark.createDataFrame([("a", None, 1, "pending"), ("b", None, 5, "pending"), ("c", None, 9, "promoted")],
+                                  "surface_norm string, source_id string, seen_count int, status string")
+    assert [r.surface_norm for r in tables.open_sightings(queue).collect()] == ["b", "a"]
+
+
+def test_targets_are_unverified_terms(spark):
+    df = spark.createDataFrame([("a", "미확인 — 소스"), ("b", "공통표준용어"), ("c", None)], "code string, standard_basis string")
+    assert [r.code for r in terms.verification_targets(df).collect()] == ["a"]
