@@ -14,6 +14,23 @@ def replace_by_file(current: DataFrame, fresh: DataFrame, key: str = "file_id")
     return current.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def current_rows(stored: DataFrame, audit: DataFrame) -> DataFrame:
+    """Rows of the newest load of each file in a table of appended loads.
+
+    ``audit`` has one row per file and load, also for loads that gave no value, so a
+    file that became empty disappears.
+    """
+    newest = audit.groupBy("file_id").agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(newest, ["file_id", "batch_id"], "left_semi")
+
+
+def newest_records(stored: DataFrame, keys: tuple[str, ...] = ("file_id", "source_row", "source_column_index"),
+                   order: str = "batch_id") -> DataFrame:
+    """One record per source cell: the one landed last."""
+    rest = [c for c in stored.columns if c not in (*keys, order)]
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], updated: list[str],
            order: str | None = None) -> DataFrame:
     """Insert new keys and overwrite the ``updated`` columns of known ones.

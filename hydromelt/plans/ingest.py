@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydromelt.operators import matching, melt, summaries
+from hydromelt.operators import matching, melt, summaries, tables
 from hydromelt.session import stage
 from hydromelt.sources import ndjson, sinks
 
@@ -28,16 +28,29 @@ def records_of(columns: DataFrame, data: DataFrame, as_of: date, overrides: Data
 
 def ingest(columns: DataFrame, data: DataFrame, path: str, audit_path: str, as_of: date,
            dictionary_version: str, overrides: DataFrame | None = None,
-           units: DataFrame | None = None) -> DataFrame:
-    """Replace the stored measurements of these files and write their audit rows."""
+           units: DataFrame | None = None, batch_id: int | None = None) -> DataFrame:
+    """Replace the stored measurements of these files and write their audit rows.
+
+    With ``batch_id`` the load is appended instead, and readers see the newest load
+    of each file through :func:`stored_measurements`.
+    """
     records = stage(records_of(columns, data, as_of, overrides, units), "records")
-    sinks.write_measurements(records, path)
     audit = summaries.ingestion_audit(records, data.select("file_id", "source_row")).withColumn(
         "dictionary_version", F.lit(dictionary_version)).withColumn("ran_on", F.lit(as_of))
-    sinks.write_ingestion_runs(audit, audit_path)
+    if batch_id is None:
+        sinks.write_measurements(records, path)
+        sinks.write_ingestion_runs(audit, audit_path)
+    else:
+        sinks.append_measurements(records, path, batch_id)
+        sinks.write_partitions(audit.withColumn("batch_id", F.lit(batch_id)), audit_path, ("batch_id",))
     return audit
 
 
+def stored_measurements(spark: SparkSession, path: str, audit_path: str) -> DataFrame:
+    """The current measurements of a table of appended loads."""
+    return tables.current_rows(spark.read.parquet(path), spark.read.parquet(audit_path))
+
+
 def export_ndjson(records: DataFrame, meta: DataFrame, path: str) -> None:
     """Records and meta lines as NDJSON, split into many part files."""
     ndjson.record_lines(records).select("value").write.mode("overwrite").text(f"{path}/rows")

@@ -27,6 +27,16 @@ def write_measurements(records: DataFrame, path: str) -> None:
     write_partitions(sized, path, ("file_id",))
 
 
+def append_measurements(records: DataFrame, path: str, batch_id: int) -> None:
+    """Add one load of many files under its batch number; repeating a load replaces itself.
+
+    For tables of very many files: no folder per file, nothing old is rewritten.
+    Reading goes through :func:`hydromelt.operators.tables.current_rows`.
+    """
+    sized = records.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", F.col("item_code"))
+    write_partitions(sized.sortWithinPartitions("item_code", "measured_on"), path, ("batch_id",))
+
+
 def write_ingestion_runs(audit: DataFrame, path: str) -> None:
     write_partitions(audit, path, ("file_id",))
 

@@ -25,18 +25,23 @@ def breaches(counted: DataFrame, allowed: int) -> DataFrame:
 
 
 def land_records(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Land NDJSON record lines (file_id, value) in the measurement table.
+    """Land NDJSON record lines (file_id, value) as they arrive.
 
-    Rows of one micro-batch replace the stored rows of their files, so a file
-    must arrive within one batch; a replayed batch writes the same rows again.
+    Every micro-batch writes its own partition, so a replayed batch replaces itself and
+    a file may span batches; :func:`read_records` keeps the newest record per cell.
     """
-    def land(batch: DataFrame, _batch_id: int) -> None:
-        sinks.write_measurements(ndjson.parse_lines(batch), path)
+    def land(batch: DataFrame, batch_id: int) -> None:
+        sinks.append_measurements(ndjson.parse_lines(batch), path, batch_id)
 
     return (lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Landed records, one per source cell."""
+    return tables.newest_records(spark.read.parquet(path))
+
+
 def land_cells(cells: DataFrame, path: str, checkpoint: str, as_of) -> StreamingQuery:
     """Parse long text cells as they arrive and append the typed records."""
     def land(batch: DataFrame, batch_id: int) -> None:

@@ -110,6 +110,22 @@ def test_ingest_replaces_files(spark, report, tmp_path):
     assert audit["r"].dictionary_version == "v2" and audit["r"].inserted_values == 3
 
 
+def test_appended_loads_show_the_newest(spark, report, tmp_path):
+    columns, data = report
+    path, audit = str(tmp_path / "m"), str(tmp_path / "a")
+    other = columns.withColumn("file_id", F.lit("other")), data.withColumn("file_id", F.lit("other"))
+    ingest.ingest(*other, path, audit, AS_OF, "v1", batch_id=1)
+    for _ in range(2):
+        ingest.ingest(columns, data, path, audit, AS_OF, "v1", batch_id=2)
+    count = lambda: {r.file_id: r["count"] for r in ingest.stored_measurements(spark, path, audit).groupBy("file_id").count().collect()}
+    assert count() == {"r": 7, "other": 7}
+    ingest.ingest(columns, data.where("source_row = 0"), path, audit, AS_OF, "v2", batch_id=3)
+    assert count() == {"r": 3, "other": 7}
+    blank = other[1].withColumn("cells", F.transform("cells", lambda c: F.lit(None).cast("string")))
+    ingest.ingest(other[0], blank, path, audit, AS_OF, "v2", batch_id=4)
+    assert count() == {"r": 3}
+
+
 def test_ndjson_round_trip(spark, report, tmp_path):
     columns, data = report
     records = ingest.records_of(columns, data, AS_OF)

@@ -42,6 +42,19 @@ def test_site_tails_stop_at_short_keys():
     assert all(len(t["body"]) >= C.COMPOSITE_MIN_TAIL_LEN for t in tails)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab_ ()mgltu㎎（）μs/%.가", max_size=14))
+def test_site_tails_match_plain_reading(text):
+    want = []
+    for cut in range(1, len(text)):
+        body = names.split_name(text[cut:])[0]
+        if len(body) < C.COMPOSITE_MIN_TAIL_LEN:
+            break
+        if text[:cut].strip("_ ./"):
+            want.append((cut, body))
+    assert [(t["cut"], t["body"]) for t in names.site_tails(text)] == want
+
+
 def test_keys(spark):
     row = spark.createDataFrame([("Total N (mg/L)-가",)], "t string").select(
         names.wq_normalize(F.col("t")).alias("a"), names.alias_key(F.col("t")).alias("b"),

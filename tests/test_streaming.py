@@ -7,15 +7,18 @@ from hydromelt.sources import ndjson
 from hydromelt.streaming import jobs
 
 
-def test_records_landed_twice_are_stored_once(spark, tmp_path):
-    records = spark.createDataFrame([("f", i, "WQ-001") for i in range(5)], "file_id string, source_row long, item_code string").withColumns(
-        {"measured_on": F.lit(date(2024, 1, 1)), "value_num": F.lit(1).cast("decimal(18,6)")})
-    lines = ndjson.record_lines(records)
-    for name in ("a", "b"):
+def test_records_landed_in_parts_and_twice(spark, tmp_path):
+    records = spark.createDataFrame([("f", i, 1, "WQ-001") for i in range(5)],
+                                    "file_id string, source_row long, source_column_index int, item_code string")
+    lands = [(records.where("source_row < 3"), 1), (records.where("source_row >= 3"), 1), (records, 2)]
+    for part, value in lands:
+        lines = ndjson.record_lines(part.withColumns({
+            "measured_on": F.lit(date(2024, 1, 1)), "value_num": F.lit(value).cast("decimal(18,6)")}))
         lines.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
         jobs.land_records(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out")).count() == 5, name
+    got = jobs.read_records(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.source_row, int(r.value_num)) for r in got) == [(i, 2) for i in range(5)]
 
 
 def test_sightings_over_several_batches_match_one_batch(spark, tmp_path):
