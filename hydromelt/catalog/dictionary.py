@@ -119,12 +119,19 @@ def export_flat(spark, folder):
     return flat.select("code", "name_ko", "abbr", "verified", "synonym_count", "source_count", "legal_basis")
 
 
-@query()
+@query(S.with_tables("syn mterms", """SELECT m.code, coalesce(string_agg(surface, '|' ORDER BY first_at) FILTER (keep), '') AS synonyms,
+  CAST(count(*) FILTER (NOT keep) AS BIGINT) AS redundant FROM mterms m LEFT JOIN marked USING (code) GROUP BY m.code""",
+                     base=f"""SELECT code, {S.squared_body('std_name')} AS b FROM mterms UNION SELECT code, {S.squared_body('name_en')} FROM mterms
+  UNION SELECT code, {S.squared_body('abbr')} FROM mterms WHERE abbr <> '-'""",
+                     keyed=f"""SELECT *, {S.squared_body('surface')} AS b FROM (SELECT code, surface, min(row_no) AS first_at FROM syn
+  WHERE review_status <> 'rejected' GROUP BY 1, 2)""",
+                     marked="""SELECT code, surface, first_at, k.b = '' OR (base.b IS NULL AND row_number() OVER (
+  PARTITION BY code, k.b ORDER BY first_at) = 1) AS keep FROM keyed k LEFT JOIN base USING (code, b)"""))
 def greedy_dedupe(spark, folder):
     """Synonyms kept per term once spellings with an already known key are dropped."""
     base = S.terms(spark, folder, "measurement").withColumnRenamed("std_name", "name_ko").join(
         _collected(spark, folder), "code", "left")
-    return lexicon.drop_redundant(base).select("code", "synonyms", "redundant")
+    return lexicon.drop_redundant(base).select("code", "synonyms", F.col("redundant").cast("bigint").alias("redundant"))
 
 
 @query(S.with_tables("syn mterms dterms", """SELECT t.code, term_kind, std_name, synonyms, coalesce(n, 0) AS synonym_count,
@@ -313,7 +320,10 @@ def term_verify(spark, folder):
     return checked.select("term", "verdict", "official", F.array_join("related", ",").alias("related"))
 
 
-@query()
+@query(S.with_tables("", f"""SELECT term, CAST(place AS INTEGER) AS place, official, round_even(ratio, 1) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY term ORDER BY ratio DESC, row_no) AS place FROM (
+    SELECT term, official, row_no, {S.ratio_sql('term', 'official')} AS ratio FROM targets, (
+      SELECT p_name AS official, min(p_partkey) AS row_no FROM part GROUP BY 1))) WHERE place <= 3""", targets=_VERIFY_CTES["targets"]))
 def term_verify_fuzzy(spark, folder):
     """The three most similar official names per target, as advice."""
     targets = _targets(spark, folder).select(F.col("std_name").alias("term"))

@@ -59,26 +59,42 @@ def map_exact(spark, folder):
     return matching.exact_lookup(parsed, _lexicon(spark, folder)).select("raw", "hit.via", "hit.code", "hit.variant")
 
 
-@query(S.with_tables("", """SELECT raw, coalesce(via, CASE WHEN c.code IS NOT NULL THEN 'composite' END) AS via,
-  coalesce(e.code, c.code) AS code, CASE WHEN via IS NULL THEN site END AS site
-  FROM exact e LEFT JOIN (SELECT raw AS tail_raw, code, site FROM tails
-    JOIN lex ON variant_norm = body WHERE (stop IS NULL OR cut < stop) AND site <> ''
-    QUALIFY row_number() OVER (PARTITION BY raw ORDER BY cut) = 1) c ON tail_raw = raw""",
-                     names=_NAMES_SQL, lex=_LEXICON_SQL, tokens=_TOKENS_SQL, exact=_EXACT_SQL,
-                     tails=f"""SELECT raw, cut, body, regexp_replace(substr(raw, 1, cut), '{C.SEPARATORS}', '', 'g') AS site,
+_TAILS_SQL = f"""SELECT raw, cut, body, regexp_replace(substr(raw, 1, cut), '{C.SEPARATORS}', '', 'g') AS site,
   min(cut) FILTER (length(body) < 2) OVER (PARTITION BY raw) AS stop FROM (
   SELECT raw, cut, {S.squared_body('substr(raw, cut + 1)')} AS body FROM (
-    SELECT raw, CAST(unnest(generate_series(1, length(raw) - 1)) AS INTEGER) AS cut FROM names))"""))
+    SELECT raw, CAST(unnest(generate_series(1, length(raw) - 1)) AS INTEGER) AS cut FROM names))"""
+_HITS_SQL = """SELECT raw, coalesce(via, CASE WHEN c.code IS NOT NULL THEN 'composite' END) AS via,
+  coalesce(e.code, c.code) AS code, coalesce(e.variant, c.variant) AS variant, CASE WHEN via IS NULL THEN site END AS site
+  FROM exact e LEFT JOIN (SELECT raw AS tail_raw, code, variant, site FROM tails
+    JOIN lex ON variant_norm = body WHERE (stop IS NULL OR cut < stop) AND site <> ''
+    QUALIFY row_number() OVER (PARTITION BY raw ORDER BY cut) = 1) c ON tail_raw = raw"""
+_CASCADE = dict(names=_NAMES_SQL, lex=_LEXICON_SQL, tokens=_TOKENS_SQL, exact=_EXACT_SQL, tails=_TAILS_SQL, hits=_HITS_SQL)
+
+
+@query(S.with_tables("", "SELECT raw, via, code, site FROM hits", **_CASCADE))
 def map_composite(spark, folder):
     """Exact, bracketed and site-prefixed tiers together; undecided names stay null."""
     hits = matching.first_hits(matching.lookup_keys(matching.parse_names(_names(spark, folder))), _lexicon(spark, folder))
     return hits.select("raw", "hit.via", "hit.code", "hit.site")
 
 
-@query()
+@query(S.with_tables("", """SELECT raw, CASE WHEN h.code IS NOT NULL THEN 'exact' WHEN score >= 85 THEN 'fuzzy_auto'
+    WHEN score >= 70 THEN 'needs_review' ELSE 'unmapped' END AS status,
+  CASE WHEN h.code IS NOT NULL THEN h.via WHEN score >= 70 THEN n.via END AS via,
+  CASE WHEN h.code IS NOT NULL THEN h.code WHEN score >= 85 THEN n.code END AS code,
+  CASE WHEN h.code IS NULL AND score >= 70 AND score < 85 THEN n.code END AS candidate_code, site,
+  CASE WHEN h.code IS NOT NULL THEN h.variant WHEN score >= 70 THEN n.variant END AS matched_variant,
+  CASE WHEN h.code IS NULL THEN score END AS score FROM hits h LEFT JOIN near n USING (raw)""", **_CASCADE,
+                     asked=f"""SELECT raw, 0 AS place, {S.squared_body('raw')} AS q FROM hits WHERE code IS NULL
+  UNION ALL SELECT hits.raw, 1, token FROM hits JOIN tokens USING (raw) WHERE hits.code IS NULL""",
+                     pairs=f"""SELECT q, variant_norm, {S.ratio_sql('q', 'variant_norm')} AS ratio FROM (SELECT DISTINCT q FROM asked WHERE q <> ''), lex""",
+                     near="""SELECT raw, CASE place WHEN 0 THEN 'body' ELSE 'paren' END AS via, code, variant, round_even(ratio, 1) AS score
+  FROM asked JOIN pairs USING (q) JOIN lex USING (variant_norm)
+  QUALIFY row_number() OVER (PARTITION BY raw ORDER BY ratio DESC, place, variant) = 1"""))
 def map_fuzzy(spark, folder):
     """The whole cascade with the similarity tier."""
-    return matching.map_names(_names(spark, folder), _lexicon(spark, folder))
+    return matching.map_names(_names(spark, folder), _lexicon(spark, folder)).select(
+        "raw", "status", "via", "code", "candidate_code", "site", "matched_variant", "score")
 
 
 # --- trigram tier ------------------------------------------------------------------

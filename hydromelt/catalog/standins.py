@@ -324,3 +324,18 @@ def squared_body(expr: str, loops: int = 4) -> str:
     for _ in range(loops):
         body = f"regexp_replace({body}, '{C.TRAILING_UNIT}', '')"
     return body
+
+
+def ratio_sql(a: str, b: str) -> str:
+    """SQL for the indel similarity of two texts of up to 60 characters, 0..100.
+
+    The common subsequence is folded over the characters of ``b`` on the bits of ``a``.
+    """
+    full = f"((CAST(1 AS BIGINT) << CAST(length({a}) AS INTEGER)) - 1)"
+    masks = (f"list_transform(string_split({b}, ''), lambda ch: CAST(list_sum(list_transform(generate_series(1, length({a})), "
+             f"lambda i: CASE WHEN substr({a}, CAST(i AS INTEGER), 1) = ch THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) "
+             f"ELSE 0 END)) AS BIGINT))")
+    row = f"list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})"
+    common = f"(length({a}) - bit_count({row}))"
+    total = f"CAST(length({a}) + length({b}) AS DOUBLE)"
+    return f"((1.0 - (length({a}) + length({b}) - 2 * {common}) / {total}) * 100.0)"
