@@ -175,6 +175,8 @@ ALIAS_NOISE = r"[\s_\-./()\[\]{}]+"
 # --- tuning -----------------------------------------------------------------
 # Files above this size are read line by line, split over many tasks.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
+# Most rows per file of an intermediate table.
+STAGE_FILE_ROWS = 250_000
 # Work groups per shuffle partition in the similarity stage.
 NAME_SPLITS_PER_PARTITION = 4
 # Most rows a join side may have to be broadcast; layout rows run to some kilobytes.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hydromelt import config as C
 from hydromelt.functions import names, values
 from hydromelt.operators.numbering import first_per
+from hydromelt.session import stage
 
 
 class DictionaryConflict(ValueError):
@@ -68,8 +69,11 @@ def unique_entries(keys: DataFrame) -> DataFrame:
 
 
 def build_lexicon(measurement: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Lexicon of both dictionaries; a spelling with two codes is an error."""
-    keys = all_keys(measurement, metadata)
+    """Lexicon of both dictionaries; a spelling with two codes is an error.
+
+    Keys are written once: the check and the lexicon read them back.
+    """
+    keys = stage(all_keys(measurement, metadata), "keys")
     clash = conflicts(keys).orderBy("variant_norm").take(1)
     if clash:
         raise DictionaryConflict(f"'{clash[0]['variant_norm']}' stands for {clash[0]['codes']}")

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hydromelt import config as C
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -50,7 +52,8 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    # Several files per task, so that one task's large output is read by many.
+    writer = df.write.mode("errorifexists").option("maxRecordsPerFile", C.STAGE_FILE_ROWS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

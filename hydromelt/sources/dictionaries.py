@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from hydromelt import config as C
 from hydromelt import schemas
 from hydromelt.functions import values
-from hydromelt.operators.headers import data_rows
 from hydromelt.operators.standards import typed_limits
+from hydromelt.session import stage
 from hydromelt.sources import files as source_files
 
 
@@ -22,16 +22,15 @@ class HeaderNotFound(ValueError):
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table of texts in file order, blanks for nulls, any known encoding.
 
-    Dictionary files are curated lists; each is parsed by one task.
+    Dictionary files are curated lists; each is parsed by one task, once.
     """
     files = spark.read.format("binaryFile").load(path).withColumn(
         "filename", F.regexp_extract("path", r"([^/]+)$", 1))
-    cells = source_files.read_cells(files)
-    head = cells.where("row_idx <= 0").take(1)
+    cells = stage(source_files.read_cells(files), "table")
+    head = cells.where("row_idx <= 0").orderBy("row_idx").take(1)
     if not head or head[0]["cells"] is None:
         raise ValueError(f"{path}: no known encoding fits")
-    rows = data_rows(cells, cells.where("row_idx = 0").select("file_id", F.lit(0).alias("header_row")))
-    return rows.select(F.col("source_row").alias("row_no"), *[
+    return cells.where("row_idx > 0").select((F.col("row_idx") - 1).alias("row_no"), *[
         F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(name)
         for i, name in enumerate(head[0]["cells"]) if name])
 

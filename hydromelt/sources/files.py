@@ -14,9 +14,11 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,10 @@ from hydromelt.operators.joins import checked_broadcast
 from hydromelt.session import stage
 
 _BATCH_ROWS = 20_000
+_MISSING = frozenset(C.MISSING_CELL_TEXTS)
+_GRID_SCHEMA = pa.schema([("file_id", pa.string()), ("encoding", pa.string()), ("ragged", pa.bool_()),
+                          ("row_idx", pa.int64()), ("cells", pa.list_(pa.string()))])
+_GRID_COLUMNS = _GRID_SCHEMA.names
 
 
 def _suffixes(suffixes: tuple[str, ...]) -> str:
@@ -74,7 +80,7 @@ def decode(content: bytes) -> tuple[str | None, str | None]:
 def _csv_rows(text: str) -> Iterator[list[str | None]]:
     for row in csv.reader(io.StringIO(text, newline="")):
         if row and not (len(row) == 1 and not row[0].strip()):
-            yield [None if cell in C.MISSING_CELL_TEXTS else cell for cell in row]
+            yield [None if cell in _MISSING else cell for cell in row]
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -151,7 +157,7 @@ def _xlsx_rows(content: bytes) -> Iterator[list[str | None]]:
                         text = str(value.text == "1")
                     else:
                         text = value.text
-                    cells[index] = None if text in C.MISSING_CELL_TEXTS else text
+                    cells[index] = None if text in _MISSING else text
                 yield cells
                 row.clear()
 
@@ -163,25 +169,31 @@ def _file_rows(name: str, content: bytes) -> tuple[str | None, Iterator[list[str
     return encoding, None if text is None else _csv_rows(text)
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["file_id", "encoding", "ragged", "row_idx", "cells"]
+def _grid_batch(file_id: str, encoding: str | None, first: int, rows: list[list[str | None]], width: int) -> pa.RecordBatch:
+    """One Arrow batch of grid rows, short rows padded to the file's width."""
+    wide = [len(cells) > width for cells in rows]
+    padded = [cells if len(cells) >= width else cells + [None] * (width - len(cells)) for cells in rows]
+    return pa.RecordBatch.from_arrays([
+        pa.repeat(pa.scalar(file_id, pa.string()), len(rows)), pa.repeat(pa.scalar(encoding, pa.string()), len(rows)),
+        pa.array(wide, pa.bool_()), pa.array(range(first, first + len(rows)), pa.int64()),
+        pa.array(padded, pa.list_(pa.string()))], names=_GRID_COLUMNS)
+
+
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file_id, name, content in zip(batch["file_id"], batch["filename"], batch["content"]):
-            encoding, rows = _file_rows(name, bytes(content))
+        for file_id, name, content in zip(*(batch.column(c) for c in ("file_id", "filename", "content"))):
+            encoding, rows = _file_rows(name.as_py(), content.as_py())
             if rows is None:
                 # Unreadable: one row without cells, so that the file is reported.
-                yield pd.DataFrame([(file_id, None, False, -1, None)], columns=columns)
+                yield pa.RecordBatch.from_pylist([{
+                    "file_id": file_id.as_py(), "encoding": None, "ragged": False, "row_idx": -1, "cells": None}],
+                    schema=_GRID_SCHEMA)
                 continue
-            width, pending = 0, []
-            for index, cells in enumerate(rows):
-                width = width or len(cells)
-                pending.append((file_id, encoding, len(cells) > width, index,
-                                cells + [None] * (width - len(cells))))
-                if len(pending) == _BATCH_ROWS:
-                    yield pd.DataFrame(pending, columns=columns)
-                    pending = []
-            if pending:
-                yield pd.DataFrame(pending, columns=columns)
+            first, width = 0, 0
+            while part := list(islice(rows, _BATCH_ROWS)):
+                width = width or next((len(cells) for cells in part if cells), 0)
+                yield _grid_batch(file_id.as_py(), encoding, first, part, width)
+                first += len(part)
 
 
 def read_cells(files: DataFrame) -> DataFrame:
@@ -191,14 +203,14 @@ def read_cells(files: DataFrame) -> DataFrame:
     ``ragged`` marks rows wider than the first row of their file.
     """
     part = files.select(F.col("path").alias("file_id"), "filename", "content")
-    return part.mapInPandas(_parse_files, schemas.CELLS)
+    return part.mapInArrow(_parse_files, schemas.CELLS)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _split_line(line: pd.Series, encoding: pd.Series) -> pd.Series:
     def cells(raw, name):
         row = next(iter(csv.reader([bytes(raw).decode(name)])), [])
-        return [None if c in C.MISSING_CELL_TEXTS else c for c in row]
+        return [None if c in _MISSING else c for c in row]
 
     return pd.Series([cells(raw, name) for raw, name in zip(line, encoding)])
 
