@@ -27,8 +27,9 @@ def main() -> None:
         "spark__sql__shuffle__partitions": cpus, "spark__ui__enabled": "false", "spark__driver__memory": "16g",
         "spark__driver__host": "localhost", "spark__driver__bindAddress": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
-    # One pass over a small query, so that the first timing is not the start of the session.
-    catalog.QUERIES["region_grades"](spark, folder).count()
+    # The published figures are for a resident service, so session and Python workers are started before timing.
+    for name in ("map_exact", "melt_unpivot"):
+        catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
     timings = {}
     for name in HEADLINE:
         started = time.time()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydromelt import config as C
 from hydromelt.catalog import standins as S
 from hydromelt.catalog.registry import Topic
 from hydromelt.functions import names, values
 from hydromelt.operators import headers
+from hydromelt.operators.lexicon import flag_listed
 from hydromelt.sources import ndjson
 
 query = Topic()
@@ -193,21 +193,15 @@ def ndjson_rows(spark, folder):
         F.col("value_num").cast("double").alias("value_num"), "is_numeric", "measured_on")
 
 
-@query(f"""SELECT p_partkey, p_size, CASE WHEN n <= {C.EXPECTED_TOXIC_TERMS} THEN true WHEN p_type = 'STANDARD' THEN false END
-  AS is_toxic_substance, CASE WHEN n <= {C.EXPECTED_TOXIC_TERMS} THEN '제' || n || '호(' || low || ')'
-  WHEN p_type = 'STANDARD' THEN '별표 3 목록에 없음' ELSE '' END AS toxic_substance_basis FROM part
-  JOIN (SELECT p_size, low, row_number() OVER (ORDER BY p_size) AS n FROM (
-    SELECT p_size, min(p_name) AS low FROM part GROUP BY 1)) USING (p_size)""")
+@query("""SELECT p_partkey, p_size, CASE WHEN n_name IS NOT NULL THEN true WHEN p_type = 'STANDARD' THEN false END
+  AS is_toxic_substance, CASE WHEN n_name IS NOT NULL THEN '제' || n_nationkey || '호(' || n_name || ')'
+  WHEN p_type = 'STANDARD' THEN '별표 3 목록에 없음' ELSE '' END AS toxic_substance_basis
+  FROM part LEFT JOIN nation ON n_nationkey = p_size""")
 def flag_by_list(spark, folder):
-    """Terms flagged by membership in an official list; the list is the first 32 sizes."""
-    from hydromelt.operators.lexicon import flag_listed
-    part = S.table(spark, folder, "part")
-    code = F.lpad(F.col("p_size").cast("string"), 3, "0")
-    sizes = part.groupBy("p_size").agg(F.min("p_name").alias("label"))
-    listed = sizes.orderBy("p_size").limit(C.EXPECTED_TOXIC_TERMS).select(
-        code.alias("code"), "label", "p_size")
-    from pyspark.sql import Window
-    numbered = listed.withColumn("position", F.row_number().over(Window.orderBy("p_size"))).drop("p_size")
+    """Terms flagged by membership in an official list; the nations serve as the list."""
+    code = lambda c: F.lpad(F.col(c).cast("string"), 3, "0").alias("code")
+    listed = S.table(spark, folder, "nation").select(
+        code("n_nationkey"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("label"))
     status = F.when(F.col("p_type") == "STANDARD", "statutory").otherwise("non_statutory")
-    terms = part.select("p_partkey", "p_size", code.alias("code"), status.alias("legal_status"))
-    return flag_listed(terms, numbered).select("p_partkey", "p_size", "is_toxic_substance", "toxic_substance_basis")
+    terms = S.table(spark, folder, "part").select("p_partkey", "p_size", code("p_size"), status.alias("legal_status"))
+    return flag_listed(terms, listed).select("p_partkey", "p_size", "is_toxic_substance", "toxic_substance_basis")

@@ -344,10 +344,10 @@ def exceedance_counts(spark, folder):
 @query(S.with_tables("m limits", f"""SELECT bucket, item_code, value FROM points p WHERE EXISTS (SELECT 1 FROM limits l
   WHERE l.item_code = p.item_code AND standard_set = '배출허용기준' AND (region_grade IS NULL OR region_grade = '가지역')
   AND (scale IS NULL OR scale = 'large') AND (value > limit_max OR value < limit_min))""",
-                     points=f"""SELECT strftime(measured_on, '%Y-%m') AS bucket, item_code, {_avg(4)} AS value FROM m
+                     points="""SELECT strftime(measured_on, '%Y-%m') AS bucket, item_code, CAST(max(value_num) AS DOUBLE) AS value FROM m
   GROUP BY 1, 2"""))
 def series_exceeded(spark, folder):
-    request = AnalysisRequest(region_grade="가지역", scale="large")
+    request = AnalysisRequest(region_grade="가지역", scale="large", metric="max")
     points = analysis.series(S.measurements(spark, folder), request)
     return analysis.exceeded_points(points, analysis.series_limits(S.limits(spark), request)).select(
         "bucket", "item_code", F.col("value").cast("double").alias("value"))
