@@ -177,8 +177,8 @@ ALIAS_NOISE = r"[\s_\-./()\[\]{}]+"
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 # Most rows per file of an intermediate table.
 STAGE_FILE_ROWS = 250_000
-# Work groups per shuffle partition in the similarity stage.
-NAME_SPLITS_PER_PARTITION = 2
+# Splits of compute-heavy stages per shuffle partition.
+SPLITS_PER_SHUFFLE_PARTITION = 2
 # Most rows a join side may have to be broadcast; layout rows run to some kilobytes.
 BROADCAST_ROWS = 5_000
 # The same for one small row per file block.

@@ -10,6 +10,7 @@ from hydromelt import config as C
 from hydromelt import schemas
 from hydromelt.functions import names, similarity, values
 from hydromelt.operators.numbering import top_per
+from hydromelt.session import work_splits
 
 _ENTRY = ("dict_type", "code", "variant", "variant_norm")
 
@@ -34,7 +35,7 @@ def lookup_keys(parsed: DataFrame) -> DataFrame:
 
 def parse_names(raw_names: DataFrame) -> DataFrame:
     """Distinct names with their normal form and site readings."""
-    return (raw_names.select("raw").distinct()
+    return (raw_names.select("raw").distinct().repartition(work_splits(raw_names.sparkSession), "raw")
             .withColumn("form", names.normalize_name("raw"))
             .withColumn("tails", names.composite_tails("raw"))
             .select("raw", "form.body", "form.paren_tokens", "tails"))
@@ -85,9 +86,7 @@ def nearest_entries(undecided: DataFrame, lexicon: DataFrame, splits: int | None
     one row per name and slice leaves a task. Raise ``slices`` for a lexicon too
     large for one task.
     """
-    spark = undecided.sparkSession
-    if splits is None:
-        splits = C.NAME_SPLITS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = splits or work_splits(undecided.sparkSession)
     spread = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     left = (undecided.select("raw", "body", "paren_tokens",
                              F.pmod(F.xxhash64("raw"), F.lit(splits)).alias("split"))
@@ -198,7 +197,7 @@ def trigram_pairs(left_keys: DataFrame, right_keys: DataFrame,
     """
     def grams(df: DataFrame) -> DataFrame:
         return (df.select("key").where(F.col("key") != "").distinct()
-                .withColumn("grams", similarity.trigrams(F.col("key"))).withColumn("min_score", F.lit(min_score)))
+                .repartition(work_splits(df.sparkSession), "key").withColumn("grams", similarity.trigrams(F.col("key"))).withColumn("min_score", F.lit(min_score)))
 
     left, right = grams(left_keys), grams(right_keys)
     frequency = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("freq"))

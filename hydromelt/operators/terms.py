@@ -11,6 +11,7 @@ from hydromelt.functions import values, words
 from hydromelt.functions.similarity import ratio
 from hydromelt.operators.matching import contained_in, substrings
 from hydromelt.operators.numbering import top_per
+from hydromelt.session import work_splits
 
 
 def verification_targets(metadata: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def similar_names(targets: DataFrame, standard: DataFrame, limit: int = 3) -> Da
             rows += [(term, n + 1, pool[place], round(-score, 1)) for n, (score, place) in enumerate(scored)]
         return pd.DataFrame(rows, columns=["term", "place", "official", "score"])
 
-    splits = C.NAME_SPLITS_PER_PARTITION * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = work_splits(targets.sparkSession)
     left = targets.select("term").distinct().withColumn("split", F.pmod(F.xxhash64("term"), F.lit(splits)))
     slices = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)).cast("array<bigint>"))
     right = standard.select("row_no", values.strip(F.col("term_name")).alias("official")).withColumn("split", slices)

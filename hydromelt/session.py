@@ -60,6 +60,15 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def work_splits(spark: SparkSession) -> int:
+    """Number of splits for stages whose work is heavy for their bytes.
+
+    Adaptive execution merges small shuffle outputs by size; asking for a number keeps
+    such stages parallel. It follows the shuffle setting the cluster is sized by.
+    """
+    return C.SPLITS_PER_SHUFFLE_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Deal a few large input splits out over all cores before per-row work.
 
