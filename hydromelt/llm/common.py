@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,11 +24,6 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def is_held_out(doc_id: int | None) -> bool:
-    """Whether a row is kept from training: crc32 of its id as text leaves 1 on division by 3."""
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``most`` bytes of ``column`` each; a longer value stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
