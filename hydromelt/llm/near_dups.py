@@ -177,7 +177,7 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int = PERCENT, shin
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per row in: doc_id, n_shingles, component_id, kept.
+    """One row per row in: doc_id, version, n_shingles, component_id, kept. The version is a hash of the text.
 
     component_id is the smallest id that a document reaches over links, its own included; kept marks that document. Texts
     without words, null ones too, are linked with nothing. Rows with a null id are linked with nothing and kept. Equal
@@ -216,15 +216,27 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     grouped = with_roots(nodes.select("node", F.col("first.doc").alias("doc")), roots)
     smallest = grouped.groupBy("root").agg(F.min("doc").alias("component_id"))
     ids = grouped.join(smallest, "root").select("node", "component_id")
-    out = sketches.drop("bands", "version").join(ids, "node", "left")
+    out = sketches.drop("bands").join(ids, "node", "left")
     own = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", own.alias("component_id"),
+    return out.select(F.col("doc").alias("doc_id"), "version", "n_shingles", own.alias("component_id"),
                       F.coalesce(F.col("doc") == own, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of near duplicates: that of the smallest id. Rows with a null id all stay;
+    of rows with the same id and text one stays."""
+    groups = near_duplicates(df, percent, shingle, id_col, text_col)
+    stay = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), F.col("version").alias("kept_version")).distinct()
+    version = F.xxhash64(utf8(text_col))
+    one = df.where(F.col(id_col).isNotNull()).withColumn("kept_version", version).withColumn("kept_id", F.col(id_col)).join(
+        stay, ["kept_id", "kept_version"]).dropDuplicates(["kept_id", "kept_version"]).select(*df.columns)
+    return one.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("version")
 
 
 OP6_SQL = r"""

@@ -129,55 +129,71 @@ def repeated_spans(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
     return hits.groupBy("doc", "version").agg(F.collect_set(span).alias("spans"))
 
 
+def without(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
+    """The words that no span covers."""
+    if not spans:
+        return words
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edges, [s["start"] for s in spans], 1)
+    np.add.at(edges, [s["end"] for s in spans], -1)
+    return [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
+
+
+def with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with ``spans_`` of its rows."""
+    keys = spans.select(F.col("doc").alias("doc_"), F.col("version").alias("version_"), F.col("spans").alias("spans_"))
+    return df.withColumn("doc_", F.col(id_col)).withColumn("version_", F.xxhash64(utf8(text_col))).join(
+        keys, ["doc_", "version_"], "left").drop("doc_", "version_")
+
+
 def remove_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-                   outputs: tuple[str, ...] = ("kept",)) -> DataFrame:
-    """One row per row in: doc_id, n_words, n_removed and what ``outputs`` names of kept, kept_sha256, spans, source_text.
+                   outputs: tuple[str, ...] = ("kept", "spans")) -> DataFrame:
+    """One row per row in: doc_id, n_words, n_removed and what ``outputs`` names of kept, kept_sha256, spans.
 
     A word goes if a run of ``edge`` words around it starts in a document with a smaller id too, judged on the input.
-    kept are the words left, joined by one space; spans the removed runs with a source document; source_text the row's own
-    text. Null texts have no words. Rows with a null id are neither changed nor a source. Rows that share an id are one
-    document's: none is a source for the other. Other columns are ignored; an empty table gives no rows.
+    kept are the words left, joined by one space; spans the removed runs with their source documents. Null texts have no
+    words. Rows with a null id are neither changed nor a source. Rows that share an id are one document's: none is a source
+    for the other. Other columns are ignored; an empty table gives no rows.
     """
-    kinds = {"kept": (pa.string(), "string"), "kept_sha256": (pa.string(), "string"),
-             "spans": (pa.list_(pa.list_(pa.int64())), "array<array<long>>"), "source_text": (pa.string(), "string")}
+    kind = df.schema[id_col].dataType.simpleString()
     spans = repeated_spans(df, edge, seed, id_col, text_col)
-    docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("source_text"), utf8(text_col).alias("raw")).withColumn(
-        "version", F.xxhash64("raw"))
-    rows = docs.join(spans, ["doc", "version"], "left").select("doc", "source_text", "raw", "spans")
-    if "source_text" not in outputs:
-        rows = rows.drop("source_text")
+    rows = with_spans(df.select(F.col(id_col).alias("doc_id"), utf8(text_col).cast("string").alias("text")), spans, "doc_id", "text").select(
+        "doc_id", F.col("text").cast("binary").alias("raw"), F.col("spans_").alias("spans"))
+    made = [name for name in outputs if name != "spans"]
+    makers = {"kept": bytes.decode, "kept_sha256": lambda kept: hashlib.sha256(kept).hexdigest()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw"):
-                totals, removed, made = [], [], {name: [] for name in outputs}
-                for raw, found in zip(part.column("raw").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    words = raw.split()
-                    totals.append(len(words))
-                    if found:
-                        edges = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edges, [s["start"] for s in found], 1)
-                        np.add.at(edges, [s["end"] for s in found], -1)
-                        free = np.cumsum(edges[:-1]) == 0
-                        words = [words[i] for i in np.flatnonzero(free)]
-                    removed.append(totals[-1] - len(words))
-                    kept = b" ".join(words)
-                    if "kept" in made:
-                        made["kept"].append(kept.decode())
-                    if "kept_sha256" in made:
-                        made["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    if "spans" in made:
-                        made["spans"].append(sorted([s["start"], s["end"]] for s in found or ()))
-                if "source_text" in made:
-                    made["source_text"] = part.column("source_text")
+                texts = [raw.split() for raw in part.column("raw").to_pylist()]
+                left = [without(w, s) for w, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
+                kept = [b" ".join(words) for words in left]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()),
-                     *[made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], kinds[n][0]) for n in outputs]],
-                    ["doc_id", "n_words", "n_removed", *outputs])
+                    [part.column("doc_id"), pa.array(map(len, texts), pa.int64()),
+                     pa.array([len(a) - len(b) for a, b in zip(texts, left, strict=True)], pa.int64()),
+                     *[pa.array(map(makers[name], kept), pa.string()) for name in made], part.column("spans")],
+                    ["doc_id", "n_words", "n_removed", *made, "spans"])
+
+    schema = ", ".join([f"doc_id {kind}, n_words long, n_removed long", *[f"{name} string" for name in made],
+                        f"spans {rows.schema['spans'].dataType.simpleString()}"])
+    return rows.mapInArrow(run, schema).select("doc_id", "n_words", "n_removed", *outputs)
+
+
+def drop_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all their columns; texts that lose words become the words left, joined by one space, others stay as they are."""
+    spans = repeated_spans(df, edge, seed, id_col, text_col)
+    rows = with_spans(df, spans, id_col, text_col)
+    names, place = df.columns, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text if not found else b" ".join(without(text.encode().split(), found)).decode() for text, found in zip(
+                batch.column(text_col).to_pylist(), batch.column("spans_").to_pylist(), strict=True)]
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join([f"doc_id {df.schema[id_col].dataType.simpleString()}, n_words long, n_removed long",
-                        *[f"{name} {kinds[name][1]}" for name in outputs]])
-    return rows.mapInArrow(run, schema)
+    return rows.select(*df.columns, "spans_").mapInArrow(run, df.schema)
 
 
 def op5_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,21 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts score below ``threshold``; without a model all of them."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = model.table()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts = [text or "" for text in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array(model.score(texts, tables) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_naive_bayes_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
