@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date, datetime, timezone
+
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
+from hydromelt import session
 from hydromelt.catalog import standins as S
 from hydromelt.catalog.registry import Topic
 from hydromelt.functions import names, values
 from hydromelt.operators import headers, lexicon, matching, paging, quality, summaries, tables
+from hydromelt.plans import ingest
+from hydromelt.sources import sinks
 
 query = Topic()
 
@@ -282,12 +288,15 @@ def next_round(spark, folder):
     return summaries.next_round(S.runs(spark, folder), S.files(spark, folder))
 
 
-@query(S.with_tables("m runs files", """SELECT owner_user_id, arg_max(dictionary_version, (round_no, file_id)) AS dictionary_version
-  FROM runs JOIN files USING (file_id) GROUP BY 1"""))
+@query(S.with_tables("m runs files", """SELECT owner_user_id, arg_max(dictionary_version, (ran_at, file_id)) AS dictionary_version,
+  strftime(max(ran_at), '%Y-%m-%d %H') AS ran_at
+  FROM (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * round_no AS ran_at FROM runs) JOIN files USING (file_id) GROUP BY 1"""))
 def latest_version(spark, folder):
-    """Dictionary version of the newest round per owner."""
+    """Dictionary version of the newest ingestion per owner."""
     from hydromelt.operators.analysis import latest_version as newest
-    return newest(S.runs(spark, folder).withColumnRenamed("round_no", "ran_at"), S.files(spark, folder))
+    ran_at = F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)) + F.make_interval(hours=F.col("round_no").cast("int"))
+    return newest(S.runs(spark, folder).withColumn("ran_at", ran_at), S.files(spark, folder)).withColumn(
+        "ran_at", F.date_format("ran_at", "yyyy-MM-dd HH"))
 
 
 @query(S.with_tables("runs", """SELECT file_id, round_no, dictionary_version FROM runs
@@ -302,8 +311,7 @@ def history_page(spark, folder):
 
 @query(S.with_tables("files", "SELECT file_id, original_filename, size_bytes FROM files WHERE owner_user_id = 7 AND status = 'reviewing'"))
 def files_by_status(spark, folder):
-    return S.files(spark, folder).where((F.col("owner_user_id") == 7) & (F.col("status") == "reviewing")).select(
-        "file_id", "original_filename", "size_bytes")
+    return summaries.files_with_status(S.files(spark, folder), 7, "reviewing").select("file_id", "original_filename", "size_bytes")
 
 
 @query(S.with_tables("m runs files items", """SELECT f.file_id, f.status, CAST(r.total_columns AS BIGINT) AS column_count, r.dictionary_version,
@@ -403,6 +411,79 @@ def latest_round_only(spark, folder):
     return tables.latest_round_rows(rows, runs).groupBy("file_id", "mapping_run_id").agg(F.count("*").alias("n"))
 
 
+def _place(spark, name: str) -> str:
+    return f"{session.scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(S.with_tables("m", """SELECT file_id, item_code, CAST(count(*) AS BIGINT) AS n FROM m
+  WHERE file_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 2) GROUP BY 1, 2"""))
+def reload_emptied_file(spark, folder):
+    """Stored measurements after a second load in which some files have no value left."""
+    path, audit = _place(spark, "measurements"), _place(spark, "audit")
+    rows = S.measurements(spark, folder).withColumn("loaded", F.lit(True))
+    emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
+    for batch_id, records, files in ((1, rows, rows.select("file_id").distinct()), (2, rows.where("false"), emptied)):
+        sinks.append_measurements(records, path, batch_id)
+        sinks.append_ingestion_runs(files, audit, batch_id)
+    return ingest.stored_measurements(spark, path, audit).groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
+
+
+@query(S.with_tables("limit_rows", """SELECT standard_set, CAST(count(*) AS BIGINT) AS n FROM limit_rows
+  WHERE standard_set IS DISTINCT FROM 'SMALL' GROUP BY 1"""))
+def replace_emptied_set(spark, folder):
+    """Stored limits after a set was replaced by nothing."""
+    from hydromelt.operators.standards import typed_limits
+    limits, path = typed_limits(S.limit_rows(spark, folder)), _place(spark, "limits")
+    sinks.replace_standard_set(limits.where("false"), limits.where("standard_set = 'SMALL'"), path, "SMALL")
+    sinks.replace_standard_set(limits, limits.where("false"), path, "SMALL")
+    return spark.read.parquet(path).groupBy("standard_set").agg(F.count("*").alias("n"))
+
+
+# --- the whole chain ---------------------------------------------------------------------------
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS bucket, 'WQ-002' AS item_code,
+  CAST(max(o_totalprice) AS DOUBLE) AS value, CAST(count(*) AS BIGINT) AS n, '2' AS dictionary_version, CAST(o_custkey % 3 AS BIGINT) AS runs
+  FROM orders WHERE o_custkey % 3 < 2 GROUP BY 1, o_custkey % 3""")
+def chained_jobs(spark, folder):
+    """Columns mapped twice, a person's decision, ingestion of the newest run, and the series of what was stored.
+
+    Files are customers by the rest of their key on division by three. File 0 was decided by a person, file 1 by the second
+    mapping; file 2 has no measured column in its newest run.
+    """
+    from hydromelt.operators import analysis
+    orders = S.table(spark, folder, "orders")
+    file_id = (F.col("o_custkey") % 3).cast("long")
+    data = orders.select(file_id.alias("file_id"), F.col("o_orderkey").alias("source_row"), F.array(
+        F.date_format("o_orderdate", "yyyy-MM-dd"), S.money("o_totalprice")).alias("cells"))
+    files = data.select("file_id").distinct()
+    runs = files.select("file_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("round_no")).withColumn(
+        "mapping_run_id", F.col("file_id") * 10 + F.col("round_no"))
+    known = F.when((F.col("file_id") == 1) == (F.col("round_no") == 2), "WQ-002").when(F.col("file_id") == 0, F.lit(None))
+    priced = F.when(F.col("file_id") == 2, F.when(F.col("round_no") == 1, "WQ-002")).otherwise(known)
+    text = lambda c: F.lit(c).cast("string")
+    columns = runs.select("mapping_run_id", "file_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("column_index"), text("측정일자").alias("raw"), text("MD-006").alias("code"),
+                 text(C.DICT_METADATA).alias("dict_type"), text("exact").alias("status")),
+        F.struct(F.lit(1).alias("column_index"), text("금액").alias("raw"), priced.alias("code"),
+                 F.when(priced.isNotNull(), C.DICT_MEASUREMENT).alias("dict_type"),
+                 F.when(priced.isNotNull(), "exact").otherwise("unmapped").alias("status")))).alias("c")).select(
+        "mapping_run_id", "file_id", "c.*").withColumns({"site": text(None), "via": text(None)})
+    reviews = files.where("file_id = 0").select("file_id", F.lit(1).alias("column_index"), F.lit("WQ-002").alias("code"), F.lit(
+        C.DICT_MEASUREMENT).alias("dict_type"))
+    path, audit = _place(spark, "measurements"), _place(spark, "audit")
+    chosen, overrides = ingest.newest_mapping(runs, columns, reviews)
+    for version, at in (("1", datetime(2024, 1, 1, tzinfo=timezone.utc)), ("2", datetime(2024, 1, 2, tzinfo=timezone.utc))):
+        ingest.ingest(chosen, data, path, audit, date(2030, 1, 1), version, overrides, ran_at=at)
+    stored = ingest.stored_measurements(spark, path, audit)
+    version = analysis.latest_version(ingest.stored_runs(spark, audit), files.withColumn("owner_user_id", F.lit(7)))
+    request = analysis.AnalysisRequest(metric="max")
+    parts = [analysis.series(tables.latest_round_rows(stored.where(F.col("file_id") == k), runs), request).withColumn(
+        "runs", F.lit(k).cast("bigint")) for k in range(3)]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("owner_user_id", F.lit(7))
+    return found.join(version, "owner_user_id").select("bucket", "item_code", F.col("value").cast("double").alias("value"), "n",
+                                                       "dictionary_version", "runs")
+
+
 # --- duplicate reports ------------------------------------------------------------------------
 
 @query(S.with_tables("m", """SELECT file_id, CAST(count(*) AS BIGINT) AS measurement_count,

@@ -178,6 +178,13 @@ _SUMMARY_CELLS = """SELECT l_suppkey AS file_id, 0 AS column_index, l_orderkey A
   UNION ALL SELECT l_suppkey, 1, l_orderkey, CASE WHEN l_quantity < 50 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE ' ' END FROM lineitem"""
 
 
+def _summary_cells(spark, folder) -> DataFrame:
+    quantity = F.when(F.col("l_quantity") < 50, F.col("l_quantity").cast("int").cast("string")).otherwise(" ")
+    return S.table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("source_row"),
+        F.posexplode(F.array("l_returnflag", quantity)).alias("column_index", "value"))
+
+
 @query(S.with_tables("", """SELECT t.file_id, t.column_index, row_count, distinct_count, samples, all_unique FROM (
   SELECT file_id, column_index, CAST(sum(n) AS BIGINT) AS row_count, CAST(count(text) AS BIGINT) AS distinct_count,
     count(text) > 0 AND count(text) = sum(n) FILTER (text IS NOT NULL) AS all_unique FROM counted GROUP BY ALL) t
@@ -187,11 +194,7 @@ _SUMMARY_CELLS = """SELECT l_suppkey AS file_id, 0 AS column_index, l_orderkey A
                      counted=f"""SELECT file_id, column_index, nullif(trim(value), '') AS text, count(*) AS n,
   min(source_row) AS first_at FROM ({_SUMMARY_CELLS}) GROUP BY ALL"""))
 def value_summary(spark, folder):
-    quantity = F.when(F.col("l_quantity") < 50, F.col("l_quantity").cast("int").cast("string")).otherwise(" ")
-    cells = S.table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("source_row"),
-        F.posexplode(F.array("l_returnflag", quantity)).alias("column_index", "value"))
-    return melting.value_summaries(cells, ["file_id", "column_index"]).withColumn("samples", F.array_join("samples", ","))
+    return melting.value_summaries(_summary_cells(spark, folder), ["file_id", "column_index"], samples=12).withColumn("samples", F.array_join("samples", ","))
 
 
 # --- series --------------------------------------------------------------------
@@ -210,16 +213,14 @@ _BUCKET_SQL = {"month": "strftime(measured_on, '%Y-%m')",
 
 
 def _series_sql(bucket: str, value: str, where: str = "true") -> str:
-    return S.with_tables("m", f"""SELECT bucket, item_code, value, n, missing, unit,
-      (SELECT count(*) FROM points) > 5000 AS truncated FROM points ORDER BY bucket, item_code LIMIT 5000""",
+    return S.with_tables("m", """SELECT bucket, item_code, value, n, missing, unit FROM points""",
                          points=f"""SELECT {_BUCKET_SQL[bucket]} AS bucket, item_code, {value} AS value,
       CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(value_num) AS BIGINT) AS missing, min(unit) AS unit
       FROM m WHERE {where} GROUP BY 1, 2""")
 
 
 def _series(spark, folder, request: AnalysisRequest) -> DataFrame:
-    points = analysis.series(S.measurements(spark, folder), request)
-    return analysis.capped_series(points).withColumns(S.dbl("value"))
+    return analysis.series(S.measurements(spark, folder), request).withColumns(S.dbl("value"))
 
 
 @query(_series_sql("month", _avg(4)))
@@ -283,28 +284,31 @@ def owner_semi(spark, folder):
     return rows.groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
 
 
-@query(S.with_tables("m limits", f"""SELECT 'run-1' AS execution_id, '{C.RULESET_VERSION}' AS ruleset_version,
-  CAST(count(*) AS BIGINT) AS row_count, false AS truncated, 0 AS assumed, CAST(sum(n) AS BIGINT) AS values_seen,
-  sum(value) AS value_sum, (SELECT CAST(count(*) AS BIGINT) FROM lines) AS limit_lines,
+_RECORD_SQL = S.with_tables("m limits", f"""SELECT 'run-1' AS execution_id, '{C.RULESET_VERSION}' AS ruleset_version, 0 AS assumed,
+  CAST(count(*) AS BIGINT) AS row_count, (SELECT CAST(count(*) AS BIGINT) FROM lines) AS limit_count,
   CAST(count(*) FILTER (EXISTS (SELECT 1 FROM lines l WHERE l.item_code = p.item_code AND (value > limit_max OR value < limit_min)))
   AS BIGINT) AS exceeded_count FROM points p""",
-                     points="""SELECT year(measured_on) || '-Q' || quarter(measured_on) AS bucket, item_code,
+                            points="""SELECT CAST(measured_on AS VARCHAR) AS bucket, item_code,
   CAST(max(value_num) AS DOUBLE) AS value, count(*) AS n FROM m GROUP BY 1, 2""",
-                     lines="""SELECT * FROM limits WHERE standard_set = '배출허용기준' AND (region_grade IS NULL OR region_grade = '가지역')
-  AND (scale IS NULL OR scale = 'large')"""))
+                            lines="""SELECT * FROM limits WHERE standard_set = '배출허용기준' AND (region_grade IS NULL OR region_grade = '가지역')
+  AND (scale IS NULL OR scale = 'large')""")
+
+
+@query(_RECORD_SQL)
 def analysis_record(spark, folder):
-    """The stored record of a run, its JSON columns read back and summed up."""
-    request = AnalysisRequest(region_grade="가지역", scale="large", bucket="quarter", metric="max",
-                              from_date=date(1990, 1, 1))
+    """The stored record of a run; its counts are over all points."""
+    request = AnalysisRequest(region_grade="가지역", scale="large", bucket="none", metric="max", from_date=date(1990, 1, 1))
     points = analysis.series(S.measurements(spark, folder), request)
     record = analysis.run_record(points, analysis.series_limits(S.limits(spark), request), request, "", "run-1")
-    series = F.from_json("series", "array<struct<value:double,n:bigint>>")
-    total = lambda field: F.aggregate(F.transform(series, lambda p: p[field].cast("double")), F.lit(0.0), lambda a, v: a + v)
-    return record.select(
-        "execution_id", "ruleset_version", F.col("row_count").cast("bigint").alias("row_count"), "truncated",
-        F.size(F.from_json("assumptions", "array<string>")).alias("assumed"), total("n").cast("bigint").alias("values_seen"),
-        total("value").alias("value_sum"), F.size(F.from_json("limits", "array<struct<item_code:string>>")).cast(
-            "bigint").alias("limit_lines"), F.col("exceeded_count").cast("bigint").alias("exceeded_count"))
+    return record.select("execution_id", "ruleset_version", F.size(F.from_json("assumptions", "array<string>")).alias("assumed"),
+                         "row_count", "limit_count", "exceeded_count")
+
+
+@query(f"""SELECT file_id, column_index,
+  nullif(trim(value), '') AS text, CAST(count(*) AS BIGINT) AS n, min(source_row) AS first_at FROM ({_SUMMARY_CELLS}) GROUP BY ALL""")
+def value_counts(spark, folder):
+    """All distinct values per column."""
+    return melting.value_counts(_summary_cells(spark, folder), ["file_id", "column_index"])
 
 
 # --- limits --------------------------------------------------------------------
@@ -321,18 +325,15 @@ _EXCEED_SQL = """SELECT m.*, limit_min, limit_max, l.source AS limit_source,
    AND (value_num > limit_max OR value_num < limit_min)"""
 _EXCEED_OUT = ["site_name", "outlet", "sample_type", "measured_on", "item_code", "value_num", "unit", "limit_min",
                "limit_max", "limit_source", "reported_limit", "verdict", "file_id", "source_row", "source_column_index"]
-_EXCEED_TIES = ["file_id", "source_row", "source_column_index", "item_code", "limit_max", "limit_min", "value_num",
-                "outlet", "sample_type", "reported_limit"]
 
 
 @query(S.with_tables("m limits", f"""SELECT site_name, outlet, sample_type, measured_on, item_code,
   CAST(value_num AS DOUBLE) AS value_num, unit, CAST(limit_min AS DOUBLE) AS limit_min, CAST(limit_max AS DOUBLE) AS limit_max,
   limit_source, CAST(reported_limit AS DOUBLE) AS reported_limit, verdict, file_id, source_row, source_column_index
-  FROM found ORDER BY measured_on DESC, site_name, {', '.join(c + ' NULLS FIRST' for c in _EXCEED_TIES)} LIMIT 100""",
+  FROM found""",
                      found=_EXCEED_SQL))
 def exceedances(spark, folder):
-    top = standards.top_exceedances(_exceeding(spark, folder), [F.col(c) for c in _EXCEED_TIES])
-    return top.select(_EXCEED_OUT).withColumns(S.dbl("value_num", "limit_min", "limit_max", "reported_limit"))
+    return _exceeding(spark, folder).select(_EXCEED_OUT).withColumns(S.dbl("value_num", "limit_min", "limit_max", "reported_limit"))
 
 
 @query(S.with_tables("m limits", """SELECT CAST(count(*) AS BIGINT) AS exceeded_count,
@@ -353,16 +354,12 @@ def series_exceeded(spark, folder):
         "bucket", "item_code", F.col("value").cast("double").alias("value"))
 
 
-_REPORTED_TIES = ["site_name", "outlet", "item_code", "value_num", "reported_limit"]
-
-
-@query(S.with_tables("m", f"""SELECT site_name, outlet, item_code, measured_on, CAST(value_num AS DOUBLE) AS value_num,
+@query(S.with_tables("m", """SELECT site_name, outlet, item_code, measured_on, CAST(value_num AS DOUBLE) AS value_num,
   CAST(reported_limit AS DOUBLE) AS reported_limit FROM m WHERE value_num > reported_limit
-  AND (sample_type IS NULL OR sample_type <> '원폐수') ORDER BY measured_on DESC, {', '.join(_REPORTED_TIES)} LIMIT 20"""))
+  AND (sample_type IS NULL OR sample_type <> '원폐수')"""))
 def reported_exceed(spark, folder):
     found = standards.reported_exceedances(S.measurements(spark, folder))
-    return found.orderBy(F.col("measured_on").desc(), *_REPORTED_TIES).limit(C.REPORTED_EXCEEDANCE_ROWS).select(
-        "site_name", "outlet", "item_code", "measured_on", "value_num", "reported_limit").withColumns(
+    return found.select("site_name", "outlet", "item_code", "measured_on", "value_num", "reported_limit").withColumns(
         S.dbl("value_num", "reported_limit"))
 
 
@@ -470,7 +467,7 @@ def source_audit(spark, folder):
 @query(S.with_tables("m files", """SELECT file_id, site_name, owner_user_id, original_filename, item_rows, first_date,
   last_date FROM (SELECT file_id, coalesce(site_name, '(NULL)') AS site_name, CAST(count(*) AS BIGINT) AS item_rows,
   min(measured_on) AS first_date, max(measured_on) AS last_date FROM m WHERE item_code = 'WQ-002' GROUP BY 1, 2)
-  JOIN files USING (file_id) ORDER BY item_rows DESC, file_id, site_name LIMIT 100"""))
+  JOIN files USING (file_id)"""))
 def source_audit_by_site(spark, folder):
     return summaries.source_audit_by_site(S.measurements(spark, folder), S.files(spark, folder), "WQ-002").select(
         "file_id", "site_name", "owner_user_id", "original_filename", "item_rows", "first_date", "last_date")

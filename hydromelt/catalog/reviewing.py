@@ -176,7 +176,7 @@ def review_sheet(spark, folder):
         F.col("p_brand").alias("filename"), F.col("p_name").alias("raw"), F.col("p_partkey").alias("source_row"),
         F.col("p_size").cast("string").alias("value"))
     queue = review.review_queue(S.mapped_columns(spark, folder)).groupBy("출처파일", "원본명").agg(F.count("*").alias("lines"))
-    return review.review_sheet(queue, melting.value_summaries(cells, ["filename", "raw"])).select(
+    return review.review_sheet(queue, melting.value_summaries(cells, ["filename", "raw"], samples=12)).select(
         "출처파일", "원본명", "lines", "row_count", "distinct_count", "values")
 
 

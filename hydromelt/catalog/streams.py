@@ -12,7 +12,6 @@ from hydromelt.catalog import standins as S
 from hydromelt.catalog.registry import Topic
 from hydromelt.operators import usage
 from hydromelt.session import scratch_root
-from hydromelt.sources import sinks
 from hydromelt.streaming import jobs
 
 query = Topic()
@@ -60,15 +59,8 @@ def rate_breach(spark, folder):
 def stream_rate(spark, folder):
     """Requests per key and minute, counted by a stream into a table."""
     path, checkpoint = _places(spark, "rate")
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        sinks.write_partitions(batch.withColumn("batch_id", F.lit(batch_id)), path, ("batch_id",))
-
-    counted = jobs.rate_counts(_usage_columns(_event_stream(spark, folder)))
-    (counted.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(path).groupBy("api_key_id", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute")).agg(
-        F.max("requests").alias("requests"))
+    jobs.land_rate_counts(_usage_columns(_event_stream(spark, folder)), path, checkpoint).awaitTermination()
+    return jobs.read_rate_counts(spark, path).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
 
 
 @query(f"""SELECT event_id AS source_row, event_type AS item_code, CASE WHEN event_type <> 'view' THEN CAST(value AS DOUBLE) END AS value_num,
@@ -76,7 +68,27 @@ def stream_rate(spark, folder):
 def stream_ingest(spark, folder):
     """Text cells typed and landed as they arrive."""
     path, checkpoint = _places(spark, "ingest")
-    cells = _event_stream(spark, folder).select(
+    jobs.land_cells(_event_cells(spark, folder), path, checkpoint, date(2024, 1, 15)).awaitTermination()
+    return jobs.read_cells(spark, path).select("source_row", "item_code", F.col("value_num").cast("double").alias("value_num"),
+                                               "quality_flag")
+
+
+@query(f"""SELECT event_type AS file_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(value) FILTER (event_type <> 'view') AS DOUBLE) AS total
+  FROM events WHERE event_type <> 'click' OR event_id % 3 = 0 GROUP BY 1""")
+def stream_resend(spark, folder):
+    """A file sent again with fewer cells keeps none of its old ones; a repeated sending changes nothing."""
+    path, checkpoint = _places(spark, "resend")
+    cells = _event_cells(spark, folder).withColumn("file_id", F.col("item_code"))
+    again = cells.where((F.col("item_code") == "click") & (F.col("source_row") % 3 == 0))
+    for load_id, sent in ((1, cells), (2, again), (3, again)):
+        jobs.land_cells(sent, path, f"{checkpoint}-{load_id}", date(2024, 1, 15), load_id).awaitTermination()
+    return jobs.read_cells(spark, path).groupBy("file_id").agg(
+        F.count("*").alias("n"), F.sum("value_num").cast("double").alias("total"))
+
+
+def _event_cells(spark, folder) -> DataFrame:
+    """Events as a stream of text cells."""
+    return _event_stream(spark, folder).select(
         F.lit("f").alias("file_id"), F.col("event_id").alias("source_row"), F.lit("c").alias("source_column"),
         F.lit(0).alias("source_column_index"), F.lit(None).cast("string").alias("site_name"),
         F.lit(None).cast("string").alias("outlet"), F.lit(None).cast("string").alias("sample_type"),
@@ -84,9 +96,6 @@ def stream_ingest(spark, folder):
         F.col("event_type").alias("item_code"), F.lit(None).cast("string").alias("unit"),
         F.when(F.col("event_type") == "view", "불검출").otherwise(S.money("value")).alias("text"),
         F.lit(None).cast("string").alias("limit_text"))
-    jobs.land_cells(cells, path, checkpoint, date(2024, 1, 15)).awaitTermination()
-    return spark.read.parquet(path).select("source_row", "item_code", F.col("value_num").cast("double").alias("value_num"),
-                                           "quality_flag")
 
 
 @query("""SELECT lower(event_type) || user_id AS surface_norm, CAST(NULL AS VARCHAR) AS source_id, event_type || ' ' || user_id AS surface,

@@ -57,8 +57,6 @@ INFLUENT = "원폐수"
 
 # --- fixed values: cell texts ----------------------------------------------
 NON_NUMERIC_MARKERS = ("불검출", "검출안됨", "n.d.", "nd", "-", "–", "없음", "미검출", "해당없음")
-VALUE_TEXT_LENGTH = 100
-SAMPLE_VALUE_LIMIT = 12
 PREVIEW_ROW_LIMIT = 10
 
 # --- fixed values: review verdicts -----------------------------------------
@@ -111,10 +109,6 @@ SCALES = ("large", "small")
 OVER_LIMIT = "상한 초과"
 UNDER_LIMIT = "하한 미달"
 RULESET_VERSION = "rules-2026-08-11"
-MAX_SERIES_ROWS = 5_000
-EXCEEDANCE_ROWS = 100
-REPORTED_EXCEEDANCE_ROWS = 20
-PAGE_SIZE_MAX = 200
 ASSUMPTIONS = {
     "bucket": "집계 단위를 월별로 두었습니다",
     "metric": "지표를 평균으로 두었습니다",

@@ -97,6 +97,7 @@ def resolve_dates(df: DataFrame, date_text: str, datetime_text: str, year_text:
 
 def quality_flag(value: Column, reason: Column, measured_on: Column, as_of: Column) -> Column:
     return (F.when(reason == "non_numeric", "non_numeric")
+            .when(reason == "out_of_range", "out_of_range")
             .when(measured_on > as_of, "future_date")
             .when(value < 0, "negative"))
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.functions import values
-from hydromelt.operators.paging import capped
 from hydromelt.operators.standards import applicable_limits, checked_scale, violated
 
 CONDITIONS = ("struct<site_names:array<string>,outlets:array<string>,item_codes:array<string>,"
@@ -106,18 +105,6 @@ def series(measurements: DataFrame, request: AnalysisRequest) -> DataFrame:
             .select(spelled(F.col("_period")).alias("bucket"), "item_code", "value", "n", "missing", "unit"))
 
 
-def capped_series(points: DataFrame, cap: int = C.MAX_SERIES_ROWS) -> DataFrame:
-    """The ordered series, at most ``cap`` points, flagged when more exist.
-
-    The window spans the capped result only: cap + 1 rows at most.
-    """
-    part = capped(points, [F.col("bucket"), F.col("item_code")], cap)
-    ordered = Window.orderBy("bucket", "item_code")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return part.select("*", (F.count("*").over(whole) > cap).alias("truncated"),
-                       F.row_number().over(ordered).alias("_nth")).where(F.col("_nth") <= cap).drop("_nth")
-
-
 def series_limits(limits: DataFrame, request: AnalysisRequest) -> DataFrame:
     """Limit lines of a request; none unless a region is chosen."""
     request = request.with_defaults()
@@ -149,26 +136,21 @@ EVIDENCE_ORDER = ("measured_on", "file_id", "source_row", "source_column_index")
 
 
 def latest_version(ingestion_runs: DataFrame, files: DataFrame) -> DataFrame:
-    """Dictionary version of the newest ingestion per owner."""
+    """Dictionary version of the newest ingestion per owner, and when it ran."""
     return ingestion_runs.join(files.select("file_id", "owner_user_id"), "file_id").groupBy("owner_user_id").agg(
-        F.max_by("dictionary_version", F.struct("ran_at", "file_id")).alias("dictionary_version"))
+        F.max_by("dictionary_version", F.struct("ran_at", "file_id")).alias("dictionary_version"),
+        F.max("ran_at").alias("ran_at"))
 
 
-def run_record(points: DataFrame, lines: DataFrame, request: AnalysisRequest, plan: str,
-               execution_id: str, cap: int = C.MAX_SERIES_ROWS) -> DataFrame:
-    """One stored row of a run: conditions, series, limits and counts as JSON.
+def run_record(points: DataFrame, lines: DataFrame, request: AnalysisRequest, plan: str, execution_id: str) -> DataFrame:
+    """One stored row of a run: conditions and counts over all points and limit lines.
 
-    The series is at most ``cap`` points long, so the gathered list is bounded.
+    Points and lines themselves are stored as tables under the run's id, see :func:`keyed`.
     """
     import json
 
-    kept = capped_series(points, cap)
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "item_code", "value", "n", "missing", "unit")))
-    body = kept.agg(F.to_json(ordered).alias("series"), F.count("*").alias("row_count"),
-                    F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))
-    over = exceeded_points(kept, lines).agg(F.count("*").alias("exceeded_count"))
-    rows = lines.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        "item_code", "scale", "limit_min", "limit_max", "unit", "source", "legal_basis")))).alias("limits"))
+    over = exceeded_points(points, lines).agg(F.count("*").alias("exceeded_count"))
+    body, rows = points.agg(F.count("*").alias("row_count")), lines.agg(F.count("*").alias("limit_count"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     joined = one(body).join(one(over), "_one").join(one(rows), "_one").drop("_one")
     full = request.with_defaults()
@@ -176,7 +158,11 @@ def run_record(points: DataFrame, lines: DataFrame, request: AnalysisRequest, pl
         F.lit(execution_id).alias("execution_id"),
         F.lit(json.dumps(full.conditions(), ensure_ascii=False)).alias("conditions"),
         F.lit(json.dumps(request.assumptions(), ensure_ascii=False)).alias("assumptions"),
-        "series", "limits", F.lit(plan).alias("generated_plan"), F.lit(C.RULESET_VERSION).alias("ruleset_version"),
+        F.lit(plan).alias("generated_plan"), F.lit(C.RULESET_VERSION).alias("ruleset_version"),
         F.lit(full.standard_set).alias("standard_set"), F.lit(full.region_grade).alias("region_grade"),
-        F.lit(full.scale).alias("scale"), F.col("row_count").cast("int"), F.col("exceeded_count").cast("int"),
-        "truncated")
+        F.lit(full.scale).alias("scale"), "row_count", "exceeded_count", "limit_count")
+
+
+def keyed(rows: DataFrame, execution_id: str) -> DataFrame:
+    """Rows of one run as they are stored with those of others."""
+    return rows.select(F.lit(execution_id).alias("execution_id"), "*")

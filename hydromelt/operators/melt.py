@@ -116,14 +116,17 @@ def melt(data: DataFrame, layouts: DataFrame, as_of: Column) -> DataFrame:
 
 
 def typed_records(cells: DataFrame, as_of: Column) -> DataFrame:
-    """Parse the text of long cells into value, flags and reported limit."""
+    """Parse the text of long cells into value, flags and reported limit.
+
+    The whole text is kept; a number too large for the stored type is flagged ``out_of_range``.
+    """
     text, number = F.col("text"), F.col("_number")
-    reason = F.when(number.isNull(), "non_numeric").otherwise("ok")
+    reason = F.when(number.isNull(), "non_numeric").when(F.col("value_num").isNull(), "out_of_range").otherwise("ok")
     return cells.withColumn("_number", values.number_text(text)).withColumn(
         "value_num", number.try_cast(values.DECIMAL)).select(
         "file_id", "source_row", "source_column", "source_column_index", "site_name", "outlet", "sample_type",
         "measured_on", "period_label", "item_code", "unit", "value_num",
-        F.left(text, F.lit(C.VALUE_TEXT_LENGTH)).alias("value_text"), number.isNotNull().alias("is_numeric"),
+        text.alias("value_text"), number.isNotNull().alias("is_numeric"),
         values.is_censored(text, number).alias("censored"),
         values.parse_number(F.col("limit_text")).alias("reported_limit"),
         values.quality_flag(F.col("value_num"), reason, F.col("measured_on"), as_of).alias("quality_flag"))
@@ -150,23 +153,27 @@ def wide_rename(data: DataFrame, columns: DataFrame) -> DataFrame:
                                               F.map_from_arrays("names", padded).alias("values"))
 
 
+def value_counts(cells_long: DataFrame, keys: list[str], position: str = "source_row", value: str = "value") -> DataFrame:
+    """Every distinct value per column, with its count and first position; blank cells count as a null."""
+    return cells_long.groupBy(*keys, values.blank_to_null(F.col(value)).alias("text")).agg(
+        F.count("*").alias("n"), F.min(position).alias("first_at"))
+
+
 def value_summaries(cells_long: DataFrame, keys: list[str], position: str = "source_row",
-                    value: str = "value", limit: int = C.SAMPLE_VALUE_LIMIT) -> DataFrame:
-    """Row count, distinct filled values, first samples and uniqueness per column.
+                    value: str = "value", *, samples: int) -> DataFrame:
+    """Row count, distinct filled values, the first ``samples`` of these and uniqueness per column.
 
     Values are counted per column first; only the first few distinct ones per
-    column are ever gathered.
+    column are ever gathered. All of them are in :func:`value_counts`.
     """
-    text = values.blank_to_null(F.col(value))
-    counted = cells_long.groupBy(*keys, text.alias("text")).agg(
-        F.count("*").alias("n"), F.min(position).alias("first_at"))
+    counted = value_counts(cells_long, keys, position, value)
     totals = counted.groupBy(*keys).agg(
         F.sum("n").alias("row_count"), F.count("text").alias("distinct_count"),
         F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"))
-    heads = top_per(counted.where("text is not null"), keys, [F.col("first_at"), F.col("text")], limit, "nth")
-    samples = heads.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))),
+    heads = top_per(counted.where("text is not null"), keys, [F.col("first_at"), F.col("text")], samples, "nth")
+    shown = heads.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))),
                                                    lambda s: s["text"]).alias("samples"))
-    return totals.join(samples, keys, "left").select(
+    return totals.join(shown, keys, "left").select(
         *keys, "row_count", "distinct_count",
         F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
         ((F.col("filled") > 0) & (F.col("distinct_count") == F.col("filled"))).alias("all_unique"))

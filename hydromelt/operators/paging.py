@@ -1,24 +1,17 @@
-"""Capped and paged results."""
+"""Paged results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from hydromelt import config as C
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20,
-         largest: int = C.PAGE_SIZE_MAX) -> DataFrame:
-    """One page in a total order; page and size are clamped to sane values."""
-    number, size = max(1, number), min(largest, max(1, size))
+def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
+    """One page in a total order; page and size are at least 1, and any larger size is honoured."""
+    number, size = max(1, number), max(1, size)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
 def page_with_total(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> tuple[DataFrame, int]:
     """A page and the number of rows over all pages."""
     return page(df, order, number, size), df.count()
-
-
-def capped(df: DataFrame, order: list[Column], cap: int) -> DataFrame:
-    """Up to ``cap`` + 1 ordered rows: the extra row tells that more exist."""
-    return df.orderBy(*order).limit(cap + 1)

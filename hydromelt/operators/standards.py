@@ -94,8 +94,10 @@ def exceedance_counts(found: DataFrame) -> DataFrame:
         F.col("reported_limit") != F.col("limit_max")).alias("limit_mismatch_count"))
 
 
-def top_exceedances(found: DataFrame, tiebreak: list[Column], rows: int = C.EXCEEDANCE_ROWS) -> DataFrame:
-    return found.orderBy(F.col("measured_on").desc(), F.col("site_name"), *tiebreak).limit(rows)
+def top_exceedances(found: DataFrame, tiebreak: list[Column], rows: int | None) -> DataFrame:
+    """Exceedances from the newest on: the first ``rows``, or all for None."""
+    ordered = found.orderBy(F.col("measured_on").desc(), F.col("site_name"), *tiebreak)
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def reported_exceedances(measurements: DataFrame) -> DataFrame:
@@ -115,5 +117,6 @@ def region_grades(limits: DataFrame) -> DataFrame:
 
 
 def replace_set(current: DataFrame, fresh: DataFrame, standard_set: str = C.DEFAULT_STANDARD_SET) -> DataFrame:
-    """The limits table with one set replaced whole."""
-    return current.where(F.col("standard_set") != standard_set).unionByName(fresh)
+    """The limits table with one set replaced whole, by nothing if ``fresh`` has no row of it. Rows without a set stay."""
+    same = F.col("standard_set").eqNullSafe(standard_set)
+    return current.where(~same).unionByName(fresh.where(same))

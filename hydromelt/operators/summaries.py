@@ -139,6 +139,11 @@ def owner_inventory(files: DataFrame, children: dict[str, DataFrame]) -> DataFra
     return result
 
 
+def files_with_status(files: DataFrame, owner: int, status: str) -> DataFrame:
+    """One owner's files in one state."""
+    return files.where((F.col("owner_user_id") == owner) & (F.col("status") == status))
+
+
 def source_audit(measurements: DataFrame, files: DataFrame, item_code: str, site: str | None = None) -> DataFrame:
     """Where one item's rows come from: counts, period and value range per file."""
     part = measurements.where(F.col("item_code") == item_code)
@@ -151,11 +156,10 @@ def source_audit(measurements: DataFrame, files: DataFrame, item_code: str, site
     return per_file.join(files.select("file_id", "owner_user_id", "original_filename"), "file_id")
 
 
-def source_audit_by_site(measurements: DataFrame, files: DataFrame, item_code: str, rows: int = 100) -> DataFrame:
-    """The sites and files with most rows of one item."""
+def source_audit_by_site(measurements: DataFrame, files: DataFrame, item_code: str) -> DataFrame:
+    """Sites and files with rows of one item."""
     per_site = measurements.where(F.col("item_code") == item_code).groupBy(
         "file_id", F.coalesce("site_name", F.lit("(NULL)")).alias("site_name")).agg(
         F.count("*").alias("item_rows"), F.min("measured_on").alias("first_date"),
         F.max("measured_on").alias("last_date"))
-    return per_site.join(files.select("file_id", "owner_user_id", "original_filename"), "file_id").orderBy(
-        F.col("item_rows").desc(), "file_id", "site_name").limit(rows)
+    return per_site.join(files.select("file_id", "owner_user_id", "original_filename"), "file_id")

@@ -9,9 +9,13 @@ from hydromelt import config as C
 from hydromelt.functions import names
 
 
-def replace_by_file(current: DataFrame, fresh: DataFrame, key: str = "file_id") -> DataFrame:
-    """The table with every file present in ``fresh`` replaced by its new rows."""
-    return current.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+def replace_by_file(current: DataFrame, fresh: DataFrame, loaded: DataFrame | None = None, key: str = "file_id") -> DataFrame:
+    """The table with every loaded file replaced by its new rows.
+
+    ``loaded`` lists the files of the load; without it these are the files that ``fresh`` has rows of.
+    """
+    gone = (fresh if loaded is None else loaded).select(key).distinct()
+    return current.join(gone, key, "left_anti").unionByName(fresh)
 
 
 def current_rows(stored: DataFrame, audit: DataFrame) -> DataFrame:

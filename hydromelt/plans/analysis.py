@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import uuid
 from dataclasses import dataclass
@@ -26,8 +28,10 @@ class AnalysisResult:
 
 def plan_text(df: DataFrame) -> str:
     """The plan of a query, kept with its result as evidence."""
-    return df._jdf.queryExecution().explainString(  # noqa: SLF001
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain()
+    return shown.getvalue()
 
 
 def run_analysis(measurements: DataFrame, files: DataFrame, limits: DataFrame, request: AnalysisRequest,
@@ -41,9 +45,9 @@ def run_analysis(measurements: DataFrame, files: DataFrame, limits: DataFrame, r
         version = analysis.latest_version(ingestion_runs, files)
         if owner is not None:
             version = version.where(F.col("owner_user_id") == owner)
-        newest = version.agg(F.max("dictionary_version").alias("dictionary_version")).withColumn("_one", F.lit(1))
+        newest = version.agg(F.max_by("dictionary_version", "ran_at").alias("dictionary_version")).withColumn("_one", F.lit(1))
         record = record.withColumn("_one", F.lit(1)).join(newest, "_one").drop("_one")
-    return AnalysisResult(execution_id, request.assumptions(), analysis.capped_series(points), lines,
+    return AnalysisResult(execution_id, request.assumptions(), points.orderBy("bucket", "item_code"), lines,
                           analysis.exceeded_points(points, lines), record)
 
 
@@ -60,10 +64,10 @@ def replay(measurements: DataFrame, files: DataFrame, conditions: str, owner: in
 
 def exceedance_report(measurements: DataFrame, limits: DataFrame, standard_set: str = C.DEFAULT_STANDARD_SET,
                       region_grade: str = "가지역", scale: str | None = None,
-                      file_id=None) -> tuple[DataFrame, DataFrame]:
-    """(counts over everything, newest rows) of values outside legal limits."""
+                      file_id=None, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counts, rows) of values outside legal limits: all of them, or the newest ``rows``."""
     part = measurements if file_id is None else measurements.where(F.col("file_id") == file_id)
     found = standards.exceedances(part, limits, standard_set, region_grade, scale)
     tiebreak = [F.col(c) for c in ("file_id", "source_row", "source_column_index", "item_code", "limit_max")
                 if c in found.columns]
-    return standards.exceedance_counts(found), standards.top_exceedances(found, tiebreak)
+    return standards.exceedance_counts(found), standards.top_exceedances(found, tiebreak, rows)

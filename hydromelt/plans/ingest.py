@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,30 +27,56 @@ def records_of(columns: DataFrame, data: DataFrame, as_of: date, overrides: Data
 
 
 def ingest(columns: DataFrame, data: DataFrame, path: str, audit_path: str, as_of: date,
-           dictionary_version: str, overrides: DataFrame | None = None,
-           units: DataFrame | None = None, batch_id: int | None = None) -> DataFrame:
-    """Replace the stored measurements of these files and write their audit rows.
+           dictionary_version: str, overrides: DataFrame | None = None, units: DataFrame | None = None,
+           batch_id: int | None = None, ran_at: datetime | None = None) -> DataFrame:
+    """Load the measurements of these files, in place of what was stored of them, and write their audit rows.
 
-    With ``batch_id`` the load is appended instead, and readers see the newest load
-    of each file through :func:`stored_measurements`.
+    Every load is added under its batch number, by default the time in microseconds; readers see the newest load of each
+    file through :func:`stored_measurements`, so a file that lost all its values is empty there. ``columns`` may carry
+    the mapping_run_id they come from.
     """
-    records = stage(records_of(columns, data, as_of, overrides, units), "records")
-    audit = summaries.ingestion_audit(records, data.select("file_id", "source_row")).withColumn(
-        "dictionary_version", F.lit(dictionary_version)).withColumn("ran_on", F.lit(as_of))
-    if batch_id is None:
-        sinks.write_measurements(records, path)
-        sinks.write_ingestion_runs(audit, audit_path)
-    else:
-        sinks.append_measurements(records, path, batch_id)
-        sinks.write_partitions(audit.withColumn("batch_id", F.lit(batch_id)), audit_path, ("batch_id",))
+    ran_at = ran_at or datetime.now(timezone.utc)
+    batch_id = int(ran_at.timestamp() * 1_000_000) if batch_id is None else batch_id
+    records = records_of(columns, data, as_of, overrides, units)
+    loaded = data.select("file_id", "source_row")
+    if "mapping_run_id" in columns.columns:
+        runs = columns.select("file_id", "mapping_run_id").distinct()
+        records = records.join(runs, "file_id", "left")
+    records = stage(records, "records")
+    audit = summaries.ingestion_audit(records, loaded).withColumns({
+        "dictionary_version": F.lit(dictionary_version), "ran_at": F.lit(ran_at)})
+    if "mapping_run_id" in columns.columns:
+        audit = audit.join(runs, "file_id", "left")
+    audit = stage(audit, "audit")
+    sinks.append_measurements(records, path, batch_id)
+    sinks.append_ingestion_runs(audit, audit_path, batch_id)
     return audit
 
 
+def newest_mapping(runs: DataFrame, columns: DataFrame, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(columns, overrides) of the newest mapping run of each file.
+
+    runs: mapping_run_id, file_id, round_no; columns: mapping_run_id and the mapped columns; reviews: file_id, column_index,
+    code, dict_type of columns decided by a person, which override the mapping.
+    """
+    newest = runs.groupBy("file_id").agg(F.max_by("mapping_run_id", F.struct("round_no", "mapping_run_id")).alias("mapping_run_id"))
+    chosen = columns.join(newest.select("mapping_run_id"), "mapping_run_id", "left_semi")
+    if reviews is None:
+        reviews = chosen.where("false").select("file_id", "column_index", "code", "dict_type")
+    return chosen, reviews.where("code is not null").select("file_id", "column_index", "code", "dict_type")
+
+
 def stored_measurements(spark: SparkSession, path: str, audit_path: str) -> DataFrame:
-    """The current measurements of a table of appended loads."""
+    """The current measurements: those of the newest load of each file."""
     return tables.current_rows(spark.read.parquet(path), spark.read.parquet(audit_path))
 
 
+def stored_runs(spark: SparkSession, audit_path: str) -> DataFrame:
+    """The audit rows of the newest load of each file."""
+    runs = spark.read.parquet(audit_path)
+    return tables.current_rows(runs, runs)
+
+
 def export_ndjson(records: DataFrame, meta: DataFrame, path: str) -> None:
     """Records and meta lines as NDJSON, split into many part files."""
     ndjson.record_lines(records).select("value").write.mode("overwrite").text(f"{path}/rows")

@@ -61,9 +61,9 @@ def map_folder(spark: SparkSession, folder: str, dictionary_dir: str) -> MappedF
     return MappedFolder(cells, data, columns, summaries.mapping_summary(columns), entries)
 
 
-def value_summaries(mapped: MappedFolder) -> DataFrame:
+def value_summaries(mapped: MappedFolder, samples: int = 12) -> DataFrame:
     """Value summaries of the undecided columns."""
-    return melt.value_summaries(melt.undecided_cells(mapped.data, mapped.columns), ["file_id", "column_index"])
+    return melt.value_summaries(melt.undecided_cells(mapped.data, mapped.columns), ["file_id", "column_index"], samples=samples)
 
 
 def run(spark: SparkSession, folder: str, dictionary_dir: str, output: str) -> MappedFolder:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +33,36 @@ def build(app: str = "hydromelt", master: str | None = None, **confs: str) -> Sp
     wanted.update({key.replace("__", "."): value for key, value in confs.items()})
     for key, value in wanted.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+@functools.cache
+def packed() -> str:
+    """The package as a zip file, packed once per driver."""
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="hydromelt-"), "hydromelt.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                out.write(file, os.path.relpath(file, os.path.dirname(top)))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the workers, which may not have it; Spark copies the file to them."""
+    if not spark.conf.get("spark.hydromelt.shipped", None):
+        spark.sparkContext.addPyFile(packed())
+        spark.conf.set("spark.hydromelt.shipped", "true")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    A local master without one gets a temporary folder: driver and executors are one process there.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
@@ -70,11 +97,10 @@ def work_splits(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Deal a few large input splits out over all cores before per-row work.
+    """Deal a table of few files out over all cores before per-row work.
 
-    Inputs that already come in at least one split per core, as any large table
-    does, are left alone. ``by`` names columns to deal by, which spares the sort
-    of a round-robin exchange.
+    A table of at least one file per core, as any large one is, is left alone. ``by`` names columns to deal by, which spares
+    the sort of a round-robin exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *by)

@@ -17,35 +17,26 @@ def write_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_measurements(records: DataFrame, path: str) -> None:
-    """Replace the stored measurements of every file in ``records``.
-
-    Rebalancing gathers small files into few writers and splits a very large
-    one over many; rows are sorted by item and date for row-group pruning.
-    """
-    sized = records.hint("rebalance", F.col("file_id")).sortWithinPartitions("file_id", "item_code", "measured_on")
-    write_partitions(sized, path, ("file_id",))
-
-
 def append_measurements(records: DataFrame, path: str, batch_id: int) -> None:
-    """Add one load of many files under its batch number; repeating a load replaces itself.
+    """Add one load under its batch number; repeating a load replaces itself.
 
-    For tables of very many files: no folder per file, nothing old is rewritten.
-    Reading goes through :func:`hydromelt.operators.tables.current_rows`.
+    No folder per file, nothing old is rewritten. Reading goes through
+    :func:`hydromelt.operators.tables.current_rows`, which knows emptied files from the audit.
     """
     sized = records.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", F.col("item_code"))
     write_partitions(sized.sortWithinPartitions("item_code", "measured_on"), path, ("batch_id",))
 
 
-def write_ingestion_runs(audit: DataFrame, path: str) -> None:
-    write_partitions(audit, path, ("file_id",))
+def append_ingestion_runs(audit: DataFrame, path: str, batch_id: int) -> None:
+    """Add a load's audit: one row per loaded file, also of files without any value."""
+    write_partitions(audit.withColumn("batch_id", F.lit(batch_id)), path, ("batch_id",))
 
 
 def replace_standard_set(current: DataFrame, fresh: DataFrame, path: str,
                          standard_set: str = C.DEFAULT_STANDARD_SET) -> None:
-    """Swap one set of limits; everything is parsed and written aside first."""
+    """Swap one set of limits, or drop it if ``fresh`` has none; everything is parsed and written aside first."""
     whole = stage(replace_set(current, fresh, standard_set), "limits")
-    write_partitions(whole, path, ("standard_set",))
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("standard_set").parquet(path)
 
 
 def csv_line(columns: list[Column]) -> Column:

@@ -10,14 +10,26 @@ from hydromelt.operators import melt, tables
 from hydromelt.sources import ndjson, sinks
 
 
-def rate_counts(usage: DataFrame, lateness: str = "2 minutes") -> DataFrame:
-    """Requests per key and minute over an event stream; late rows beyond ``lateness`` are dropped."""
-    # Watermarks need an instant, so a zoneless time is read in the session's zone.
-    return (usage.withColumn("requested_at", F.col("requested_at").cast("timestamp"))
-            .withWatermark("requested_at", lateness)
-            .groupBy("api_key_id", F.window("requested_at", "1 minute").alias("w"))
-            .agg(F.count("*").alias("requests"))
-            .select("api_key_id", F.col("w.start").alias("minute"), "requests"))
+def rate_counts(usage: DataFrame) -> DataFrame:
+    """Requests per key and minute."""
+    return usage.groupBy("api_key_id", F.date_trunc("minute", "requested_at").alias("minute")).agg(F.count("*").alias("requests"))
+
+
+def land_rate_counts(usage: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Count requests as they arrive: each micro-batch lands its own counts under its number.
+
+    However late a request is, it counts; a replayed batch replaces itself. Reading adds the parts up.
+    """
+    def land(batch: DataFrame, batch_id: int) -> None:
+        sinks.write_partitions(rate_counts(batch).withColumn("batch_id", F.lit(batch_id)), path, ("batch_id",))
+
+    return (usage.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_rate_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Landed requests per key and minute."""
+    return spark.read.parquet(path).groupBy("api_key_id", "minute").agg(F.sum("requests").alias("requests"))
 
 
 def breaches(counted: DataFrame, allowed: int) -> DataFrame:
@@ -42,16 +54,23 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return tables.newest_records(spark.read.parquet(path))
 
 
-def land_cells(cells: DataFrame, path: str, checkpoint: str, as_of) -> StreamingQuery:
-    """Parse long text cells as they arrive and append the typed records."""
+def land_cells(cells: DataFrame, path: str, checkpoint: str, as_of, load_id: int = 0) -> StreamingQuery:
+    """Parse long text cells as they arrive; ``load_id`` numbers the sendings, so that a file sent again replaces itself."""
     def land(batch: DataFrame, batch_id: int) -> None:
-        typed = melt.typed_records(batch, F.lit(as_of)).withColumn("batch_id", F.lit(batch_id))
-        sinks.write_partitions(typed, path, ("batch_id",))
+        typed = melt.typed_records(batch, F.lit(as_of)).withColumns({"load_id": F.lit(load_id), "batch_id": F.lit(batch_id)})
+        sinks.write_partitions(typed, path, ("load_id", "batch_id"))
 
     return (cells.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Landed records of each file's newest load, one per source cell."""
+    stored = spark.read.parquet(path)
+    newest = stored.groupBy("file_id").agg(F.max("load_id").alias("load_id"))
+    return tables.newest_records(stored.join(newest, ["file_id", "load_id"], "left_semi")).drop("load_id")
+
+
 def accumulate_sightings(sightings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Merge unresolved-name sightings (surface, source_id, seen_on) into a queue.
 

@@ -91,19 +91,15 @@ def test_series(facts):
     assert (empty.value, empty.n, empty.missing) == (None, 1, 1)
 
 
-def test_series_cap_flags_only_real_overflow(facts):
-    points = analysis.series(facts, AnalysisRequest())
-    assert {(r.bucket, r.truncated) for r in analysis.capped_series(points, 2).collect()} == {("2024-01", True), ("2024-04", True)}
-    assert {r.truncated for r in analysis.capped_series(points, 3).collect()} == {False}
-
-
 def test_run_and_replay(facts, files, limits):
     request = AnalysisRequest(region_grade="가지역", scale="large")
     result = plans.run_analysis(facts, files, limits, request, owner=10)
     assert result.series.count() == 2 and result.exceeded.count() == 1
     record = result.record.first()
-    assert (record.row_count, record.exceeded_count, record.truncated) == (2, 1, False)
-    assert len(json.loads(record.series)) == 2 and "Aggregate" in record.generated_plan
+    assert (record.row_count, record.exceeded_count, record.limit_count) == (2, 1, result.limits.count())
+    assert "Aggregate" in record.generated_plan
+    stored = analysis.keyed(result.series, result.execution_id).collect()
+    assert {r.execution_id for r in stored} == {record.execution_id} and len(stored) == 2
     rows, total = plans.replay(facts, files, record.conditions, owner=10, size=2)
     assert total == 3 and [r.source_row for r in rows.collect()] == [0, 1]
     assert rows.first().filename == "one.csv"
@@ -139,8 +135,12 @@ def test_replace_standard_set(spark, limits, tmp_path):
     current = spark.read.parquet(path).select(limits.columns)
     sinks.replace_standard_set(current, limits.limit(1), path)
     spark.catalog.refreshByPath(path)
-    got = {r.standard_set: r["count"] for r in spark.read.parquet(path).groupBy("standard_set").count().collect()}
-    assert got == {"other": 3, "배출허용기준": 1}
+    count = lambda: {r.standard_set: r["count"] for r in spark.read.parquet(path).groupBy("standard_set").count().collect()}
+    assert count() == {"other": 3, "배출허용기준": 1}
+    stray = other.limit(2).unionByName(limits.where("false"))
+    sinks.replace_standard_set(spark.read.parquet(path).select(limits.columns), stray, path)
+    spark.catalog.refreshByPath(path)
+    assert count() == {"other": 3}
 
 
 def test_totals(facts):

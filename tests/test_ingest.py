@@ -79,6 +79,30 @@ def test_overrides_touch_only_their_column(spark, report):
     assert (got[4].code, got[4].status) == ("WQ-004", "unmapped")
 
 
+def test_large_numbers_are_flagged_and_long_texts_kept(spark):
+    columns = spark.createDataFrame([("f", 0, "c", "WQ-001", M, None)], COLUMNS)
+    cells = ["1234567890123", "x" * 500, "123456789012"]
+    data = spark.createDataFrame([("f", i, [c]) for i, c in enumerate(cells)], "file_id string, source_row long, cells array<string>")
+    got = {r.source_row: r for r in ingest.records_of(columns, data, AS_OF).collect()}
+    assert [got[i].value_text for i in range(3)] == cells
+    assert [got[i].quality_flag for i in range(3)] == ["out_of_range", "non_numeric", None]
+    assert got[0].is_numeric and got[0].value_num is None and int(got[2].value_num) == 123456789012
+
+
+def test_newest_mapping_and_its_run_reach_the_records(spark, report, tmp_path):
+    columns, data = report
+    runs = spark.createDataFrame([(11, "r", 1), (12, "r", 2)], "mapping_run_id long, file_id string, round_no int")
+    both = columns.withColumns({"status": F.lit("exact"), "via": F.lit(None).cast("string")}).join(runs.drop("round_no"), "file_id")
+    reviews = spark.createDataFrame([("r", 8, "WQ-099", None), ("r", 4, None, None)], "file_id string, column_index int, code string, dict_type string")
+    chosen, overrides = ingest.newest_mapping(runs, both, reviews)
+    assert {r.mapping_run_id for r in chosen.collect()} == {12}
+    ingest.ingest(chosen, data, str(tmp_path / "m"), str(tmp_path / "a"), AS_OF, "v1", overrides)
+    stored = ingest.stored_measurements(spark, str(tmp_path / "m"), str(tmp_path / "a"))
+    assert {(r.mapping_run_id, r.item_code) for r in stored.collect()} == {(12, "WQ-004"), (12, "WQ-005"), (12, "WQ-099")}
+    audit = ingest.stored_runs(spark, str(tmp_path / "a")).first()
+    assert audit.mapping_run_id == 12 and audit.ran_at is not None
+
+
 def _plain_cell(text):
     text = (text or "").strip()
     return text or None
@@ -100,11 +124,11 @@ def test_ingest_replaces_files(spark, report, tmp_path):
     ingest.ingest(*other, path, audit_path, AS_OF, "v1")
     for _ in range(2):
         ingest.ingest(columns, data, path, audit_path, AS_OF, "v1")
-    stored = spark.read.parquet(path)
+    stored = ingest.stored_measurements(spark, path, audit_path)
     assert {(r.file_id, r["count"]) for r in stored.groupBy("file_id").count().collect()} == {("r", 7), ("other", 7)}
     ingest.ingest(columns, data.where("source_row = 0"), path, audit_path, AS_OF, "v2")
-    assert spark.read.parquet(path).where("file_id = 'r'").count() == 3
-    audit = {r.file_id: r for r in spark.read.parquet(audit_path).collect()}
+    assert ingest.stored_measurements(spark, path, audit_path).where("file_id = 'r'").count() == 3
+    audit = {r.file_id: r for r in ingest.stored_runs(spark, audit_path).collect()}
     assert (audit["other"].source_rows, audit["other"].inserted_values, audit["other"].non_numeric_values,
             audit["other"].flagged_values, audit["other"].measured_columns) == (3, 7, 1, 3, 3)
     assert audit["r"].dictionary_version == "v2" and audit["r"].inserted_values == 3

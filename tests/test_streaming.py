@@ -35,6 +35,17 @@ def test_sightings_over_several_batches_match_one_batch(spark, tmp_path):
     assert key(jobs.read_sightings(spark, str(tmp_path / "q"))) == key(whole)
 
 
+def test_late_requests_count(spark, tmp_path):
+    schema = "api_key_id long, requested_at timestamp_ntz"
+    for part in ([(1, "2024-01-01 00:05:00"), (1, "2024-01-01 09:00:00")], [(1, "2024-01-01 00:05:30"), (2, "2024-01-01 00:05:01")]):
+        rows = spark.createDataFrame(part, "api_key_id long, t string").select("api_key_id", F.to_timestamp_ntz("t").alias("requested_at"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.land_rate_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.api_key_id, r.minute.hour, r.minute.minute): r.requests for r in jobs.read_rate_counts(spark, str(tmp_path / "out")).collect()}
+    assert got == {(1, 0, 5): 2, (1, 9, 0): 1, (2, 0, 5): 1}
+
+
 def test_rate_counts_and_breaches(spark):
     log = spark.createDataFrame([(1, f"2024-01-01 00:00:{s:02d}") for s in range(5)] + [(2, "2024-01-01 00:00:10")],
                                 "api_key_id long, requested_at string").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
@@ -58,5 +69,5 @@ def test_typed_stream_matches_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.land_cells(stream, str(tmp_path / "out"), str(tmp_path / "cp"), date(2025, 1, 1)).awaitTermination()
     batch = melt.typed_records(rows, F.lit(date(2025, 1, 1)))
-    landed = spark.read.parquet(str(tmp_path / "out")).select(batch.columns)
+    landed = jobs.read_cells(spark, str(tmp_path / "out")).select(batch.columns)
     assert landed.exceptAll(batch).count() == 0 and landed.count() == 50
