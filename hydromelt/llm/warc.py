@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 
 from hydromelt import session
 from hydromelt.llm.common import table, utf8
+from hydromelt.operators.joins import checked_broadcast
 
 #: Payload bytes an archive is meant to hold.
 ARCHIVE_BYTES = 16 << 20
 #: First payload bytes of an archive that its dictionary is trained on, and the dictionary's size.
 TRAIN_BYTES = 1 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Most payloads with copies whose digests are sent to every task (some 10 MB); more are joined by a shuffle.
+DUPLICATES = 100_000
 #: Compressed bytes given to the decoder at once.
 FEED = 16 << 10
 #: Fixed values of the formats.
@@ -62,10 +65,10 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + "".join(lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: object, url: str | None, payload: bytes, refers_to: object, date: str = DATE) -> bytes:
+def page_record(page_id: object, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: object,
+                date: str = DATE) -> bytes:
     """A response record, or a revisit of ``refers_to``; a revisit's block keeps the HTTP headers only."""
-    digest = base32_sha1(payload)
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     again = refers_to is not None
     return record([
         ("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date),
@@ -85,12 +88,12 @@ def train(payloads: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
-def archive(rows: Iterator[tuple[object, str | None, bytes, object]]) -> Iterator[bytes]:
-    """The parts of one archive file: dictionary frame, warcinfo, then a frame per row."""
+def archive(rows: Iterator[tuple]) -> Iterator[bytes]:
+    """The parts of one archive file: dictionary frame, warcinfo, then a frame per row of :func:`page_record`'s arguments."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[2])
+        size += len(row[2] or b"")
         if size >= TRAIN_BYTES:
             break
     dictionary = train([r[2][:64 << 10] for r in held if r[2]])
@@ -195,15 +198,16 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
     first = narrow.where(F.col("size") >= least_bytes).groupBy("sha1").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first")
     # Ids pass through headers as text; a copy is told by being unequal to the first id.
-    marked = rows.join(first, "sha1", "left").withColumn(
-        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    marked = rows.join(checked_broadcast(first, DUPLICATES), "sha1", "left").withColumn(
+        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).withColumn(
+        "size", F.octet_length("payload").cast("long")).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     archives = max(1, -(-total // ARCHIVE_BYTES))
-    dealt = marked.select("page_id", "url", "payload", "refers_to", "sha1").repartition(
+    dealt = marked.select("page_id", "url", "payload", "size", "sha1", "refers_to").repartition(
         archives, F.xxhash64("page_id", "url", "sha1")).sortWithinPartitions("page_id", "url", "sha1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(
-            batch.column(n).to_pylist() for n in ("page_id", "url", "payload", "refers_to")), strict=True))
+        rows = ((*row[:4], base64.b32encode(bytes.fromhex(row[4])).decode(), row[5]) for batch in batches for row in zip(
+            *(c.to_pylist() for c in batch.columns), strict=True))
         one = next(rows, None)
         if one is None:
             return
