@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hydromelt.catalog import standins as S
@@ -9,7 +11,8 @@ from hydromelt.catalog.registry import Topic
 from hydromelt.functions import names, values
 from hydromelt.operators import headers
 from hydromelt.operators.lexicon import flag_listed
-from hydromelt.sources import ndjson
+from hydromelt.session import scratch_root
+from hydromelt.sources import files, ndjson
 
 query = Topic()
 
@@ -127,6 +130,28 @@ def merged_header(spark, folder):
     return headers.file_columns(cells, headers.header_rows(cells))
 
 
+# --- files ----------------------------------------------------------------------
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS first_cell, c_mktsegment AS second_cell,
+  CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_name END AS third_cell,
+  CASE WHEN c_custkey % 11 = 0 AND c_custkey % 7 <> 0 THEN 4 ELSE 3 END AS width,
+  c_custkey % 11 = 0 AND c_custkey % 7 <> 0 AS ragged, 'utf-8-sig' AS encoding FROM customer""")
+def csv_read_back(spark, folder):
+    """Customers written as CSV lines, some short, some too long, some with missing marks, and read again by line."""
+    key = F.col("c_custkey")
+    name = F.when(key % 7 != 0, F.when(key % 5 == 0, "NA").otherwise(F.col("c_name")))
+    cells = F.concat_ws(",", key.cast("string"), "c_mktsegment", name, F.when((key % 11 == 0) & (key % 7 != 0), "too much"))
+    body = S.table(spark, folder, "customer").select((key % 4).alias("part"), F.lit(1).alias("place"), cells.alias("line"))
+    heads = body.select("part").distinct().select("part", F.lit(0).alias("place"), F.lit("key,segment,name").alias("line"))
+    path = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    # One file per part, its header first; the separator and quote marks never occur, so lines are written as they are.
+    (body.unionByName(heads).repartition(4, "part").sortWithinPartitions("part", "place").select("part", "line").write
+     .options(sep="\x01", quote="\x02", escape="\x02").partitionBy("part").csv(path))
+    grid = files.read_folder(spark, path, whole_bytes=0).where("row_idx > 0")
+    return grid.select(*[F.get("cells", F.lit(i)).alias(f"{nth}_cell") for i, nth in enumerate(("first", "second", "third"))],
+                       F.size("cells").alias("width"), "ragged", "encoding")
+
+
 # --- keys, hashes, JSON ----------------------------------------------------------
 
 _SPELLED = "p_name || ' (' || p_type || ') ' || p_brand"
@@ -169,8 +194,8 @@ def content_hash(spark, folder):
 def json_props(spark, folder):
     """A JSON column with unreadable texts replaced by a fallback."""
     text = F.when(F.col("event_type") == "error", F.concat(F.lit("broken "), "props")).otherwise(F.col("props"))
-    parsed = F.from_json(text, "struct<k:bigint>")
-    return S.table(spark, folder, "events").select("event_id", F.coalesce(parsed["k"], F.lit(-1)).alias("k"))
+    parsed = values.json_or(text, "struct<k:bigint>", F.struct(F.lit(-1).cast("bigint").alias("k")))
+    return S.table(spark, folder, "events").select("event_id", parsed["k"].alias("k"))
 
 
 @query("""SELECT event_id AS source_row, user_id AS source_column_index, event_type AS source_column,

@@ -316,7 +316,7 @@ _VERIFY_CTES = dict(
   CASE WHEN t.term NOT IN (SELECT p_name FROM part) THEN s.official END AS official, coalesce(related, '') AS related
   FROM targets t LEFT JOIN spelled s ON spelling = t.term LEFT JOIN near ON near.term = t.term""", **_VERIFY_CTES))
 def term_verify(spark, folder):
-    checked = term_ops.verify_terms(_targets(spark, folder), _standard(spark, folder), _vocabulary(spark, folder))
+    checked = term_ops.verify_terms(_targets(spark, folder), _standard(spark, folder), _vocabulary(spark, folder), related=6)
     return checked.select("term", "verdict", "official", F.array_join("related", ",").alias("related"))
 
 
@@ -328,4 +328,4 @@ def term_verify_fuzzy(spark, folder):
     """The three most similar official names per target, as advice."""
     targets = _targets(spark, folder).select(F.col("std_name").alias("term"))
     official = _standard(spark, folder).groupBy("term_name").agg(F.min("row_no").alias("row_no"))
-    return term_ops.similar_names(targets, official)
+    return term_ops.similar_names(targets, official, 3)

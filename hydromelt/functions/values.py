@@ -187,4 +187,4 @@ def contains_word(word: str, *texts: Column) -> Column:
 
 def json_or(text: Column, schema: str, fallback: Column) -> Column:
     """Parse a JSON column; null or unreadable text gives the fallback."""
-    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), fallback)
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)).otherwise(fallback)

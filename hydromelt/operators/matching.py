@@ -10,7 +10,7 @@ from hydromelt import config as C
 from hydromelt import schemas
 from hydromelt.functions import names, similarity, values
 from hydromelt.operators.numbering import top_per
-from hydromelt.session import work_splits
+from hydromelt.session import stage, work_splits
 
 _ENTRY = ("dict_type", "code", "variant", "variant_norm")
 
@@ -81,10 +81,9 @@ def nearest_entries(undecided: DataFrame, lexicon: DataFrame, splits: int | None
                     slices: int = 1) -> DataFrame:
     """Most similar lexicon entry per name.
 
-    Names are hashed over ``splits`` groups and each group meets one of
-    ``slices`` lexicon slices, so neither side is held whole anywhere and only
-    one row per name and slice leaves a task. Raise ``slices`` for a lexicon too
-    large for one task.
+    Every name is compared with every entry, as the best score counts even where it is too low to decide anything. Names are
+    hashed over ``splits`` groups and each group meets one of ``slices`` lexicon slices; one row per name and slice
+    leaves a task. Raise ``slices`` for a lexicon too large for one task.
     """
     splits = splits or work_splits(undecided.sparkSession)
     spread = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
@@ -110,7 +109,8 @@ def map_names(raw_names: DataFrame, lexicon: DataFrame, slices: int = 1) -> Data
 
     Tiers in fixed order: exact, bracketed abbreviation, site prefix, similarity.
     """
-    hits = first_hits(lookup_keys(parse_names(raw_names)), lexicon)
+    # Read twice, so the names are parsed and looked up once and written aside.
+    hits = stage(first_hits(lookup_keys(parse_names(raw_names)), lexicon), "hits")
     undecided = hits.where("hit is null")
     near = nearest_entries(undecided, lexicon, slices=slices).select(
         F.col("raw").alias("_raw"), "score",

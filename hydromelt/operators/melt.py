@@ -96,23 +96,22 @@ def _cell(index: Column) -> Column:
 def melt(data: DataFrame, layouts: DataFrame, as_of: Column) -> DataFrame:
     """One record per row and filled measured column, with provenance and flags.
 
-    The layout is joined before the rows fan out, and only measured columns
-    are fanned out. A blank cell gives no record: missing is not zero.
+    The layout is joined before the rows fan out. What fans out is one entry per
+    filled measured column with its own texts; the row's cells end before. A blank
+    cell gives no record: missing is not zero.
     """
+    entries = F.transform("measures", lambda m: F.struct(
+        m["raw"].alias("source_column"), m["column_index"].alias("source_column_index"), m["code"].alias("item_code"),
+        m["unit"].alias("unit"), _cell(m["column_index"]).alias("text"), _cell(m["limit_index"]).alias("limit_text")))
     wide = data.join(checked_broadcast(layouts), "file_id").select(
-        "file_id", "source_row", "cells", "measures", _cell(F.col("site")).alias("site_name"),
+        "file_id", "source_row", F.filter(entries, lambda m: m["text"].isNotNull()).alias("filled"), _cell(F.col("site")).alias("site_name"),
         _cell(F.col("outlet")).alias("outlet"), _cell(F.col("sample_type")).alias("sample_type"),
         *[_cell(F.col(role)).alias(f"{role}_text") for role in ("date", "datetime", "year", "month", "period")])
     dated = values.resolve_dates(wide, "date_text", "datetime_text", "year_text", "month_text", "period_text")
     # Row-level work ends before the rows fan out.
     fanned = dated.select("file_id", "source_row", "site_name", "outlet", "sample_type", "measured_on",
-                          "period_label", "cells", "measures").select("*", F.explode("measures").alias("m"))
-    return typed_records(fanned.select(
-        "file_id", "source_row", "site_name", "outlet", "sample_type", "measured_on", "period_label",
-        F.col("m.raw").alias("source_column"), F.col("m.column_index").alias("source_column_index"),
-        F.col("m.code").alias("item_code"), F.col("m.unit").alias("unit"),
-        _cell(F.col("m.column_index")).alias("text"), _cell(F.col("m.limit_index")).alias("limit_text")
-    ).where("text is not null"), as_of)
+                          "period_label", F.explode("filled").alias("m"))
+    return typed_records(fanned.select("*", "m.*").drop("m"), as_of)
 
 
 def typed_records(cells: DataFrame, as_of: Column) -> DataFrame:

@@ -26,8 +26,8 @@ def official_synonyms(standard: DataFrame) -> DataFrame:
             .groupBy("spelling").agg(F.min_by("official", F.struct("row_no", "pos")).alias("official")))
 
 
-def containing_terms(targets: DataFrame, standard: DataFrame, limit: int = 6) -> DataFrame:
-    """Official names inside a target or around it, the longest first.
+def containing_terms(targets: DataFrame, standard: DataFrame) -> DataFrame:
+    """All official names inside a target or around it.
 
     ``targets``: term. Both directions are equi-joins on substrings.
     """
@@ -35,9 +35,7 @@ def containing_terms(targets: DataFrame, standard: DataFrame, limit: int = 6) ->
     official = standard.select(values.strip(F.col("term_name")).alias("official")).where("official <> ''").distinct()
     inside = contained_in(official, "official", terms, "term")
     around = contained_in(terms, "term", official, "official")
-    both = inside.select("term", "official").unionByName(around.select("term", "official")).where(
-        "term <> official").distinct()
-    return top_per(both, ["term"], [F.length("official").desc(), F.col("official")], limit, "place")
+    return inside.select("term", "official").unionByName(around.select("term", "official")).where("term <> official").distinct()
 
 
 def word_list(raw_words: DataFrame) -> DataFrame:
@@ -69,13 +67,17 @@ def segment_terms(targets: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return full.mapInPandas(lambda batches: (_segment(b) for b in batches), "term string, parts array<string>")
 
 
-def verify_terms(targets: DataFrame, standard: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Verdict per target: listed, listed as synonym, composed of words, or not found."""
+def verify_terms(targets: DataFrame, standard: DataFrame, vocabulary: DataFrame | None = None, *, related: int) -> DataFrame:
+    """Verdict per target: listed, listed as synonym, composed of words, or not found.
+
+    ``related``: how many of the names in :func:`containing_terms` are shown, the longest first.
+    """
     terms = targets.select("code", values.strip(F.col("std_name")).alias("term"))
     listed = standard.select(values.strip(F.col("term_name")).alias("term")).distinct().withColumn(
         "listed", F.lit(True))
     spelled = official_synonyms(standard).withColumnRenamed("spelling", "term")
-    around = containing_terms(terms, standard).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(
+    nearest = top_per(containing_terms(terms, standard), ["term"], [F.length("official").desc(), F.col("official")], related, "place")
+    around = nearest.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(
         F.struct("place", "official"))), lambda s: s["official"]).alias("related"))
     joined = terms.join(listed, "term", "left").join(spelled, "term", "left").join(around, "term", "left")
     if vocabulary is None:
@@ -99,8 +101,8 @@ def composed_abbreviations(parts: DataFrame, vocabulary: DataFrame) -> DataFrame
     ).alias("abbr"))
 
 
-def similar_names(targets: DataFrame, standard: DataFrame, limit: int = 3) -> DataFrame:
-    """The most similar official names per target, as advice only."""
+def similar_names(targets: DataFrame, standard: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` most similar official names per target, as advice only."""
     def rank(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pool = right.sort_values("row_no", kind="stable")["official"].tolist()
         rows = []

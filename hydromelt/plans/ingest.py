@@ -23,7 +23,8 @@ def records_of(columns: DataFrame, data: DataFrame, as_of: date, overrides: Data
     """Measurement records of mapped files, reviewed codes applied first."""
     if overrides is not None:
         columns = matching.apply_overrides(columns, overrides)
-    return melt.melt(data, layouts_of(columns, data, units), F.lit(as_of))
+    # The layouts are read twice, to see their number and to join them; finding them reads the data.
+    return melt.melt(data, stage(layouts_of(columns, data, units), "layouts"), F.lit(as_of))
 
 
 def ingest(columns: DataFrame, data: DataFrame, path: str, audit_path: str, as_of: date,

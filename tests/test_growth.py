@@ -14,19 +14,19 @@ from hydromelt.sources import dictionaries
 def test_apply_review_grows_the_dictionary(spark, dictionary_dir, tmp_path):
     queue = tmp_path / "queue.csv"
     queue.write_text("\n".join([
-        ",".join(C.QUEUE_COLUMNS), "FACLT_NM,test2.xlsx,,,MD-PTNM,박", "총소질소,a.csv,WQ-TN,85.7,승인,박", "총 소질소,b.csv,WQ-TN,85.7,ok,김",
-        "수온,a.csv,WQ-TEMP,,y,", "버림,a.csv,WQ-TN,,기각,", "모름,a.csv,,,승인,", "없음코드,a.csv,,,ZZ-1,", "빈칸,a.csv,WQ-TN,,,"]) + "\n",
+        ",".join(C.QUEUE_COLUMNS), "OPR_NM,odd.xlsx,,,MD-301,박", "전기전도도값,a.csv,WQ-102,90.9,승인,박", "전기 전도도값,b.csv,WQ-102,90.9,ok,김",
+        "염분,a.csv,WQ-106,,y,", "버림,a.csv,WQ-102,,기각,", "모름,a.csv,,,승인,", "없음코드,a.csv,,,ZZ-1,", "빈칸,a.csv,WQ-102,,,"]) + "\n",
         encoding="utf-8-sig")
     out = str(tmp_path / "out")
     log = plans.apply_review(spark, str(queue), dictionary_dir, out, datetime(2026, 8, 8, 19, 22, 36))
     rows = sorted((r.code, r.synonym, r.dict_file, r.reviewer, r.collected_at) for r in log.collect())
-    assert rows == [("MD-PTNM", "FACLT_NM", "metadata_terms.csv", "박", "2026-08-08T19:22:36"),
-                    ("WQ-TN", "총소질소", "measurement_terms.csv", "박", "2026-08-08T19:22:36")]
+    assert rows == [("MD-301", "OPR_NM", "metadata_terms.csv", "박", "2026-08-08T19:22:36"),
+                    ("WQ-102", "전기전도도값", "measurement_terms.csv", "박", "2026-08-08T19:22:36")]
     grown = spark.read.option("header", True).csv(f"{out}/metadata_terms.csv")
-    assert "지점명|FACLT_NM" in [r.synonyms for r in grown.collect()]
+    assert "강이름|OPR_NM" in [r.synonyms for r in grown.collect()]
     flat = [dictionaries.read_flat_terms(spark, f"{out}/{name}/*.csv") for name in C.DICT_FILES.values()]
-    row = mapping.matching.map_names(spark.createDataFrame([("FACLT_NM",)], "raw string"), lex_ops.build_lexicon(*flat)).first()
-    assert (row.status, row.code) == ("exact", "MD-PTNM")
+    row = mapping.matching.map_names(spark.createDataFrame([("OPR_NM",)], "raw string"), lex_ops.build_lexicon(*flat)).first()
+    assert (row.status, row.code) == ("exact", "MD-301")
 
 
 def test_skipped_verdicts_are_told(spark):
@@ -43,10 +43,10 @@ def test_growth_between_two_dictionaries(spark, samples, dictionary_dir, tmp_pat
     grown.mkdir()
     for name in C.DICT_FILES.values():
         text = (Path(dictionary_dir) / name).read_text(encoding="utf-8-sig")
-        (grown / name).write_text(text.replace("지점명", "지점명|FACLT_NM"), encoding="utf-8-sig")
+        (grown / name).write_text(text.replace("강이름", "강이름|OPR_NM"), encoding="utf-8-sig")
     got = {r.filename: (float(r.rate_1), float(r.rate_2)) for r in mapping.growth(
         spark, samples, dictionary_dir, str(grown)).collect()}
-    assert got["test2_variants.xlsx"] == (60.0, 80.0)
+    assert got["odd_names.xlsx"] == (60.0, 80.0)
 
 
 def test_version_and_hash(spark, dictionary_dir, tmp_path):
@@ -60,7 +60,7 @@ def test_version_and_hash(spark, dictionary_dir, tmp_path):
     flat = [dictionaries.read_flat_terms(spark, p) for p in paths]
     stamp = plans.version_stamp(*flat, want, date(2026, 8, 8), note="n")
     assert stamp["version"] == "dict-2026-08-08" and stamp["counts"] == {
-        "measurement_terms": 7, "metadata_terms": 6, "synonyms": 17, "verified_terms": 12}
+        "measurement_terms": 5, "metadata_terms": 4, "synonyms": 12, "verified_terms": 8}
     (tmp_path / "VERSION.json").write_text(json.dumps(stamp))
     assert plans.load_version(spark, str(tmp_path / "VERSION.json"))["content_hash"] == want
 
@@ -117,13 +117,13 @@ def test_verify_terms(spark):
     words = terms.word_list(spark.createDataFrame(
         [(0, "측정", "MSRM", ""), (1, "시설", "FCLT", ""), (2, "명", "NM", ""), (3, "모름", "X", "폐기")],
         "row_no int, word string, abbr string, revision string"))
-    got = {r.code: r for r in terms.verify_terms(targets, standard, words).collect()}
+    got = {r.code: r for r in terms.verify_terms(targets, standard, words, related=6).collect()}
     assert [got[c].verdict for c in "abcd"] == ["listed", "synonym", "composed", "missing"]
     assert got["b"].official == "측정일자" and got["c"].parts == ["측정", "시설", "명"]
     assert got["c"].related == ["시설명", "측정"] and got["a"].related == ["측정"]
     abbr = terms.composed_abbreviations(terms.segment_terms(targets.select(F.col("std_name").alias("term")), words), words)
     assert {r.term: r.abbr for r in abbr.collect()}["측정시설명"] == "MSRM_FCLT_NM"
-    assert terms.verify_terms(targets, standard).where("code = 'd'").first().verdict == "unchecked"
+    assert terms.verify_terms(targets, standard, related=6).where("code = 'd'").first().verdict == "unchecked"
     top = terms.similar_names(targets.select(F.col("std_name").alias("term")), standard.select(
         "row_no", "term_name"), 2).where("term = '측정시설명'").orderBy("place").collect()
     assert [r.official for r in top] == ["시설명", "측정"]

@@ -11,14 +11,14 @@ from hydromelt.functions import names, similarity, words
 
 
 @pytest.mark.parametrize("text, body, tokens", [
-    ("  총_질-소  ", "총질소", []),
-    ("생물학적 산소요구량(BOD_L당mg)", "생물학적산소요구량", ["bod"]),
-    ("수온（℃）", "수온", []),
-    ("총유기탄소 mg/L", "총유기탄소", []),
-    ("탁도NTU", "탁도", []),
-    ("클로로필-a(Chl-a)", "클로로필a", ["chla"]),
+    ("  염_분-값  ", "염분값", []),
+    ("물속의 산소(DO_L당mg)", "물속의산소", ["do"]),
+    ("물온도（℃）", "물온도", []),
+    ("규산 mg/L", "규산", []),
+    ("흐림NTU", "흐림", []),
+    ("엽록소-b(Chl-b)", "엽록소b", ["chlb"]),
     ("a(b(c d)e)", "a", ["c", "d", "be"]),
-    ("수온(0.0)", "수온", []),
+    ("깊이(0.0)", "깊이", []),
     ("mpntu", "mp", []),
     (None, "", []),
 ])
@@ -37,8 +37,8 @@ def test_names_in_spark(spark):
 
 
 def test_site_tails_stop_at_short_keys():
-    tails = names.site_tails("공촌천_수온")
-    assert tails[-1]["body"] == "수온" and tails[-1]["site"] == "공촌천"
+    tails = names.site_tails("갈대못_염분")
+    assert tails[-1]["body"] == "염분" and tails[-1]["site"] == "갈대못"
     assert all(len(t["body"]) >= C.COMPOSITE_MIN_TAIL_LEN for t in tails)
 
 
@@ -88,7 +88,7 @@ def test_nearest_entry_is_first_best(pool, query):
 
 
 def test_indel_ratio(spark):
-    row = spark.createDataFrame([("총소질소", "총질소")], "a string, b string").select(
+    row = spark.createDataFrame([("산솟소량", "산소량")], "a string, b string").select(
         similarity.indel_ratio("a", "b").alias("s")).first()
     assert row.s == 85.7
 
