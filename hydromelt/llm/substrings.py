@@ -74,7 +74,8 @@ def to_verify(pieces: DataFrame) -> DataFrame:
                                           (F.min("source") != F.max("source")).alias("spread"))
     known = paths.join(branching.where("forks AND spread").select("seed", F.lit(True).alias("branches")), "seed", "left").where(
         "branches OR source < last").withColumn("branches", F.coalesce("branches", F.lit(False)))
-    held = pieces.join(known, ["seed", "content"])
+    # Written aside, so that both sides of the join are shuffled for it alone and a frequent path's partition can be split.
+    held = pieces.join(session.stage(known, "paths"), ["seed", "content"])
     whole = held.where("source < last").select("doc", "version", "start", "edges", F.lit(False).alias("opened"))
     # Later documents lose a repeated path as a whole; only its first one can share single edges with other paths.
     opened = held.where("branches AND doc = source").select("doc", "version", "start", "edges", F.lit(True).alias("opened"))
@@ -124,7 +125,7 @@ def repeated_spans(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
     pieces = session.stage(cut_pieces(docs, edge, seed), "pieces")
     read = session.stage(read_again(docs, to_verify(pieces).distinct(), edge), "read-again")
     first = read.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
-    hits = read.join(first, "digest").where("doc > source")
+    hits = read.join(session.stage(first, "repeated"), "digest").where("doc > source")
     span = F.struct("start", (F.col("start") + F.col("edges") + (edge - 1)).alias("end"), "source")
     return hits.groupBy("doc", "version").agg(F.collect_set(span).alias("spans"))
 
@@ -140,10 +141,10 @@ def without(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
 
 
 def with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with ``spans_`` of its rows."""
-    keys = spans.select(F.col("doc").alias("doc_"), F.col("version").alias("version_"), F.col("spans").alias("spans_"))
-    return df.withColumn("doc_", F.col(id_col)).withColumn("version_", F.xxhash64(utf8(text_col))).join(
-        keys, ["doc_", "version_"], "left").drop("doc_", "version_")
+    """row, raw, spans: the rows of ``df`` as structs, with their texts as bytes and their spans."""
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), utf8(text_col).alias("raw")).withColumn(
+        "version", F.xxhash64("raw"))
+    return rows.join(spans, ["doc", "version"], "left").select("row", "raw", "spans")
 
 
 def remove_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
@@ -157,8 +158,8 @@ def remove_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
     """
     kind = df.schema[id_col].dataType.simpleString()
     spans = repeated_spans(df, edge, seed, id_col, text_col)
-    rows = with_spans(df.select(F.col(id_col).alias("doc_id"), utf8(text_col).cast("string").alias("text")), spans, "doc_id", "text").select(
-        "doc_id", F.col("text").cast("binary").alias("raw"), F.col("spans_").alias("spans"))
+    rows = with_spans(df.select(id_col, text_col), spans, id_col, text_col).select(
+        F.col("row")[id_col].alias("doc_id"), "raw", "spans")
     made = [name for name in outputs if name != "spans"]
     makers = {"kept": bytes.decode, "kept_sha256": lambda kept: hashlib.sha256(kept).hexdigest()}
 
@@ -182,18 +183,18 @@ def remove_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
 def drop_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with all their columns; texts that lose words become the words left, joined by one space, others stay as they are."""
     spans = repeated_spans(df, edge, seed, id_col, text_col)
-    rows = with_spans(df, spans, id_col, text_col)
+    rows = with_spans(df, spans, id_col, text_col).select("row", "spans")
     names, place = df.columns, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch.column("row").flatten()
             texts = [text if not found else b" ".join(without(text.encode().split(), found)).decode() for text, found in zip(
-                batch.column(text_col).to_pylist(), batch.column("spans_").to_pylist(), strict=True)]
-            columns = batch.columns[:-1]
+                columns[place].to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.select(*df.columns, "spans_").mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, df.schema)
 
 
 def op5_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
