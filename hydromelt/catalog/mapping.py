@@ -113,16 +113,30 @@ def _grams_sql(key: str) -> str:
 _SIMILARITY = "len(list_intersect(a.grams, b.grams)) / CAST(len(list_distinct(a.grams || b.grams)) AS DOUBLE)"
 
 
-@query(S.with_tables("", f"""SELECT a.key AS left_key, b.key AS right_key, round({_SIMILARITY}, 9) AS similarity
-  FROM l a, r b WHERE {_SIMILARITY} >= 0.45""",
-                     l=f"SELECT key, {_grams_sql('key')} AS grams FROM (SELECT DISTINCT lower(replace(p_name || p_type, ' ', '')) AS key FROM part)",
-                     r=f"SELECT key, {_grams_sql('key')} AS grams FROM (SELECT DISTINCT lower(replace(replace(p_name || p_brand, ' ', ''), '#', '')) AS key FROM part)"))
-def trigram_topk(spark, folder):
-    """Pairs of spellings whose trigram similarity reaches the threshold."""
+_KEYED_GRAMS = {
+    "l": f"SELECT key, {_grams_sql('key')} AS grams FROM (SELECT DISTINCT lower(replace(p_name || p_type, ' ', '')) AS key FROM part)",
+    "r": f"SELECT key, {_grams_sql('key')} AS grams FROM (SELECT DISTINCT lower(replace(replace(p_name || p_brand, ' ', ''), '#', '')) AS key FROM part)"}
+_PAIRS_SQL = f"SELECT a.key AS left_key, b.key AS right_key, round({_SIMILARITY}, 9) AS similarity FROM l a, r b WHERE {_SIMILARITY} >= 0.45"
+
+
+def _spellings(spark, folder):
     part = S.table(spark, folder, "part")
-    left = part.select(names.wq_normalize(F.concat("p_name", "p_type")).alias("key"))
-    right = part.select(names.wq_normalize(F.concat("p_name", "p_brand")).alias("key"))
-    return matching.trigram_pairs(left, right).withColumn("similarity", F.round("similarity", 9))
+    return (part.select(names.wq_normalize(F.concat("p_name", "p_type")).alias("key")),
+            part.select(names.wq_normalize(F.concat("p_name", "p_brand")).alias("key")))
+
+
+@query(S.with_tables("", _PAIRS_SQL, **_KEYED_GRAMS))
+def trigram_pairs(spark, folder):
+    """All pairs of spellings whose trigram similarity reaches the threshold."""
+    return matching.trigram_pairs(*_spellings(spark, folder)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(S.with_tables("", f"""SELECT left_key, right_key, similarity, CAST(row_number() OVER (
+  PARTITION BY left_key ORDER BY similarity DESC, right_key) AS BIGINT) AS place FROM ({_PAIRS_SQL}) QUALIFY place <= 5""", **_KEYED_GRAMS))
+def trigram_topk(spark, folder):
+    """The five most similar spellings of each."""
+    return matching.nearest_by_trigram(*_spellings(spark, folder), limit=5).withColumns({
+        "similarity": F.round("similarity", 9), "place": F.col("place").cast("bigint")})
 
 
 _TERMS_UNION = """SELECT code, std_name, 'measurement' AS term_kind FROM mterms

@@ -172,42 +172,50 @@ def organisation_override(columns: DataFrame, org_terms: DataFrame) -> DataFrame
 
 # --- dictionary-table cascade -----------------------------------------------
 
-def _rarest_first(sets: DataFrame, frequency: DataFrame) -> DataFrame:
-    """The rarest grams of each key: enough that any match shares one of them.
+def _rarest_first(sets: DataFrame, frequency: DataFrame, min_score: float) -> DataFrame:
+    """gram, key, size, left: the rarest grams of each key, enough that any match shares one of them.
 
     Two sets whose overlap reaches the threshold cannot differ in more than
     size - needed of their grams, so only that many plus one need indexing, and
-    common grams stay out of the join.
+    common grams stay out of the join. ``left``: grams from this one on.
     """
-    needed = F.ceil(F.size("grams") * F.col("min_score") - 1e-9)
-    ranked = (sets.select("key", "grams", "min_score", F.explode("grams").alias("gram"))
-              .join(frequency, "gram", "left")
-              .groupBy("key", "grams", "min_score")
-              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "gram"))
-                                ).alias("ranked")))
-    keep = F.slice(F.col("ranked"), F.lit(1), (F.size("grams") - needed + 1).cast("int"))
-    return ranked.select("key", "grams", F.explode(keep).alias("g")).select("key", "grams", "g.gram")
+    ranked = (sets.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+              .join(frequency, "gram").groupBy("key", "size")
+              .agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("ranked")))
+    needed = F.ceil(F.col("size") * min_score - 1e-9)
+    keep = F.slice("ranked", F.lit(1), (F.col("size") - needed + 1).cast("int"))
+    return ranked.select("key", "size", F.posexplode(keep["gram"]).alias("place", "gram")).select(
+        "gram", "key", "size", (F.col("size") - F.col("place")).alias("left"))
 
 
 def trigram_pairs(left_keys: DataFrame, right_keys: DataFrame,
                   min_score: float = C.TRIGRAM_MIN_SCORE) -> DataFrame:
-    """Pairs of distinct keys whose trigram similarity reaches ``min_score``.
+    """All pairs of distinct keys whose trigram similarity reaches ``min_score``.
 
-    Candidates come from an equi-join on rare grams, never from a cross product.
+    Candidates come from an equi-join on rare grams: sizes must fit, and enough
+    grams must be left in both from the shared one on, which the first shared gram
+    of every match satisfies. Only keys are joined; grams follow for distinct candidates.
     """
     def grams(df: DataFrame) -> DataFrame:
-        return (df.select("key").where(F.col("key") != "").distinct()
-                .repartition(work_splits(df.sparkSession), "key").withColumn("grams", similarity.trigrams(F.col("key"))).withColumn("min_score", F.lit(min_score)))
+        return stage(df.select("key").where(F.col("key") != "").distinct().repartition(
+            work_splits(df.sparkSession), "key").withColumn("grams", similarity.trigrams(F.col("key"))), "grams")
 
     left, right = grams(left_keys), grams(right_keys)
-    frequency = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("freq"))
-    a = _rarest_first(left, frequency).select("gram", F.col("key").alias("left_key"), F.col("grams").alias("ga"))
-    b = _rarest_first(right, frequency).select("gram", F.col("key").alias("right_key"), F.col("grams").alias("gb"))
-    small, large = F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))
-    return (a.join(b, "gram").where(small >= large * min_score - 1e-9)
+    frequency = left.unionByName(right).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("freq"))
+    a, b = (_rarest_first(sets, frequency, min_score).select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "size", "left")])
+            for side, sets in (("left", left), ("right", right)))
+    small, large = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
+    enough = F.least("left_left", "right_left") * (1 + min_score) >= min_score * (small + large) - 1e-9
+    pairs = a.join(b, "gram").where((small >= large * min_score - 1e-9) & enough).select("left_key", "right_key").distinct()
+    return (pairs.join(left.select(F.col("key").alias("left_key"), F.col("grams").alias("ga")), "left_key")
+            .join(right.select(F.col("key").alias("right_key"), F.col("grams").alias("gb")), "right_key")
             .withColumn("similarity", similarity.trigram_similarity(F.col("ga"), F.col("gb")))
-            .where(F.col("similarity") >= min_score)
-            .select("left_key", "right_key", "similarity").distinct())
+            .where(F.col("similarity") >= min_score).select("left_key", "right_key", "similarity"))
+
+
+def nearest_by_trigram(left_keys: DataFrame, right_keys: DataFrame, limit: int, min_score: float = C.TRIGRAM_MIN_SCORE) -> DataFrame:
+    """The ``limit`` most similar right keys of each left key; ties by the key."""
+    return top_per(trigram_pairs(left_keys, right_keys, min_score), ["left_key"], [F.col("similarity").desc(), F.col("right_key")], limit, "place")
 
 
 def match_cascade(surfaces: DataFrame, terms: DataFrame, synonyms: DataFrame,
@@ -246,11 +254,14 @@ def match_cascade(surfaces: DataFrame, terms: DataFrame, synonyms: DataFrame,
 
 # --- text containment without a cross product --------------------------------
 
-def substrings(text: Column, shortest: int = 1, longest: Column | None = None) -> Column:
-    """Distinct substrings of a short text."""
+def substrings(text: Column, shortest: int = 1, only: list[int] | None = None) -> Column:
+    """Distinct substrings of a short text, of all lengths or of some."""
     size = F.length(text)
-    top = size if longest is None else F.least(size, longest)
-    lengths = F.when(top >= shortest, F.sequence(F.lit(shortest), top)).otherwise(F.array().cast("array<int>"))
+    if only is None:
+        lengths = F.when(size >= shortest, F.sequence(F.lit(shortest), size)).otherwise(F.array().cast("array<int>"))
+    else:
+        listed = F.array(*[F.lit(n) for n in only if n >= shortest]).cast("array<int>")
+        lengths = F.filter(listed, lambda n: n <= size)
     cut = F.flatten(F.transform(lengths, lambda n: F.transform(
         F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n))))
     return F.array_distinct(cut)
@@ -261,10 +272,12 @@ def contained_in(short: DataFrame, short_text: str, long: DataFrame, long_text:
     """Pair each ``short`` row with the ``long`` texts that contain its text.
 
     Containment becomes equality with an exploded substring, so the join stays
-    an equi-join. ``on`` columns must agree too; texts are short names.
+    an equi-join. Only lengths that some short text has are cut: as many numbers
+    as the longest name has letters. ``on`` columns must agree too; texts are short names.
     """
+    sizes = sorted(r[0] for r in short.select(F.length(short_text)).distinct().collect() if r[0])
     pieces = (long.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], long_text).distinct()
-              .withColumn("_piece", F.explode(substrings(F.col(long_text), at_least))))
+              .withColumn("_piece", F.explode(substrings(F.col(long_text), at_least, sizes))))
     same = F.col(short_text) == F.col("_piece")
     for i, c in enumerate(on):
         same = same & (F.col(c) == F.col(f"_on{i}"))

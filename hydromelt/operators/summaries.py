@@ -11,10 +11,13 @@ from hydromelt.operators.numbering import first_per
 
 
 def measurement_totals(measurements: DataFrame) -> DataFrame:
-    return measurements.agg(
-        F.count("*").alias("total_values"), F.count_distinct("item_code").alias("distinct_items"),
-        F.count_distinct("site_name").alias("distinct_sites"), F.min("measured_on").alias("first_date"),
-        F.max("measured_on").alias("last_date"))
+    """Totals over everything. Rows are reduced to items and sites before these are counted."""
+    part = measurements.groupBy("item_code", "site_name").agg(
+        F.count("*").alias("n"), F.min("measured_on").alias("first_date"), F.max("measured_on").alias("last_date"))
+    return part.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_values"), F.count_distinct("item_code").alias("distinct_items"),
+        F.count_distinct("site_name").alias("distinct_sites"), F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"))
 
 
 def measurements_by_item(measurements: DataFrame) -> DataFrame:
