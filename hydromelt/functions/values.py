@@ -40,10 +40,6 @@ def number_text(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.replace(ascii_digits, F.lit(","), F.lit("")), C.NUMERIC_CELL, 1), F.lit(""))
 
 
-def is_marker(text: Column) -> Column:
-    return F.lower(text).isin(*C.NON_NUMERIC_MARKERS)
-
-
 def parse_number(text: Column) -> Column:
     """Value of a trimmed cell; markers and other texts give null.
 

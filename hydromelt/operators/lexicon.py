@@ -36,9 +36,9 @@ def spellings(terms: DataFrame, dict_type: str) -> DataFrame:
 
 def index_keys(spelled: DataFrame) -> DataFrame:
     """Lookup keys of spellings: the body, then each bracketed abbreviation."""
-    form = names.normalize_name("variant")
+    forms = spelled.select("variant").distinct().withColumn("form", names.normalize_name("variant"))
     keys = F.concat(F.array("form.body"), F.col("form.paren_tokens"))
-    part = spelled.withColumn("form", form).select(
+    part = spelled.join(forms, "variant").select(
         "*", F.posexplode(keys).alias("token", "variant_norm")).where(F.col("variant_norm") != "")
     order = F.concat_ws(
         "/", F.when(F.col("dict_type") == C.DICT_MEASUREMENT, "0").otherwise("1"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydromelt import config as C
+from hydromelt import config as C, schemas
 from hydromelt.functions import names, values
 from hydromelt.operators.numbering import first_per
+from hydromelt.session import stage
 
 
 class ReviewRequestError(ValueError):
@@ -79,6 +80,18 @@ def new_items(carried: DataFrame) -> DataFrame:
     return carried.where(F.col("status").isin(*C.HUMAN_STATUSES) & ~F.col("had_review"))
 
 
+def with_summaries(items: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Queue items with what their columns hold, as the JSON text that is stored."""
+    text = F.to_json(F.struct("row_count", "distinct_count", "samples", "all_unique"))
+    held = summaries.select("file_id", "column_index", text.alias("value_summary"))
+    return items.join(held, ["file_id", "column_index"], "left")
+
+
+def stored_summary(text: Column) -> Column:
+    """A stored summary read back; null where there is none or it can't be read."""
+    return values.json_or(text, schemas.VALUE_SUMMARY, F.lit(None).cast(schemas.VALUE_SUMMARY))
+
+
 def apply_verdicts(items: DataFrame, verdicts: DataFrame, terms: DataFrame) -> DataFrame:
     """Review items with a batch of verdicts (id, verdict, note, reviewer, decided_at) written.
 
@@ -204,9 +217,11 @@ def log_synonyms(log: DataFrame, synonyms: DataFrame, key=None) -> DataFrame:
     key = key or (lambda c: names.normalize_name(c)["body"])
     lines = log.select("row_no", values.strip(F.col("code")).alias("code"),
                        values.strip(F.col("synonym")).alias("surface"), "collected_at", "source", "reviewer").where(
-        (F.col("code") != "") & (F.col("surface") != "")).withColumn("_key", key(F.col("surface")))
-    have = synonyms.select(F.coalesce(F.nullif("measurement_code", F.lit("")), "metadata_code").alias("code"),
-                           key(F.col("surface")).alias("_key")).distinct()
+        (F.col("code") != "") & (F.col("surface") != ""))
+    have = synonyms.select(F.coalesce(F.nullif("measurement_code", F.lit("")), "metadata_code").alias("code"), "surface").distinct()
+    # Every spelling is turned into its key once, however many rows have it.
+    keys = stage(lines.select("surface").unionByName(have.select("surface")).distinct().withColumn("_key", key(F.col("surface"))), "keys")
+    lines, have = lines.join(keys, "surface"), have.join(keys, "surface").select("code", "_key").distinct()
     fresh = first_per(lines.join(have, ["code", "_key"], "left_anti"), ["code", "_key"], [F.col("row_no")])
     of = lambda prefix: F.when(F.col("code").startswith(prefix), F.col("code")).otherwise("")
     return fresh.select(

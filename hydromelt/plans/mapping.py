@@ -85,15 +85,18 @@ def overall(columns: DataFrame) -> DataFrame:
 
 
 def mapping_round(columns: DataFrame, items: DataFrame, terms: DataFrame, runs: DataFrame,
-                  files_table: DataFrame) -> dict[str, DataFrame]:
+                  files_table: DataFrame, held: DataFrame | None = None) -> dict[str, DataFrame]:
     """A new mapping round over all files: verdicts carried over, counts, new queue items.
 
-    Status becomes reviewing while any item is open, else completed.
+    Status becomes reviewing while any item is open, else completed. With ``held``, the value summaries of undecided
+    columns, new items carry theirs.
     """
     carried = review.carry_over(columns, items, terms)
     rounds = summaries.next_round(runs, files_table)
     counted = summaries.mapping_summary(carried).join(rounds, "file_id")
     fresh = review.new_items(carried)
+    if held is not None:
+        fresh = review.with_summaries(fresh, held)
     open_before = items.where("verdict is null").groupBy("file_id").agg(F.count("*").alias("before"))
     open_now = fresh.groupBy("file_id").agg(F.count("*").alias("now"))
     status = counted.select("file_id").join(open_before, "file_id", "left").join(open_now, "file_id", "left").select(

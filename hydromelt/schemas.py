@@ -4,19 +4,9 @@ from __future__ import annotations
 
 CELLS = "file_id string, encoding string, ragged boolean, row_idx bigint, cells array<string>"
 
-NORMALIZED_NAME = "struct<body:string,paren_tokens:array<string>>"
-
 FLAT_TERMS = ("code string, name_ko string, name_en string, abbr string, synonyms string, "
               "unit string, category string, verified string, note string")
 
-LEXICON = "seq string, dict_type string, code string, field string, variant string, variant_norm string"
-
-MAPPED_NAME = (
-    "raw string, normalized string, status string, via string, code string, "
-    "candidate_code string, site string, matched_variant string, matched_norm string, "
-    "score double, dict_type string"
-)
-
 MEASUREMENT_ROW = (
     "kind string, source_row bigint, source_column string, source_column_index int, "
     "site_name string, outlet string, sample_type string, measured_on date, period_label string, "
@@ -39,6 +29,3 @@ REVIEW_LOG = ("dict_file string, code string, synonym string, source string, "
               "collected_at string, reviewer string")
 
 VALUE_SUMMARY = "struct<row_count:bigint,distinct_count:bigint,samples:array<string>,all_unique:boolean>"
-
-USAGE_LOG = ("api_key_id bigint, organization_id bigint, method string, path string, "
-             "response_status int, duration_ms int, usage_units int, requested_at timestamp_ntz")
