@@ -28,7 +28,7 @@ PERCENT = 75
 #: A pair right at the threshold shares none of the bands with a chance of (1 - 0.75 ** ROWS) ** BANDS = 2.6e-8.
 ROWS, BANDS = 3, 32
 #: Rounds of comparing with centres before the rest is compared by shared shingles.
-ROUNDS = 2
+ROUNDS = 1
 #: Shingles whose coordinates are made at once, so that numpy's arrays stay in the processor's cache.
 BLOCK = 1 << 14
 
@@ -40,33 +40,39 @@ def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(Runs(hashes).every(min(size, len(hashes))))
 
 
-def circulant(shingles: np.ndarray, coordinates: int = ROWS * BANDS) -> np.ndarray:
-    """Signature of a non-empty set over a universe of 2**32 places.
+def circulant(shingles: np.ndarray, starts: np.ndarray, coordinates: int = ROWS * BANDS) -> np.ndarray:
+    """Signatures, one row each, of sets that follow each other in ``shingles``: ``starts`` has where each begins, and the end.
 
-    The first permutation is the shingles' own hash; the second is a 32-bit bijection, read with a circular shift of one
-    step per coordinate.
+    The universe has 2**32 places. The first permutation is the shingles' own hash; the second is a 32-bit bijection, read
+    with a circular shift of one step per coordinate. Sets are taken block by block, whatever their sizes.
     """
-    found = np.full(coordinates, np.iinfo(np.uint32).max, np.uint32)
-    places = shingles.astype(np.uint32)  # modulo 2**32
+    sets = np.flatnonzero(np.diff(starts))  # an empty set keeps the largest value
+    found = np.full((coordinates, len(starts) - 1), np.iinfo(np.uint32).max, np.uint32)
+    places, firsts = shingles.astype(np.uint32), starts[sets]  # modulo 2**32
+    x, y = np.empty(BLOCK, np.uint32), np.empty(BLOCK, np.uint32)
     for at in range(0, len(places), BLOCK):
         block = places[at:at + BLOCK]
+        a, b = np.searchsorted(firsts, [at, at + len(block)], side="left")
+        a -= a == len(firsts) or firsts[a] > at  # the set that reaches into the block
+        spots, of = np.maximum(firsts[a:b] - at, 0), sets[a:b]
+        u, v = x[:len(block)], y[:len(block)]
         for k in range(coordinates):
-            x = block + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)
-            x ^= x >> np.uint32(16)
-            x *= np.uint32(0x85EBCA6B)
-            x ^= x >> np.uint32(13)
-            x *= np.uint32(0xC2B2AE35)
-            x ^= x >> np.uint32(16)
-            found[k] = min(found[k], x.min())
-    return found
-
-
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per band; equal coordinates in different bands give different keys."""
-    bands = signature.reshape(-1, rows).astype(np.uint64)
-    keys = np.arange(1, len(bands) + 1, dtype=np.uint64)
-    for column in bands.T:
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+            np.add(block, np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF), out=u)
+            for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+                np.right_shift(u, np.uint32(shift), out=v)
+                np.bitwise_xor(u, v, out=u)
+                if factor > 1:
+                    np.multiply(u, np.uint32(factor), out=u)
+            found[k, of] = np.minimum(found[k, of], np.minimum.reduceat(u, spots))
+    return found.T
+
+
+def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key per signature and band; equal coordinates in different bands give different keys."""
+    bands = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
+    keys = np.arange(1, bands.shape[1] + 1, dtype=np.uint64)
+    for column in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, column])
     return keys
 
 
@@ -85,12 +91,11 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for part in slices(batch, "raw"):
                 texts = [lowered(raw) for raw in part.column("raw").to_pylist()]
                 known.learn(*texts)
-                sizes, nodes, bands = [], [], []
-                for words in texts:
-                    found = shingle_set(known.hashes(words), shingle)
-                    sizes.append(len(found))
-                    nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                    bands.append(signed(band_keys(circulant(found))) if len(found) else None)
+                sets = [shingle_set(known.hashes(words), shingle) for words in texts]
+                sizes = [len(found) for found in sets]
+                nodes = [hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None for found in sets]
+                keys = signed(band_keys(circulant(np.concatenate(sets), np.cumsum([0, *sizes]))))
+                bands = [row if size else None for row, size in zip(keys, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc"), part.column("version"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
                      pa.array(bands, pa.list_(pa.int64()))], names)
@@ -145,7 +150,9 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int = PERCENT, shin
     """a, b: all pairs of ``rows`` (node, n_shingles, root) in different components that may be similar enough.
 
     Exact: with shingles ordered from the rarest, two sets over the threshold share one among the first
-    size - ceil(percent * size / 100) + 1 of each. What many texts hold comes last and so is not joined on.
+    size - ceil(percent * size / 100) + 1 of each, and behind the first shared one enough must be left in both. What many
+    texts hold comes last and so is not joined on, and the rare shingles of a copy with many changes rule out its whole
+    group. Shingles whose holders are all in one component are left out before the join.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -167,12 +174,17 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int = PERCENT, shin
     first = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
     alone = F.col("n_shingles") - F.size("shared")
     prefix = F.slice("shared", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int"))
-    tokens = rows.join(shared, "node").select("node", "n_shingles", "root", F.explode(prefix["shingle"]).alias("shingle"))
-    left = tokens.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n_shingles", "root")])
-    right = tokens.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "root")])
+    tokens = rows.join(shared, "node").select(
+        "node", "n_shingles", "root", F.posexplode(prefix["shingle"]).alias("place", "shingle"), alone.alias("alone")).select(
+        "shingle", "node", "root", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.col("alone") - F.col("place")).alias("left"))
+    tokens = session.stage(tokens, "tokens")
+    mixed = tokens.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    tokens = tokens.join(mixed, "shingle", "left_semi")
+    left, right = (tokens.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", "left")]) for side in "ab")
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
     return left.join(right, "shingle").where(
-        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & may_link(
-            "n_shingles_a", "n_shingles_b", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & enough & may_link(
+            "size_a", "size_b", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id",
@@ -190,8 +202,11 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     nodes = usable.groupBy("node").agg(F.min(F.struct("doc", "version")).alias("first"), F.first("n_shingles").alias("n_shingles"),
                                        F.first("bands").alias("bands"))
     rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    crowded = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    buckets = session.stage(rows.join(crowded, "key"), "buckets")
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = session.stage(rows.join(crowded, "key"), "shared")
+    # Who meets many others in its buckets has few changes of its own and makes a good centre.
+    central = shared.groupBy("node").agg(F.sum("members").alias("met"))
+    buckets = session.stage(shared.drop("members").join(central, "node"), "buckets")
 
     chosen = buckets.select("node").distinct().join(nodes.select("node", "first.*"), "node")
     texts = session.stage(docs.join(chosen, ["doc", "version"]).select("node", "raw").dropDuplicates(["node"]), "texts")
@@ -199,10 +214,11 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     empty = df.sparkSession.createDataFrame([], "node binary, root binary")
     roots = empty
     for turn in range(ROUNDS):
-        # Every round has other centres; members of a centre's own component need no comparison.
+        # The first centres are the most central members, later ones any; members of a centre's own component need no comparison.
         pending = open_buckets(buckets, roots)
         centres = pending.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n_shingles").alias("size_b"), F.col(
-            "root").alias("root_b")), F.xxhash64("node", F.lit(turn))).alias("centre")).select("key", "centre.*")
+            "root").alias("root_b")), F.struct(F.lit(turn) * F.xxhash64("node", F.lit(turn)), -F.col("met"), "node")).alias("centre")).select(
+            "key", "centre.*")
         pairs = pending.join(centres, "key").where((F.col("root") != F.col("root_b")) & may_link(
             "n_shingles", "size_b", percent)).select(F.col("node").alias("a"), "b").distinct()
         found.append(session.stage(linked(pairs, texts, percent, shingle), "confirmed"))
@@ -227,10 +243,10 @@ def drop_near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = S
     """One row, with all its columns, of each group of near duplicates: that of the smallest id. Rows with a null id all stay;
     of rows with the same id and text one stays."""
     groups = near_duplicates(df, percent, shingle, id_col, text_col)
-    stay = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), F.col("version").alias("kept_version")).distinct()
-    version = F.xxhash64(utf8(text_col))
-    one = df.where(F.col(id_col).isNotNull()).withColumn("kept_version", version).withColumn("kept_id", F.col(id_col)).join(
-        stay, ["kept_id", "kept_version"]).dropDuplicates(["kept_id", "kept_version"]).select(*df.columns)
+    stay = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "version").distinct()
+    one = df.where(F.col(id_col).isNotNull()).select(
+        F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.xxhash64(utf8(text_col)).alias("version")).join(
+        stay, ["doc", "version"]).dropDuplicates(["doc", "version"]).select("row.*")
     return one.unionByName(df.where(F.col(id_col).isNull()))
 
 
