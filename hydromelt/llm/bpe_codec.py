@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,12 +131,6 @@ def decode(bpe: WordBPE, ids: list[int]) -> str:
     return " ".join([bpe.text_of[i] for i in ids])
 
 
-@lru_cache(maxsize=1)
-def encoder(vocabulary: str) -> Encoder:
-    """One per worker, so that later tasks know what earlier ones have encoded."""
-    return Encoder(load(vocabulary))
-
-
 def code(df: DataFrame, vocabulary: str = "word_bpe_49k.json", outputs: tuple[str, ...] = ("ids", "decoded"),
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row in: doc_id, n_tokens and what ``outputs`` names of ids, decoded, ids_sha256, decoded_sha256.
@@ -152,7 +145,7 @@ def code(df: DataFrame, vocabulary: str = "word_bpe_49k.json", outputs: tuple[st
     wanted = [kinds[name] for name in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = encoder(vocabulary)
+        held = Encoder(load(vocabulary))  # its memory ends with the task
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = list(held.encode(part.column("text").to_pylist()))

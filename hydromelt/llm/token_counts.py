@@ -7,7 +7,6 @@ sequence's lowest-ranked pair wherever it stands, and drops finished sequences;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from hydromelt.llm.common import slices, table
 from hydromelt.llm.wordbpe import NEVER, WordBPE, load
 
 #: Distinct pre-tokens whose counts a task keeps, and the longest such.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 KEPT_LENGTH = 64
 
 
@@ -96,12 +95,6 @@ class Counter:
         return counts
 
 
-@lru_cache(maxsize=1)
-def counter(vocabulary: str) -> Counter:
-    """One per worker, so that later tasks know what earlier ones have counted."""
-    return Counter(load(vocabulary))
-
-
 def count_tokens(df: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per row in: doc_id, n_bytes, n_tokens, over_limit.
@@ -110,7 +103,7 @@ def count_tokens(df: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: in
     pass through, other columns are ignored, and an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = counter(vocabulary)
+        held = Counter(load(vocabulary))  # its memory ends with the task
         for batch in batches:
             for part in slices(batch, "text"):
                 counts = held.count(part.column("text").to_pylist())

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -49,7 +49,7 @@ class WordBPE:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = re.compile(_spelled_out(pattern))
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         vocab, letters = model["vocab"], byte_letters()
         self.letters = letters
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -86,6 +86,11 @@ class WordBPE:
         parts = np.maximum(self.born[self.keys >> 32], self.born[self.keys & 0xFFFFFFFF])
         self.ordered = bool((parts < self.ranks).all()) and len(set(self.made.tolist())) == len(self.made)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizer library's own object, made when a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def pair(a, b):
         return (a << 32) | b
