@@ -21,8 +21,8 @@ from hydromelt.llm.token_counts import merge_all
 from hydromelt.llm.wordbpe import END, NEVER, WordBPE, load
 
 #: Distinct pre-tokens, and distinct pairs, that a task keeps; the longest pre-token kept.
-KEPT_WORDS = 250_000
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 200_000
 KEPT_LENGTH = 64
 
 

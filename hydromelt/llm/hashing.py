@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hashes a task keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Odd multipliers of the 64-bit finaliser and of the polynomial over a run's words.
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
