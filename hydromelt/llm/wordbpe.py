@@ -17,9 +17,9 @@ END = b"\xff"
 #: What starts as no merge at all.
 NEVER = np.iinfo(np.int32).max
 #: Letters up to here are the same in all versions of the Unicode tables, and NFC leaves them alone; texts with
-#: others go through the tokenizer library's own normaliser and tables.
+#: others, or with capitals whose small letters are others, go through the tokenizer library's own normaliser and tables.
 SETTLED = 0x24F
-_SETTLED = re.compile(f"[\0-{chr(SETTLED)}]*\\Z")
+_SETTLED = re.compile("[" + "".join(re.escape(chr(c)) for c in range(SETTLED + 1) if max(chr(c).lower()) <= chr(SETTLED)) + "]*\\Z")
 
 
 def byte_letters() -> dict[str, int]:

@@ -30,6 +30,17 @@ def test_counts_equal_the_library(library, texts):
     assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_settled_letter_is_cut_like_the_library(library):
+    """Also capitals whose small letters are beyond the settled ones, in texts and in parts between special strings."""
+    bpe = wordbpe.load(NAME)
+    texts = [text for c in map(chr, range(wordbpe.SETTLED + 1)) for text in (c, f"a{c}b {c}{c}", f"x{c}<|endoftext|>{c}y")]
+    encoder = bpe_codec.Encoder(bpe)
+    ids = [np.frombuffer(found, "<u4").tolist() for found, _ in encoder.encode(texts)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, ids, want, strict=True) if a != b] == []
+    assert token_counts.Counter(bpe).count(texts) == list(map(len, want))
+
+
 def test_small_memory_changes_nothing(library, texts, monkeypatch):
     monkeypatch.setattr(token_counts, "KEPT_WORDS", 50)
     monkeypatch.setattr(bpe_codec, "KEPT_WORDS", 50)
