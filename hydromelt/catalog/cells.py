@@ -12,7 +12,7 @@ from hydromelt.functions import names, values
 from hydromelt.operators import headers
 from hydromelt.operators.lexicon import flag_listed
 from hydromelt.session import scratch_root
-from hydromelt.sources import files, ndjson
+from hydromelt.sources import files, lines, ndjson
 
 query = Topic()
 
@@ -152,6 +152,30 @@ def csv_read_back(spark, folder):
                        F.size("cells").alias("width"), "ragged", "encoding")
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS first_cell, CASE WHEN c_custkey % 9 = 0 THEN NULL
+    ELSE '"' || c_name || '"' || repeat(chr(10) || '물, ' || c_mktsegment, CAST(c_custkey % 4 AS INTEGER)) END AS second_cell,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS third_cell, CASE WHEN c_custkey % 2 = 0 THEN 'utf-8-sig' ELSE 'cp949' END AS encoding
+  FROM customer""")
+def csv_quoted(spark, folder):
+    """Customers written as CSV with quotes and line breaks in cells, in two encodings, and read by line in small blocks."""
+    key = F.col("c_custkey")
+    text = F.when(key % 9 != 0, F.concat(F.lit('"'), "c_name", F.lit('"'), F.repeat(F.concat(
+        F.lit("\n물, "), "c_mktsegment"), (key % 4).cast("int"))))
+    rows = S.table(spark, folder, "customer").select(
+        key.cast("string").alias("key"), text.alias("text"), F.when(key % 5 != 0, F.col("c_mktsegment")).alias("segment"), (key % 2).alias("odd"))
+    path = f"{scratch_root(spark)}/quoted-{uuid.uuid4().hex}"
+    with lines.java_charsets(spark):
+        for odd, encoding in ((0, "UTF-8"), (1, lines.KOREAN)):
+            rows.where(F.col("odd") == odd).drop("odd").write.options(header=True, escape='"', encoding=encoding).csv(f"{path}/{odd}")
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        grid = files.read_folder(spark, path, whole_bytes=0).where("row_idx > 0")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    return grid.select(*[F.get("cells", F.lit(i)).alias(f"{nth}_cell") for i, nth in enumerate(("first", "second", "third"))], "encoding")
+
+
 # --- keys, hashes, JSON ----------------------------------------------------------
 
 _SPELLED = "p_name || ' (' || p_type || ') ' || p_brand"

@@ -14,7 +14,7 @@ from hydromelt.catalog.registry import Topic
 from hydromelt.functions import names, values
 from hydromelt.operators import headers, lexicon, matching, paging, quality, summaries, tables
 from hydromelt.plans import ingest
-from hydromelt.sources import sinks
+from hydromelt.sources import sinks, snapshots
 
 query = Topic()
 
@@ -433,13 +433,30 @@ def _place(spark, name: str) -> str:
   WHERE file_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 2) GROUP BY 1, 2"""))
 def reload_emptied_file(spark, folder):
     """Stored measurements after a second load in which some files have no value left."""
-    path, audit = _place(spark, "measurements"), _place(spark, "audit")
+    store = _place(spark, "measurements")
     rows = S.measurements(spark, folder).withColumn("loaded", F.lit(True))
     emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
     for batch_id, records, files in ((1, rows, rows.select("file_id").distinct()), (2, rows.where("false"), emptied)):
-        sinks.append_measurements(records, path, batch_id)
-        sinks.append_ingestion_runs(files, audit, batch_id)
-    return ingest.stored_measurements(spark, path, audit).groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
+        sinks.append_load(spark, records, files, store, batch_id)
+    return ingest.stored_measurements(spark, store).groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
+
+
+@query(S.with_tables("m", """SELECT file_id, item_code, CAST(count(*) AS BIGINT) AS n, 2 AS parts FROM m
+  WHERE file_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 2) GROUP BY 1, 2"""))
+def compact_store(spark, folder):
+    """Stored measurements after loads that replaced and emptied files were compacted, one part per table, and old ones deleted."""
+    store = _place(spark, "measurements")
+    rows = S.measurements(spark, folder)
+    emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
+    files = rows.select("file_id").distinct()
+    for batch_id, records, loaded in ((1, rows.unionByName(rows), files), (2, rows, files), (3, rows.where("false"), emptied)):
+        sinks.append_load(spark, records, loaded, store, batch_id)
+    sinks.compact_loads(spark, store)
+    sinks.append_load(spark, rows, files, store, 1)  # a late replay of a load that the compaction took in
+    held = snapshots.Store(spark, store)
+    held.expire(keep=1, older_than=0)
+    return ingest.stored_measurements(spark, store).groupBy("file_id", "item_code").agg(F.count("*").alias("n")).withColumn(
+        "parts", F.lit(len(held.manifest()["parts"])))
 
 
 @query(S.with_tables("limit_rows", """SELECT standard_set, CAST(count(*) AS BIGINT) AS n FROM limit_rows
@@ -447,10 +464,11 @@ def reload_emptied_file(spark, folder):
 def replace_emptied_set(spark, folder):
     """Stored limits after a set was replaced by nothing."""
     from hydromelt.operators.standards import typed_limits
-    limits, path = typed_limits(S.limit_rows(spark, folder)), _place(spark, "limits")
-    sinks.replace_standard_set(limits.where("false"), limits.where("standard_set = 'SMALL'"), path, "SMALL")
-    sinks.replace_standard_set(limits, limits.where("false"), path, "SMALL")
-    return spark.read.parquet(path).groupBy("standard_set").agg(F.count("*").alias("n"))
+    limits, store = session.stage(typed_limits(S.limit_rows(spark, folder)), "limits"), _place(spark, "limits")
+    for (name,) in limits.select("standard_set").distinct().collect():  # a few sets of limits
+        sinks.replace_standard_set(limits, store, name)
+    sinks.replace_standard_set(limits.where("false"), store, "SMALL")
+    return sinks.stored_limits(spark, store).groupBy("standard_set").agg(F.count("*").alias("n"))
 
 
 # --- the whole chain ---------------------------------------------------------------------------
@@ -484,12 +502,12 @@ def chained_jobs(spark, folder):
         "mapping_run_id", "file_id", "c.*").withColumns({"site": text(None), "via": text(None)})
     reviews = files.where("file_id = 0").select("file_id", F.lit(1).alias("column_index"), F.lit("WQ-002").alias("code"), F.lit(
         C.DICT_MEASUREMENT).alias("dict_type"))
-    path, audit = _place(spark, "measurements"), _place(spark, "audit")
+    store = _place(spark, "measurements")
     chosen, overrides = ingest.newest_mapping(runs, columns, reviews)
     for version, at in (("1", datetime(2024, 1, 1, tzinfo=timezone.utc)), ("2", datetime(2024, 1, 2, tzinfo=timezone.utc))):
-        ingest.ingest(chosen, data, path, audit, date(2030, 1, 1), version, overrides, ran_at=at)
-    stored = ingest.stored_measurements(spark, path, audit)
-    version = analysis.latest_version(ingest.stored_runs(spark, audit), files.withColumn("owner_user_id", F.lit(7)))
+        ingest.ingest(chosen, data, store, date(2030, 1, 1), version, overrides, ran_at=at)
+    stored = ingest.stored_measurements(spark, store)
+    version = analysis.latest_version(ingest.stored_runs(spark, store), files.withColumn("owner_user_id", F.lit(7)))
     request = analysis.AnalysisRequest(metric="max")
     parts = [analysis.series(tables.latest_round_rows(stored.where(F.col("file_id") == k), runs), request).withColumn(
         "runs", F.lit(k).cast("bigint")) for k in range(3)]

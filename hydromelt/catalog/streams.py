@@ -12,6 +12,7 @@ from hydromelt.catalog import standins as S
 from hydromelt.catalog.registry import Topic
 from hydromelt.operators import usage
 from hydromelt.session import scratch_root
+from hydromelt.sources import ndjson
 from hydromelt.streaming import jobs
 
 query = Topic()
@@ -86,6 +87,22 @@ def stream_resend(spark, folder):
         F.count("*").alias("n"), F.sum("value_num").cast("double").alias("total"))
 
 
+@query("""SELECT CAST(user_id % 7 AS BIGINT) AS file_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(value) AS DOUBLE) AS total FROM events
+  WHERE user_id % 7 > 1 OR (user_id % 7 = 1 AND event_id % 3 = 0) GROUP BY 1""")
+def stream_replace(spark, folder):
+    """NDJSON lines landed by a stream: a file sent again with fewer lines, and one sent again with its meta line only."""
+    path, checkpoint = _places(spark, "replace")
+    events = _event_stream(spark, folder).withColumn("file_id", F.col("user_id") % 7)
+    rows = events.select("file_id", F.col("event_id").alias("source_row"), F.lit(0).alias("source_column_index"),
+                         F.lit("WQ-001").alias("item_code"), F.col("value").cast("decimal(18,6)").alias("value_num"))
+    fewer = rows.where("file_id = 1 and source_row % 3 = 0")
+    meta = ndjson.meta_lines(events.where("file_id = 0").select("file_id", F.lit(0).alias("source_rows")))
+    for load_id, lines in ((1, ndjson.record_lines(rows)), (2, ndjson.record_lines(fewer)), (3, meta), (3, meta)):
+        jobs.land_records(lines.withColumn("load_id", F.lit(load_id).cast("long")), path, f"{checkpoint}-{load_id}").awaitTermination()
+    return jobs.read_records(spark, path).groupBy("file_id").agg(
+        F.count("*").alias("n"), F.sum("value_num").cast("double").alias("total"))
+
+
 def _event_cells(spark, folder) -> DataFrame:
     """Events as a stream of text cells."""
     return _event_stream(spark, folder).select(

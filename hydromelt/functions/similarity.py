@@ -1,7 +1,8 @@
-"""String similarity: indel ratio (Arrow UDF) and trigram overlap (native)."""
+"""String similarity: common subsequences of whole batches (Arrow UDF) and trigram overlap (native)."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,44 +30,59 @@ def ratio(a: str, b: str) -> float:
     return (1.0 - (total - 2 * common_subsequence(a, b)) / total) * 100.0
 
 
-@F.pandas_udf(T.DoubleType())
-def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else round(ratio(a, b), 1)
-                      for a, b in zip(left, right)], dtype="float64")
+def _matrix(texts: pd.Series, filler: int) -> np.ndarray:
+    """One row of code points per text, filled up at the end."""
+    sizes = texts.str.len().to_numpy(np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    rows = np.full((len(texts), int(sizes.max(initial=0))), filler, np.uint32)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = points
+    return rows
 
 
-class NearestEntry:
-    """Exact nearest-neighbour search over one slice of the lexicon.
+def common_subsequences(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs, one step per letter of the right texts for all pairs at once.
 
-    Entries are tried in order of the best ratio their length allows, so the
-    search ends as soon as no remaining entry can reach the best one found.
+    A pair's state is an array of 64-bit words, one bit per letter of the left text.
     """
-
-    def __init__(self, entries: list[tuple[int, str]]):
-        self._by_length: dict[int, list[tuple[int, str]]] = {}
-        for seq, text in entries:
-            self._by_length.setdefault(len(text), []).append((seq, text))
-        self._seen: dict[str, tuple[float, int] | None] = {}
-
-    def find(self, query: str) -> tuple[float, int] | None:
-        """(score, seq) of the best entry; the lowest seq wins ties."""
-        if query not in self._seen:
-            self._seen[query] = self._search(query)
-        return self._seen[query]
-
-    def _search(self, query: str) -> tuple[float, int] | None:
-        size = len(query)
-        bounds = sorted(((200.0 * min(size, n) / (size + n), n) for n in self._by_length),
-                        reverse=True)
-        best = None
-        for bound, n in bounds:
-            if best and bound < best[0] - 1e-9:
-                break
-            for seq, text in self._by_length[n]:
-                score = ratio(query, text)
-                if best is None or score > best[0] or (score == best[0] and seq < best[1]):
-                    best = (score, seq)
-        return best
+    a, b = _matrix(left, 0x110000), _matrix(right, 0x110001)  # no letters, and not alike
+    words = -(-a.shape[1] // 64)
+    state = np.full((len(a), words), np.iinfo(np.uint64).max, np.uint64)
+    packed = np.zeros((len(a), words * 8), np.uint8)
+    for letter in b.T:
+        bits = np.packbits(a == letter[:, None], axis=1, bitorder="little")
+        packed[:, :bits.shape[1]] = bits
+        equal = packed.view(np.uint64)
+        carry = np.zeros(len(a), bool)
+        for word in range(words):
+            row = state[:, word]
+            hit = row & equal[:, word]
+            part = row + hit
+            total = part + carry
+            carry = (part < row) | (total < part)
+            state[:, word] = total | (row ^ hit)
+    return (64 * words - np.bitwise_count(state).sum(axis=1, dtype=np.int64)) if words else np.zeros(len(a), np.int64)
+
+
+#: Pairs of one step, taken in order of length, so that they need little filling up.
+PAIRS_AT_ONCE = 4096
+
+
+def common_in_order(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """``common_subsequences`` of pairs of any lengths."""
+    swap = left.str.len() > right.str.len()
+    left, right = left.where(~swap, right), right.where(~swap, left)
+    order = np.lexsort((left.str.len(), right.str.len()))
+    found = np.zeros(len(order), np.int32)
+    for start in range(0, len(order), PAIRS_AT_ONCE):
+        some = order[start:start + PAIRS_AT_ONCE]
+        found[some] = common_subsequences(left.iloc[some], right.iloc[some])
+    return found
+
+
+@F.pandas_udf(T.IntegerType())
+def common_letters(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of each pair; null texts have none."""
+    return pd.Series(common_in_order(left.fillna(""), right.fillna("")))
 
 
 def trigrams(key: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt import schemas
 from hydromelt.functions import names, similarity, values
-from hydromelt.operators.numbering import top_per
+from hydromelt.operators.nearest import nearest
+from hydromelt.operators.numbering import first_per, top_per
 from hydromelt.session import stage, work_splits
 
 _ENTRY = ("dict_type", "code", "variant", "variant_norm")
@@ -61,58 +61,31 @@ def exact_lookup(parsed: DataFrame, lexicon: DataFrame) -> DataFrame:
     return first_hits(lookup_keys(parsed.withColumn("tails", F.lit(None))), lexicon)
 
 
-def _similar(_key: tuple, undecided: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    order = entries["seq"].argsort(kind="stable").to_numpy()
-    nearest = similarity.NearestEntry(list(zip(range(len(order)), entries["variant_norm"].iloc[order])))
-    rows = []
-    for raw, body, tokens in zip(undecided["raw"], undecided["body"], undecided["paren_tokens"]):
-        best = None
-        for place, query in enumerate([body, *tokens]):
-            found = nearest.find(query) if query else None
-            if found and (best is None or found[0] > best[0]):
-                best = (*found, place)
-        if best:
-            entry = entries.iloc[order[best[1]]]
-            rows.append((raw, best[0], round(best[0], 1), best[2], entry["seq"], *(entry[c] for c in _ENTRY)))
-    return pd.DataFrame(rows, columns=["raw", "best", "score", "place", "seq", *_ENTRY])
-
-
-def nearest_entries(undecided: DataFrame, lexicon: DataFrame, splits: int | None = None,
-                    slices: int = 1) -> DataFrame:
-    """Most similar lexicon entry per name.
-
-    Every name is compared with every entry, as the best score counts even where it is too low to decide anything. Names are
-    hashed over ``splits`` groups and each group meets one of ``slices`` lexicon slices; one row per name and slice
-    leaves a task. Raise ``slices`` for a lexicon too large for one task.
+def nearest_entries(undecided: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Most similar lexicon entry per name, however low its score, over the name's body and its bracketed parts.
+
+    Each distinct text is looked up once in an index of the lexicon; of equal scores the earlier part of a name counts, then
+    the earlier entry.
     """
-    splits = splits or work_splits(undecided.sparkSession)
-    spread = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    left = (undecided.select("raw", "body", "paren_tokens",
-                             F.pmod(F.xxhash64("raw"), F.lit(splits)).alias("split"))
-            .withColumn("slice", spread))
-    right = (lexicon.select("seq", *_ENTRY, F.pmod(F.xxhash64("variant_norm"), F.lit(slices)).alias("slice"))
-             .withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)).cast("array<bigint>")))
-             .withColumn("slice", F.col("slice").cast("int")))
-    per_slice = left.groupBy("split", "slice").cogroup(right.groupBy("split", "slice")).applyInPandas(
-        _similar, "raw string, best double, score double, place int, seq string, dict_type string, "
-                  "code string, variant string, variant_norm string")
-    if slices > 1:
-        # Higher score first; on a tie the earlier query, then the earlier entry.
-        order = F.struct(-F.col("best"), F.col("place"), F.col("seq"))
-        per_slice = per_slice.groupBy("raw").agg(
-            F.min_by(F.struct("score", "place", *_ENTRY), order).alias("b")).select("raw", "b.*")
-    return per_slice.withColumn("via", F.when(F.col("place") == 0, "body").otherwise("paren"))
-
-
-def map_names(raw_names: DataFrame, lexicon: DataFrame, slices: int = 1) -> DataFrame:
+    queries = undecided.select("raw", F.posexplode(F.concat(F.array("body"), F.col("paren_tokens"))).alias("part", "asked"))
+    found = nearest(queries.select("asked"), lexicon.select(F.col("variant_norm").alias("text"), "seq"))
+    order = F.struct(-F.col("ratio"), F.col("part"), F.col("seq"))
+    best = queries.join(found, "asked").groupBy("raw").agg(F.min_by(F.struct("ratio", "part", "seq", "text"), order).alias("b"))
+    entries = first_per(lexicon.select("seq", *_ENTRY), ["variant_norm"], [F.col("seq")]).drop("seq")
+    return best.select("raw", "b.*").join(entries, F.col("text") == F.col("variant_norm")).select(
+        "raw", F.bround("ratio", 1).alias("score"), F.when(F.col("part") == 0, "body").otherwise("paren").alias("via"), *_ENTRY)
+
+
+def map_names(raw_names: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Standard code, status and evidence for every distinct name.
 
     Tiers in fixed order: exact, bracketed abbreviation, site prefix, similarity.
     """
-    # Read twice, so the names are parsed and looked up once and written aside.
+    # Both are read several times; the names are parsed and looked up once.
+    lexicon = stage(lexicon.select("seq", *_ENTRY), "lexicon")
     hits = stage(first_hits(lookup_keys(parse_names(raw_names)), lexicon), "hits")
     undecided = hits.where("hit is null")
-    near = nearest_entries(undecided, lexicon, slices=slices).select(
+    near = nearest_entries(undecided, lexicon).select(
         F.col("raw").alias("_raw"), "score",
         F.struct("via", F.lit(None).cast("string").alias("site"), *_ENTRY).alias("near"))
     joined = hits.join(near, F.col("raw") == F.col("_raw"), "left")
@@ -254,31 +227,37 @@ def match_cascade(surfaces: DataFrame, terms: DataFrame, synonyms: DataFrame,
 
 # --- text containment without a cross product --------------------------------
 
-def substrings(text: Column, shortest: int = 1, only: list[int] | None = None) -> Column:
-    """Distinct substrings of a short text, of all lengths or of some."""
-    size = F.length(text)
-    if only is None:
-        lengths = F.when(size >= shortest, F.sequence(F.lit(shortest), size)).otherwise(F.array().cast("array<int>"))
-    else:
-        listed = F.array(*[F.lit(n) for n in only if n >= shortest]).cast("array<int>")
-        lengths = F.filter(listed, lambda n: n <= size)
-    cut = F.flatten(F.transform(lengths, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n))))
-    return F.array_distinct(cut)
-
-
-def contained_in(short: DataFrame, short_text: str, long: DataFrame, long_text: str,
-                 on: tuple[str, ...] = (), at_least: int = 1) -> DataFrame:
-    """Pair each ``short`` row with the ``long`` texts that contain its text.
-
-    Containment becomes equality with an exploded substring, so the join stays
-    an equi-join. Only lengths that some short text has are cut: as many numbers
-    as the longest name has letters. ``on`` columns must agree too; texts are short names.
+#: Letters of the longest piece that containment looks up.
+PIECE = 3
+
+
+def pieces(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` letters of a text."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def contained_in(short: DataFrame, short_text: str, long: DataFrame, long_text: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pair each ``short`` row with the distinct ``long`` texts that contain its text; empty texts are in none.
+
+    A text that holds another holds its rarest run of three letters (of a shorter text: the text itself), so candidates come
+    from one equi-join on that, one row per short text, and every pair comes once. The long side has at most
+    three rows per letter; runs that many texts hold are looked up only for texts without a rarer one. ``on`` columns must agree.
     """
-    sizes = sorted(r[0] for r in short.select(F.length(short_text)).distinct().collect() if r[0])
-    pieces = (long.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], long_text).distinct()
-              .withColumn("_piece", F.explode(substrings(F.col(long_text), at_least, sizes))))
-    same = F.col(short_text) == F.col("_piece")
-    for i, c in enumerate(on):
-        same = same & (F.col(c) == F.col(f"_on{i}"))
-    return short.join(pieces, same).drop("_piece", *[f"_on{i}" for i in range(len(on))])
+    keys = [f"_on{i}" for i in range(len(on))]
+    whole = long.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], F.col(long_text).alias("_long")).distinct()
+    runs = whole.select(*keys, "_long", F.explode(F.concat(*[pieces(F.col("_long"), n) for n in range(1, PIECE + 1)])).alias("_piece"))
+    frequency = runs.groupBy("_piece").agg(F.count("*").alias("_seen"))
+    size = F.least(F.length("_short"), F.lit(PIECE))
+    texts = short.select(F.col(short_text).alias("_short")).where("_short <> ''").distinct()
+    own = texts.select("_short", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("_short") - size + 1), lambda i: F.substring(F.col("_short"), i, size))).alias("_piece"))
+    # A run that no long text holds is the rarest, and pairs with nothing.
+    rarest = own.join(frequency, "_piece", "left").groupBy("_short").agg(
+        F.min_by("_piece", F.struct(F.coalesce("_seen", F.lit(0)), "_piece")).alias("_piece"))
+    found = rarest.join(runs, "_piece").where(F.contains("_long", "_short")).drop("_piece")
+    same = F.col(short_text) == F.col("_short")
+    for c, k in zip(on, keys):
+        same = same & (F.col(c) == F.col(k))
+    return short.join(found, same).withColumnRenamed("_long", long_text).drop("_short", *keys)

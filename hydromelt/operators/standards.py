@@ -116,7 +116,3 @@ def region_grades(limits: DataFrame) -> DataFrame:
     return limits.where("region_grade is not null").select("region_grade").distinct()
 
 
-def replace_set(current: DataFrame, fresh: DataFrame, standard_set: str = C.DEFAULT_STANDARD_SET) -> DataFrame:
-    """The limits table with one set replaced whole, by nothing if ``fresh`` has no row of it. Rows without a set stay."""
-    same = F.col("standard_set").eqNullSafe(standard_set)
-    return current.where(~same).unionByName(fresh.where(same))

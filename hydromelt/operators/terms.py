@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.functions import values, words
-from hydromelt.functions.similarity import ratio
-from hydromelt.operators.matching import contained_in, substrings
+from hydromelt.operators.matching import contained_in
+from hydromelt.operators.nearest import nearest
 from hydromelt.operators.numbering import top_per
-from hydromelt.session import work_splits
 
 
 def verification_targets(metadata: DataFrame) -> DataFrame:
@@ -27,15 +26,15 @@ def official_synonyms(standard: DataFrame) -> DataFrame:
 
 
 def containing_terms(targets: DataFrame, standard: DataFrame) -> DataFrame:
-    """All official names inside a target or around it.
+    """All official names inside a target or around it, each once.
 
-    ``targets``: term. Both directions are equi-joins on substrings.
+    ``targets``: term. Both directions are equi-joins on the shorter text's rarest run of letters.
     """
     terms = targets.select("term").distinct()
     official = standard.select(values.strip(F.col("term_name")).alias("official")).where("official <> ''").distinct()
     inside = contained_in(official, "official", terms, "term")
     around = contained_in(terms, "term", official, "official")
-    return inside.select("term", "official").unionByName(around.select("term", "official")).where("term <> official").distinct()
+    return inside.select("term", "official").unionByName(around.select("term", "official")).where("term <> official")
 
 
 def word_list(raw_words: DataFrame) -> DataFrame:
@@ -55,13 +54,11 @@ def _segment(batch: pd.DataFrame) -> pd.DataFrame:
 def segment_terms(targets: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Full decomposition of each term into standard words; null when impossible.
 
-    Each term meets only the words that occur in it, found by an equi-join, so
-    the word list is never shipped whole.
+    Each term meets only the words that occur in it, so the word list is never shipped whole.
     """
     terms = targets.select("term").distinct()
-    pieces = terms.withColumn("word", F.explode(substrings(F.col("term"))))
-    usable = pieces.join(vocabulary.select("word"), "word").groupBy("term").agg(
-        F.collect_set("word").alias("vocabulary"))
+    usable = contained_in(vocabulary.select("word").distinct(), "word", terms, "term").groupBy("term").agg(
+        F.collect_list("word").alias("vocabulary"))  # no more than a term has substrings
     full = terms.join(usable, "term", "left").withColumn(
         "vocabulary", F.coalesce("vocabulary", F.array().cast("array<string>")))
     return full.mapInPandas(lambda batches: (_segment(b) for b in batches), "term string, parts array<string>")
@@ -102,18 +99,7 @@ def composed_abbreviations(parts: DataFrame, vocabulary: DataFrame) -> DataFrame
 
 
 def similar_names(targets: DataFrame, standard: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` most similar official names per target, as advice only."""
-    def rank(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pool = right.sort_values("row_no", kind="stable")["official"].tolist()
-        rows = []
-        for term in left["term"]:
-            scored = sorted(((-ratio(term, name), place) for place, name in enumerate(pool)))[:limit]
-            rows += [(term, n + 1, pool[place], round(-score, 1)) for n, (score, place) in enumerate(scored)]
-        return pd.DataFrame(rows, columns=["term", "place", "official", "score"])
-
-    splits = work_splits(targets.sparkSession)
-    left = targets.select("term").distinct().withColumn("split", F.pmod(F.xxhash64("term"), F.lit(splits)))
-    slices = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)).cast("array<bigint>"))
-    right = standard.select("row_no", values.strip(F.col("term_name")).alias("official")).withColumn("split", slices)
-    return left.groupBy("split").cogroup(right.groupBy("split")).applyInPandas(
-        rank, "term string, place int, official string, score double")
+    """The ``limit`` most similar official names per target, as advice only; of equally similar ones the first listed."""
+    found = nearest(targets.select(F.col("term").alias("asked")), standard.select(
+        F.col("row_no").alias("seq"), values.strip(F.col("term_name")).alias("text")), limit)
+    return found.select(F.col("asked").alias("term"), "place", F.col("text").alias("official"), F.bround("ratio", 1).alias("score"))

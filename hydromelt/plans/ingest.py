@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hydromelt.operators import matching, melt, summaries, tables
 from hydromelt.session import stage
 from hydromelt.sources import ndjson, sinks
+from hydromelt.sources.snapshots import Store
 
 
 def layouts_of(columns: DataFrame, data: DataFrame, units: DataFrame | None = None,
@@ -27,10 +28,10 @@ def records_of(columns: DataFrame, data: DataFrame, as_of: date, overrides: Data
     return melt.melt(data, stage(layouts_of(columns, data, units), "layouts"), F.lit(as_of))
 
 
-def ingest(columns: DataFrame, data: DataFrame, path: str, audit_path: str, as_of: date,
+def ingest(columns: DataFrame, data: DataFrame, store: str, as_of: date,
            dictionary_version: str, overrides: DataFrame | None = None, units: DataFrame | None = None,
            batch_id: int | None = None, ran_at: datetime | None = None) -> DataFrame:
-    """Load the measurements of these files, in place of what was stored of them, and write their audit rows.
+    """Load the measurements of these files, in place of what was stored of them, with their audit rows, in one commit.
 
     Every load is added under its batch number, by default the time in microseconds; readers see the newest load of each
     file through :func:`stored_measurements`, so a file that lost all its values is empty there. ``columns`` may carry
@@ -49,8 +50,7 @@ def ingest(columns: DataFrame, data: DataFrame, path: str, audit_path: str, as_o
     if "mapping_run_id" in columns.columns:
         audit = audit.join(runs, "file_id", "left")
     audit = stage(audit, "audit")
-    sinks.append_measurements(records, path, batch_id)
-    sinks.append_ingestion_runs(audit, audit_path, batch_id)
+    sinks.append_load(data.sparkSession, records, audit, store, batch_id)
     return audit
 
 
@@ -67,14 +67,16 @@ def newest_mapping(runs: DataFrame, columns: DataFrame, reviews: DataFrame | Non
     return chosen, reviews.where("code is not null").select("file_id", "column_index", "code", "dict_type")
 
 
-def stored_measurements(spark: SparkSession, path: str, audit_path: str) -> DataFrame:
-    """The current measurements: those of the newest load of each file."""
-    return tables.current_rows(spark.read.parquet(path), spark.read.parquet(audit_path))
+def stored_measurements(spark: SparkSession, store: str) -> DataFrame:
+    """The current measurements: those of the newest load of each file, all as of one commit."""
+    held = Store(spark, store)
+    version = held.manifest()["version"]
+    return tables.current_rows(held.read(sinks.MEASUREMENTS, version), held.read(sinks.RUNS, version))
 
 
-def stored_runs(spark: SparkSession, audit_path: str) -> DataFrame:
+def stored_runs(spark: SparkSession, store: str) -> DataFrame:
     """The audit rows of the newest load of each file."""
-    runs = spark.read.parquet(audit_path)
+    runs = Store(spark, store).read(sinks.RUNS)
     return tables.current_rows(runs, runs)
 
 

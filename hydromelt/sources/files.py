@@ -2,8 +2,8 @@
 
 Files differ in encoding, header position and width, so they are read as rows
 of texts; header detection and naming are DataFrame operators. Ordinary files
-are parsed one per task. Plain CSV files above ``WHOLE_FILE_BYTES`` are read by
-line instead and split over many tasks.
+are parsed one per task. CSV files above ``WHOLE_FILE_BYTES`` are read by line
+instead and split over many tasks.
 """
 
 from __future__ import annotations
@@ -11,23 +11,22 @@ from __future__ import annotations
 import csv
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from itertools import islice
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hydromelt import config as C
 from hydromelt import schemas
 from hydromelt.functions.values import any_of
 from hydromelt.operators.joins import checked_broadcast
-from hydromelt.session import stage
+from hydromelt.sources import lines
 
 _BATCH_ROWS = 20_000
 _MISSING = frozenset(C.MISSING_CELL_TEXTS)
@@ -78,6 +77,7 @@ def decode(content: bytes) -> tuple[str | None, str | None]:
 
 
 def _csv_rows(text: str) -> Iterator[list[str | None]]:
+    csv.field_size_limit(sys.maxsize)
     for row in csv.reader(io.StringIO(text, newline="")):
         if row and not (len(row) == 1 and not row[0].strip()):
             yield [None if cell in _MISSING else cell for cell in row]
@@ -206,83 +206,19 @@ def read_cells(files: DataFrame) -> DataFrame:
     return part.mapInArrow(_parse_files, schemas.CELLS)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_line(line: pd.Series, encoding: pd.Series) -> pd.Series:
-    def cells(raw, name):
-        row = next(iter(csv.reader([bytes(raw).decode(name)])), [])
-        return [None if c in _MISSING else c for c in row]
-
-    return pd.Series([cells(raw, name) for raw, name in zip(line, encoding)])
-
-
-@F.pandas_udf(T.BooleanType())
-def _fits_cp949(line: pd.Series) -> pd.Series:
-    return line.map(lambda raw: decode_as(bytes(raw), "cp949"))
-
-
-def decode_as(raw: bytes, encoding: str) -> bool:
-    try:
-        raw.decode(encoding)
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
 def _large_csv(length: Column, name: Column, whole_bytes: int) -> Column:
     return (length > whole_bytes) & ~is_excel(name)
 
 
-def _line_cells(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``cells``. UTF-8 lines without quotes are cut by Spark, others by the CSV parser."""
-    text = F.regexp_replace(F.col("line").cast("string"), "\\A\ufeff", "")
-    plain = (F.col("encoding") == "utf-8-sig") & ~F.contains(text, F.lit('"'))
-    cut = F.transform(F.split(text, ",", -1), lambda c: F.when(~c.isin(*C.MISSING_CELL_TEXTS), c))
-    return lines.where(plain).withColumn("cells", cut).unionByName(
-        lines.where(~plain).withColumn("cells", _split_line(F.col("line"), F.col("encoding"))))
-
-
 def read_lines(spark: SparkSession, folder: str, whole_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(cell grid, unsplittable files) of the large CSV files of a folder, split inside files.
-
-    Lines are written once with their task-local number, so that numbering and
-    parsing see the same split. A line's row index is its place in its file
-    block plus the lines of earlier blocks; no line is shuffled for it. Rows are
-    padded to, and called ragged against, the first row, and unreadable files give one row, as
-    in :func:`read_cells`. Files with a line break inside quotes cannot be split and are listed apart.
-    """
+    """(cell grid, unsplittable files) of the large CSV files of a folder, split inside files."""
     meta = F.col("_metadata")
     name = plain_path(meta["file_name"])
-    text = (spark.read.option("recursiveFileLookup", True).text(folder)
+    text = (spark.read.options(recursiveFileLookup=True, lineSep="\n").text(folder)
             .where(_large_csv(meta["file_size"], name, whole_bytes) & name.rlike(_suffixes(C.DATA_SUFFIXES))
-                   & ~_hidden(name))
-            .where(F.col("value").rlike(r"\S"))
-            .select(plain_path(meta["file_path"]).alias("file_id"), meta["file_block_start"].alias("block"),
-                    F.col("value").cast("binary").alias("line")))
-    lines = stage(text.withColumn("id", F.monotonically_increasing_id()), "lines")
-    quotes = F.octet_length("line") - F.octet_length(F.replace(F.col("line").cast("string"), F.lit('"'), F.lit("")))
-    blocks = stage(lines.groupBy("file_id", "block").agg(
-        F.count("*").alias("rows"), F.min("id").alias("first_id"), F.bool_or(quotes % 2 == 1).alias("broken"),
-        F.bool_and(F.expr("is_valid_utf8(cast(line as string))")).alias("utf8")), "blocks")
-    whole = blocks.groupBy("file_id").agg(F.bool_or("broken").alias("broken"), F.bool_and("utf8").alias("utf8"))
-    korean = lines.join(whole.where("NOT utf8 AND NOT broken").select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(
-        F.bool_and(_fits_cp949(F.col("line"))).alias("cp949"))
-    whole = stage(whole.join(korean, "file_id", "left").select(
-        "file_id", "broken", F.when(F.col("utf8"), "utf-8-sig").when(F.col("cp949"), "cp949").alias("encoding")), "encodings")
-    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select("file_id", "block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first_id")
-                                                ).alias("shift")).join(
-        whole.where(~F.col("broken") & F.col("encoding").isNotNull()), "file_id")
-    numbered = lines.join(checked_broadcast(shifts, C.BROADCAST_BLOCKS), ["file_id", "block"]).select(
-        "file_id", "encoding", (F.col("id") + F.col("shift")).alias("row_idx"), "line")
-    widths = _line_cells(numbered.where("row_idx = 0")).select("file_id", F.size("cells").alias("width"))
-    short = F.col("width") - F.size("cells")
-    padded = F.when(short > 0, F.concat("cells", F.array_repeat(F.lit(None).cast("string"), short))).otherwise(F.col("cells"))
-    grid = _line_cells(numbered).join(checked_broadcast(widths), "file_id").select(
-        "file_id", "encoding", (short < 0).alias("ragged"), "row_idx", padded.alias("cells"))
-    lost = whole.where(~F.col("broken") & F.col("encoding").isNull()).select(
-        "file_id", "encoding", F.lit(False).alias("ragged"), F.lit(-1).cast("long").alias("row_idx"),
-        F.lit(None).cast("array<string>").alias("cells"))
-    return grid.unionByName(lost), whole.where("broken").select("file_id")
+                   & ~_hidden(name)))
+    return lines.read_lines(text.select(plain_path(meta["file_path"]).alias("file_id"), meta["file_block_start"].alias("block"),
+                                        F.col("value").cast("binary").alias("line")))
 
 
 def read_folder(spark: SparkSession, folder: str, whole_bytes: int = C.WHOLE_FILE_BYTES) -> DataFrame:

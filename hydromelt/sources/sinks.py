@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
-from hydromelt.operators.standards import replace_set
+from hydromelt.operators.tables import current_rows
 from hydromelt.session import stage
+from hydromelt.sources.snapshots import Store
 
 BOM = "﻿"
 
@@ -17,26 +18,39 @@ def write_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def append_measurements(records: DataFrame, path: str, batch_id: int) -> None:
-    """Add one load under its batch number; repeating a load replaces itself.
+MEASUREMENTS, RUNS, LIMITS = "measurements", "ingestion_runs", "limits"
 
-    No folder per file, nothing old is rewritten. Reading goes through
+
+def append_load(spark: SparkSession, records: DataFrame, audit: DataFrame, store: str, batch_id: int, key: str | None = None) -> None:
+    """Add one load, its records and one audit row per loaded file, under its batch number and in one commit.
+
+    Repeating a load replaces it. Nothing old is rewritten: readers go through
     :func:`hydromelt.operators.tables.current_rows`, which knows emptied files from the audit.
     """
     sized = records.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", F.col("item_code"))
-    write_partitions(sized.sortWithinPartitions("item_code", "measured_on"), path, ("batch_id",))
+    key = str(batch_id) if key is None else key
+    Store(spark, store).commit({(MEASUREMENTS, key): sized.sortWithinPartitions("item_code", "measured_on"),
+                                (RUNS, key): audit.withColumn("batch_id", F.lit(batch_id))})
+
+
+def compact_loads(spark: SparkSession, store: str) -> int:
+    """Rewrite a store of loads as one part per table that holds only each file's newest load."""
+    held = Store(spark, store)
+    now = held.manifest()
+    runs = held.read(RUNS, now["version"])
+    records = current_rows(held.read(MEASUREMENTS, now["version"]), runs)
+    return held.compact({MEASUREMENTS: records, RUNS: current_rows(runs, runs)}, now)
 
 
-def append_ingestion_runs(audit: DataFrame, path: str, batch_id: int) -> None:
-    """Add a load's audit: one row per loaded file, also of files without any value."""
-    write_partitions(audit.withColumn("batch_id", F.lit(batch_id)), path, ("batch_id",))
+def replace_standard_set(fresh: DataFrame, store: str, standard_set: str = C.DEFAULT_STANDARD_SET) -> int:
+    """Swap one stored set of limits for the rows ``fresh`` has of it, or drop it if there are none, in one commit."""
+    rows = stage(fresh.where(F.col("standard_set").eqNullSafe(standard_set)), "limits")
+    return Store(fresh.sparkSession, store).commit({(LIMITS, standard_set): None if rows.isEmpty() else rows})
 
 
-def replace_standard_set(current: DataFrame, fresh: DataFrame, path: str,
-                         standard_set: str = C.DEFAULT_STANDARD_SET) -> None:
-    """Swap one set of limits, or drop it if ``fresh`` has none; everything is parsed and written aside first."""
-    whole = stage(replace_set(current, fresh, standard_set), "limits")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("standard_set").parquet(path)
+def stored_limits(spark: SparkSession, store: str) -> DataFrame:
+    """All stored sets."""
+    return Store(spark, store).read(LIMITS)
 
 
 def csv_line(columns: list[Column]) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hydromelt.operators import melt, tables
 from hydromelt.sources import ndjson, sinks
+from hydromelt.sources.snapshots import Store
+
+#: Which files each load sent.
+SENDINGS = "sendings"
 
 
 def rate_counts(usage: DataFrame) -> DataFrame:
@@ -36,39 +42,63 @@ def breaches(counted: DataFrame, allowed: int) -> DataFrame:
     return counted.where(F.col("requests") > allowed).withColumn("refused", F.col("requests") - allowed)
 
 
-def land_records(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Land NDJSON record lines (file_id, value) as they arrive.
+def _land(stream: DataFrame, records: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> StreamingQuery:
+    """Commits, for every micro-batch, its records and the sendings (file_id, load_id) it holds, both or neither.
 
-    Every micro-batch writes its own partition, so a replayed batch replaces itself and
-    a file may span batches; :func:`read_records` keeps the newest record per cell.
+    A replayed batch replaces itself. A sending is known by any line of it, so a file whose newest sending has no
+    record is empty.
     """
     def land(batch: DataFrame, batch_id: int) -> None:
-        sinks.append_measurements(ndjson.parse_lines(batch), path, batch_id)
+        key = f"{checkpoint}#{batch_id}"
+        place = F.lit(batch_id).cast("long").alias("batch_id")
+        Store(batch.sparkSession, store).commit({
+            (sinks.MEASUREMENTS, key): records(batch).select("*", place),
+            (SENDINGS, key): batch.select("file_id", "load_id").distinct()})
 
-    return (lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Landed records, one per source cell."""
-    return tables.newest_records(spark.read.parquet(path))
+def _read(spark: SparkSession, store: str) -> DataFrame:
+    """Records of each file's newest sending, one per source cell: the one landed last."""
+    held = Store(spark, store)
+    version = held.manifest()["version"]
+    newest = held.read(SENDINGS, version).groupBy("file_id").agg(F.max("load_id").alias("load_id"))
+    stored = held.read(sinks.MEASUREMENTS, version).join(newest, ["file_id", "load_id"], "left_semi")
+    return tables.newest_records(stored).drop("load_id")
 
 
-def land_cells(cells: DataFrame, path: str, checkpoint: str, as_of, load_id: int = 0) -> StreamingQuery:
-    """Parse long text cells as they arrive; ``load_id`` numbers the sendings, so that a file sent again replaces itself."""
-    def land(batch: DataFrame, batch_id: int) -> None:
-        typed = melt.typed_records(batch, F.lit(as_of)).withColumns({"load_id": F.lit(load_id), "batch_id": F.lit(batch_id)})
-        sinks.write_partitions(typed, path, ("load_id", "batch_id"))
+def land_records(lines: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Land NDJSON lines (file_id, value) as they arrive.
 
-    return (cells.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    A file may span batches. ``load_id``, if the stream has it, numbers the sendings of a file: a later one takes the place of
+    all earlier ones, also if it has only a meta line or a blank one. Without it all lines of a file are one sending.
+    """
+    if "load_id" not in lines.columns:
+        lines = lines.withColumn("load_id", F.lit(0).cast("long"))
+    return _land(lines, ndjson.parse_lines, store, checkpoint)
+
+
+def read_records(spark: SparkSession, store: str) -> DataFrame:
+    """Landed records of each file's newest sending."""
+    return _read(spark, store)
+
+
+def land_cells(cells: DataFrame, store: str, checkpoint: str, as_of, load_id: int = 0) -> StreamingQuery:
+    """Parse long text cells as they arrive; ``load_id`` numbers the sendings, so that a file sent again replaces itself.
+
+    A cell without a row number only announces its file, which may have no other.
+    """
+    def typed(batch: DataFrame) -> DataFrame:
+        return melt.typed_records(batch.where("source_row is not null"), F.lit(as_of)).withColumn("load_id", number)
+
+    number = F.lit(load_id).cast("long")
+    return _land(cells.withColumn("load_id", number), typed, store, checkpoint)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Landed records of each file's newest load, one per source cell."""
-    stored = spark.read.parquet(path)
-    newest = stored.groupBy("file_id").agg(F.max("load_id").alias("load_id"))
-    return tables.newest_records(stored.join(newest, ["file_id", "load_id"], "left_semi")).drop("load_id")
+def read_cells(spark: SparkSession, store: str) -> DataFrame:
+    """Landed records of each file's newest sending, one per source cell."""
+    return _read(spark, store)
 
 
 def accumulate_sightings(sightings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

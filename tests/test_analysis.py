@@ -131,15 +131,14 @@ def test_replace_standard_set(spark, limits, tmp_path):
     from hydromelt.sources import sinks
     path = str(tmp_path / "t")
     other = limits.withColumn("standard_set", F.lit("other"))
-    other.unionByName(limits).write.partitionBy("standard_set").parquet(path)
-    current = spark.read.parquet(path).select(limits.columns)
-    sinks.replace_standard_set(current, limits.limit(1), path)
-    spark.catalog.refreshByPath(path)
-    count = lambda: {r.standard_set: r["count"] for r in spark.read.parquet(path).groupBy("standard_set").count().collect()}
+    for name, rows in (("other", other), ("배출허용기준", limits)):
+        sinks.replace_standard_set(rows, path, name)
+    count = lambda: {r.standard_set: r["count"] for r in sinks.stored_limits(spark, path).groupBy("standard_set").count().collect()}
+    assert count() == {"other": 3, "배출허용기준": 3}
+    sinks.replace_standard_set(limits.limit(1), path)
     assert count() == {"other": 3, "배출허용기준": 1}
     stray = other.limit(2).unionByName(limits.where("false"))
-    sinks.replace_standard_set(spark.read.parquet(path).select(limits.columns), stray, path)
-    spark.catalog.refreshByPath(path)
+    sinks.replace_standard_set(stray, path)
     assert count() == {"other": 3}
 
 

@@ -96,10 +96,10 @@ def test_newest_mapping_and_its_run_reach_the_records(spark, report, tmp_path):
     reviews = spark.createDataFrame([("r", 8, "WQ-099", None), ("r", 4, None, None)], "file_id string, column_index int, code string, dict_type string")
     chosen, overrides = ingest.newest_mapping(runs, both, reviews)
     assert {r.mapping_run_id for r in chosen.collect()} == {12}
-    ingest.ingest(chosen, data, str(tmp_path / "m"), str(tmp_path / "a"), AS_OF, "v1", overrides)
-    stored = ingest.stored_measurements(spark, str(tmp_path / "m"), str(tmp_path / "a"))
+    ingest.ingest(chosen, data, str(tmp_path / "m"), AS_OF, "v1", overrides)
+    stored = ingest.stored_measurements(spark, str(tmp_path / "m"))
     assert {(r.mapping_run_id, r.item_code) for r in stored.collect()} == {(12, "WQ-004"), (12, "WQ-005"), (12, "WQ-099")}
-    audit = ingest.stored_runs(spark, str(tmp_path / "a")).first()
+    audit = ingest.stored_runs(spark, str(tmp_path / "m")).first()
     assert audit.mapping_run_id == 12 and audit.ran_at is not None
 
 
@@ -119,16 +119,16 @@ def test_record_count_matches_filled_cells(spark):
 
 def test_ingest_replaces_files(spark, report, tmp_path):
     columns, data = report
-    path, audit_path = str(tmp_path / "m"), str(tmp_path / "a")
+    path = str(tmp_path / "m")
     other = columns.withColumn("file_id", F.lit("other")), data.withColumn("file_id", F.lit("other"))
-    ingest.ingest(*other, path, audit_path, AS_OF, "v1")
+    ingest.ingest(*other, path, AS_OF, "v1")
     for _ in range(2):
-        ingest.ingest(columns, data, path, audit_path, AS_OF, "v1")
-    stored = ingest.stored_measurements(spark, path, audit_path)
+        ingest.ingest(columns, data, path, AS_OF, "v1")
+    stored = ingest.stored_measurements(spark, path)
     assert {(r.file_id, r["count"]) for r in stored.groupBy("file_id").count().collect()} == {("r", 7), ("other", 7)}
-    ingest.ingest(columns, data.where("source_row = 0"), path, audit_path, AS_OF, "v2")
-    assert ingest.stored_measurements(spark, path, audit_path).where("file_id = 'r'").count() == 3
-    audit = {r.file_id: r for r in ingest.stored_runs(spark, audit_path).collect()}
+    ingest.ingest(columns, data.where("source_row = 0"), path, AS_OF, "v2")
+    assert ingest.stored_measurements(spark, path).where("file_id = 'r'").count() == 3
+    audit = {r.file_id: r for r in ingest.stored_runs(spark, path).collect()}
     assert (audit["other"].source_rows, audit["other"].inserted_values, audit["other"].non_numeric_values,
             audit["other"].flagged_values, audit["other"].measured_columns) == (3, 7, 1, 3, 3)
     assert audit["r"].dictionary_version == "v2" and audit["r"].inserted_values == 3
@@ -136,17 +136,17 @@ def test_ingest_replaces_files(spark, report, tmp_path):
 
 def test_appended_loads_show_the_newest(spark, report, tmp_path):
     columns, data = report
-    path, audit = str(tmp_path / "m"), str(tmp_path / "a")
+    path = str(tmp_path / "m")
     other = columns.withColumn("file_id", F.lit("other")), data.withColumn("file_id", F.lit("other"))
-    ingest.ingest(*other, path, audit, AS_OF, "v1", batch_id=1)
+    ingest.ingest(*other, path, AS_OF, "v1", batch_id=1)
     for _ in range(2):
-        ingest.ingest(columns, data, path, audit, AS_OF, "v1", batch_id=2)
-    count = lambda: {r.file_id: r["count"] for r in ingest.stored_measurements(spark, path, audit).groupBy("file_id").count().collect()}
+        ingest.ingest(columns, data, path, AS_OF, "v1", batch_id=2)
+    count = lambda: {r.file_id: r["count"] for r in ingest.stored_measurements(spark, path).groupBy("file_id").count().collect()}
     assert count() == {"r": 7, "other": 7}
-    ingest.ingest(columns, data.where("source_row = 0"), path, audit, AS_OF, "v2", batch_id=3)
+    ingest.ingest(columns, data.where("source_row = 0"), path, AS_OF, "v2", batch_id=3)
     assert count() == {"r": 3, "other": 7}
     blank = other[1].withColumn("cells", F.transform("cells", lambda c: F.lit(None).cast("string")))
-    ingest.ingest(other[0], blank, path, audit, AS_OF, "v2", batch_id=4)
+    ingest.ingest(other[0], blank, path, AS_OF, "v2", batch_id=4)
     assert count() == {"r": 3}
 
 

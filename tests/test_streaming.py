@@ -71,3 +71,18 @@ def test_typed_stream_matches_batch(spark, tmp_path):
     batch = melt.typed_records(rows, F.lit(date(2025, 1, 1)))
     landed = jobs.read_cells(spark, str(tmp_path / "out")).select(batch.columns)
     assert landed.exceptAll(batch).count() == 0 and landed.count() == 50
+
+
+def test_a_file_sent_again_takes_the_place_of_all_it_had(spark, tmp_path):
+    """Three cells, then one; a file sent again with its meta line only; a file that spans two batches of one sending."""
+    sent = [(1, ["f"], [("f", 0), ("f", 1), ("f", 2), ("g", 0), ("h", 0)]), (1, [], [("h", 1)]), (2, ["f"], [("f", 1)]), (3, ["g"], [])]
+    for load_id, announced, cells in sent:
+        records = spark.createDataFrame([(f, r, load_id) for f, r in cells], "file_id string, source_row long, value_num int")
+        lines = ndjson.record_lines(records.withColumn("value_num", F.col("value_num").cast("decimal(18,6)")).withColumn("item_code", F.lit("WQ-001")))
+        meta = ndjson.meta_lines(spark.createDataFrame([(f, 0) for f in announced], "file_id string, source_rows int"))
+        lines = lines.unionByName(meta).withColumn("load_id", F.lit(load_id).cast("long"))
+        lines.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
+        jobs.land_records(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r.file_id, r.source_row, int(r.value_num)) for r in jobs.read_records(spark, str(tmp_path / "out")).collect())
+    assert got == [("f", 1, 2), ("h", 0, 1), ("h", 1, 1)]
