@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from hydromelt import config as C
 from hydromelt.functions import values
-from hydromelt.session import spread
+from hydromelt.session import ship, spread
 
 AS_OF = date(2000, 1, 1)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -52,10 +53,10 @@ def packed() -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the workers, which may not have it; Spark copies the file to them."""
-    if not spark.conf.get("spark.hydromelt.shipped", None):
+    """Gives the package to the workers, which may not have it; Spark copies the file to them, once per application."""
+    shipped = os.path.basename(packed()) in [os.path.basename(f) for f in spark.sparkContext._python_includes]
+    if not shipped:
         spark.sparkContext.addPyFile(packed())
-        spark.conf.set("spark.hydromelt.shipped", "true")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -75,16 +76,41 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     """Write ``df`` once and read it back.
 
     Cuts lineage in a way that survives lost executors, and lets later steps
-    prune columns and row groups instead of recomputing the producer.
+    prune columns and row groups instead of recomputing the producer. The table
+    goes with :func:`release`, or else when the application ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     # Several files per task, so that one task's large output is read by many.
     writer = df.write.mode("errorifexists").option("maxRecordsPerFile", C.STAGE_FILE_ROWS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM knows them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that no plan will read again, and lets Spark drop the shuffle files of plans that are gone.
+
+    Shuffle files go when the driver's JVM finds their plan unreachable, which on a quiet driver takes long.
+    """
+    for table in tables:
+        place, files = _place(table.sparkSession, table.staged_at)
+        files.delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def work_splits(spark: SparkSession) -> int:
