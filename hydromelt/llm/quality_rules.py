@@ -1,7 +1,7 @@
 """Quality filtering by weak supervision.
 
 Rules look at a document's statistics and vote good, bad or nothing. Expectation-maximisation over the counts of vote
-patterns estimates how often good documents exist and how often each rule is right on good and on bad ones; a document
+patterns estimates how often good documents exist and how each rule votes on good and on bad ones; a document
 is kept by its posterior probability of being good, not by passing every rule.
 """
 
@@ -27,7 +27,9 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: A document is kept from this posterior on.
 THRESHOLD = 0.5
-ITERATIONS = 200
+ITERATIONS = 1000
+#: Pseudo-counts of a bad, a good and no vote on bad documents, and on good ones.
+PRIOR = np.array([[4.0, 1.0, 5.0], [1.0, 4.0, 5.0]])
 
 
 @dataclass(frozen=True)
@@ -45,17 +47,17 @@ class Rule:
         return (vote if self.good_to is None else vote.when(value <= self.good_to, GOOD)).otherwise(ABSTAIN)
 
 
-#: Ratios of the statistics; a negative sign turns "at least" into "at most". Most rules only know what is bad.
+#: Ratios of the statistics; a negative sign turns "at least" into "at most". Some rules only know what is bad.
 RULES = (
     Rule("symbols", "n_symbols / n_words", 0.1, 0.02),
-    Rule("sentences", "- n_sentence_ends / n_words", -0.02, -0.05),
-    Rule("upper_case", "n_upper_words / n_words", 0.3),
-    Rule("repeated_words", "n_repeat_words / n_words", 0.2),
-    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.25),
-    Rule("vocabulary", "- n_distinct_words / n_words", -0.3),
-    Rule("top_word", "top_word / n_words", 0.2),
-    Rule("long_words", "word_chars / n_words", 7.0),
-    Rule("short_words", "- word_chars / n_words", -3.0),
+    Rule("sentences", "- n_sentence_ends / n_words", -0.03, -0.05),
+    Rule("upper_case", "n_upper_words / n_words", 0.02),
+    Rule("repeated_words", "n_repeat_words / n_words", 0.1, 0.02),
+    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.2),
+    Rule("vocabulary", "- n_distinct_words / n_words", -0.5, -0.6),
+    Rule("top_word", "top_word / n_words", 0.15, 0.1),
+    Rule("long_words", "word_chars / n_words", 6.5),
+    Rule("short_words", "- word_chars / n_words", -4.3),
 )
 
 
@@ -104,36 +106,35 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good per vote pattern, each rule's accuracy on bad and good documents, and the share of good ones.
+    """Posterior of good per vote pattern, each rule's chances of a vote in either class, and the share of good documents.
 
-    Starts from the majority of votes. Accuracies stay at or above chance, so that good keeps its meaning.
+    The chances, as (class, rule, vote) with bad, good and no vote in the last place, are estimated class by class: a rule that only
+    knows what is bad tells by how much oftener it says so of bad documents, and by its silence. Starts from the majority
+    of votes; ``PRIOR`` counts as that many documents of each class, which keeps good the class that good votes go to.
     """
-    said = patterns != ABSTAIN
-    good = patterns == GOOD
-    votes = said.sum(axis=1)
-    posterior = np.where(votes > 0, (good & said).sum(axis=1) / np.maximum(votes, 1), 0.5)
-    accuracy, prior = np.full((2, patterns.shape[1]), 0.7), 0.5
+    votes = np.where(patterns == ABSTAIN, 2, patterns)
+    said = (votes[:, :, None] == np.arange(3)).astype(float)
+    posterior = ((patterns == GOOD).sum(axis=1) + 1) / ((patterns != ABSTAIN).sum(axis=1) + 2)
+    chances, share = np.zeros((2, patterns.shape[1], 3)), 0.5
     for _ in range(ITERATIONS):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
-        prior = (weight[1].sum() + 1) / (counts.sum() + 2)
-        right = np.stack([weight[0] @ (said & ~good), weight[1] @ (said & good)])
-        new = np.clip((right + 7) / (weight @ said + 10), 0.5, 0.999)
-        done = np.abs(new - accuracy).max() < 1e-9
-        accuracy = new
-        log = np.log
-        evidence = log(prior) - log(1 - prior) + (said & good) @ (log(accuracy[1]) - log(1 - accuracy[0])) + (
-            said & ~good) @ (log(1 - accuracy[1]) - log(accuracy[0]))
+        share = (weight[1].sum() + 1) / (counts.sum() + 2)
+        new = np.einsum("cp,prv->crv", weight, said) + PRIOR[:, None, :]
+        new /= new.sum(axis=2, keepdims=True)
+        done = np.abs(new - chances).max() < 1e-12
+        chances = new
+        evidence = np.log(share) - np.log(1 - share) + np.einsum("prv,rv->p", said, np.log(chances[1]) - np.log(chances[0]))
         posterior = 1 / (1 + np.exp(-np.clip(evidence, -500, 500)))
         if done:
             break
-    return posterior, accuracy, float(prior)
+    return posterior, chances, float(share)
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """One row per row in: doc_id, the statistics, base_failed, posterior, kept.
 
-    Documents under ``LEAST_WORDS`` words or over ``MOST_REPEATED`` per cent repeated words fail at the base and are
+    A very long text counts whole and is measured alone. Documents under ``LEAST_WORDS`` words or over ``MOST_REPEATED`` per cent repeated words fail at the base and are
     not voted on; null and empty texts are among them. Null ids and repeated rows pass through, other columns are ignored,
     an empty table gives no rows. The driver sees vote patterns with their counts: at most 3 ** rules rows.
     """
