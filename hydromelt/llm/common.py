@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydromelt.session import ship
+
 #: ASCII white space that ends a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at once inside a task: bounds the arrays that numpy makes of it.
@@ -16,6 +18,7 @@ SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

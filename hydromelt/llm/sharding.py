@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from hydromelt import session
 from hydromelt.llm.common import table, utf8
+from hydromelt.operators.joins import checked_broadcast
 
 #: Slots of one map; the map is the only thing the driver holds, so this bounds it.
 SLOTS = 8192
+#: Rows alike in id and text that one slot may hold.
+REPEATS = 64
 #: Bytes counted for a record besides its text.
 ID_BYTES = 8
 
@@ -52,7 +55,7 @@ def read_map(df: DataFrame, version: int | None = None) -> SlotMap:
     return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows), tuple(r["bytes"] for r in rows))
 
 
-def virtual_slot(*keys: str, slots: int = SLOTS) -> Column:
+def virtual_slot(*keys: str | Column, slots: int = SLOTS) -> Column:
     """A record's slot: a hash of its keys, the same in every version of the map."""
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
@@ -117,6 +120,15 @@ def rebalance(old: SlotMap, bytes_of: list[int] | None = None, shards: int | Non
     return SlotMap(old.version + 1, shards, tuple(shard_of), tuple(sizes))
 
 
+def spread_repeats(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``virtual_slot`` from ``key``, and for keys of more than ``REPEATS`` rows from ``row``, a number of the row, as well."""
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPEATS).select(
+        "key", F.lit(True).alias("often"))
+    salt = F.when(F.col("often"), F.col("row")).otherwise(F.lit(0))
+    return rows.join(checked_broadcast(often), "key", "left").withColumn("virtual_slot", virtual_slot(
+        F.col("key"), salt, slots=slots)).drop("key", "row", "often")
+
+
 def assign(df: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows with ``virtual_slot`` get ``shard`` and ``map_version`` by one stored version, sent along as its rows are fixed."""
     rows = stored.select("virtual_slot", "shard", F.col("version").alias("map_version"))
@@ -141,14 +153,16 @@ def shard_documents(df: DataFrame, shards: int, slots: int = SLOTS, id_col: str
     """Every row's shard so that shards hold nearly equal bytes.
 
     One row out per row in: doc_id, size, text_crc32, virtual_slot, shard, map_version, slot. Null texts count as
-    empty; rows with a null id are spread by their text; repeated rows share a virtual slot and get places of their own.
+    empty, and very long ones whole; rows with a null id are spread by their text. Rows repeated more than ``REPEATS`` times
+    are spread over all virtual slots, others that are repeated share one; each gets a place of its own.
     Other columns are ignored; an empty table gives no rows.
     """
     text = utf8(text_col)
     rows = session.stage(df.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + ID_BYTES).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32")).withColumn(
-        "virtual_slot", virtual_slot("doc_id", "text_crc32", slots=slots)), "shard-rows")
+        F.crc32(text).alias("text_crc32")).withColumns({
+            "key": F.xxhash64("doc_id", "text_crc32"), "row": F.monotonically_increasing_id()}), "shard-keys")
+    rows = session.stage(spread_repeats(rows, slots), "shard-rows")
     stored = session.stage(build_map(slot_bytes(rows, slots), shards).frame(df.sparkSession), "slot-map")
     return number(assign(rows, stored), ["doc_id", "text_crc32", "size"])
 

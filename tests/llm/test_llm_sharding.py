@@ -43,3 +43,15 @@ def test_odd_and_empty(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
     assert sharding.shard_documents(no_docs, 3).count() == 0
+
+
+def test_rows_repeated_often_are_spread(spark):
+    """A third of the rows are one row again and again: shards stay even, and places are gapless."""
+    rows = [(7, "the same text " * 20)] * 3000 + [(i, "other " * 40) for i in range(100, 6100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.shard_documents(df, 24).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(out) == 9000 and loads.max() < 1.05 * loads.mean()
+    assert out[out.doc_id == 7].virtual_slot.nunique() > 1000
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
