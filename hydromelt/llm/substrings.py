@@ -75,11 +75,14 @@ def to_verify(pieces: DataFrame) -> DataFrame:
     known = paths.join(branching.where("forks AND spread").select("seed", F.lit(True).alias("branches")), "seed", "left").where(
         "branches OR source < last").withColumn("branches", F.coalesce("branches", F.lit(False)))
     # Written aside, so that both sides of the join are shuffled for it alone and a frequent path's partition can be split.
-    held = pieces.join(session.stage(known, "paths"), ["seed", "content"])
-    whole = held.where("source < last").select("doc", "version", "start", "edges", F.lit(False).alias("opened"))
+    paths = session.stage(known, "paths")
+    held = pieces.join(paths, ["seed", "content"])
     # Later documents lose a repeated path as a whole; only its first one can share single edges with other paths.
-    opened = held.where("branches AND doc = source").select("doc", "version", "start", "edges", F.lit(True).alias("opened"))
-    return whole.unionByName(opened)
+    opened = F.col("branches") & (F.col("doc") == F.col("source"))
+    kinds = F.filter(F.array(F.when(F.col("source") < F.col("last"), F.lit(False)), F.when(opened, F.lit(True))), lambda k: k.isNotNull())
+    wanted = session.stage(held.select("doc", "version", "start", "edges", F.explode(kinds).alias("opened")).distinct(), "wanted")
+    session.release(paths)
+    return wanted
 
 
 def read_again(docs: DataFrame, wanted: DataFrame, edge: int = EDGE) -> DataFrame:
@@ -123,11 +126,18 @@ def repeated_spans(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
     """doc, version, spans: the runs (first word, end, source document) of words whose k-mers start in a smaller document."""
     docs = versions(df, id_col, text_col)
     pieces = session.stage(cut_pieces(docs, edge, seed), "pieces")
-    read = session.stage(read_again(docs, to_verify(pieces).distinct(), edge), "read-again")
-    first = read.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
-    hits = read.join(session.stage(first, "repeated"), "digest").where("doc > source")
+    wanted = to_verify(pieces)
+    session.release(pieces)
+    read = session.stage(read_again(docs, wanted, edge), "read-again")
+    session.release(wanted)
+    first = session.stage(read.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where(
+        "source < last"), "repeated")
+    hits = read.join(first, "digest").where("doc > source")
     span = F.struct("start", (F.col("start") + F.col("edges") + (edge - 1)).alias("end"), "source")
-    return hits.groupBy("doc", "version").agg(F.collect_set(span).alias("spans"))
+    # A document has no more spans than words.
+    spans = session.stage(hits.groupBy("doc", "version").agg(F.collect_set(span).alias("spans")), "spans")
+    session.release(read, first)
+    return spans
 
 
 def without(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
@@ -154,7 +164,7 @@ def remove_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
     A word goes if a run of ``edge`` words around it starts in a document with a smaller id too, judged on the input.
     kept are the words left, joined by one space; spans the removed runs with their source documents. Null texts have no
     words. Rows with a null id are neither changed nor a source. Rows that share an id are one document's: none is a source
-    for the other. Other columns are ignored; an empty table gives no rows.
+    for the other. Very long texts are read whole, each alone. Other columns are ignored; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     spans = repeated_spans(df, edge, seed, id_col, text_col)
@@ -181,18 +191,23 @@ def remove_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: st
 
 
 def drop_repeats(df: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with all their columns; texts that lose words become the words left, joined by one space, others stay as they are."""
+    """The rows with all their columns; texts that lose words become the words left, joined by one space, others stay as they are.
+
+    Null and empty texts stay; so do rows with a null id. Repeated rows, and rows that share an id, are one document's: each comes
+    back, and none is a source for the other. Very long texts are read whole, each alone. An empty table gives no rows.
+    """
     spans = repeated_spans(df, edge, seed, id_col, text_col)
-    rows = with_spans(df, spans, id_col, text_col).select("row", "spans")
+    rows = with_spans(df, spans, id_col, text_col)
     names, place = df.columns, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.column("row").flatten()
-            texts = [text if not found else b" ".join(without(text.encode().split(), found)).decode() for text, found in zip(
-                columns[place].to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(batch, "raw"):
+                columns = part.column("row").flatten()
+                texts = [text if not found else b" ".join(without(text.encode().split(), found)).decode() for text, found in zip(
+                    columns[place].to_pylist(), part.column("spans").to_pylist(), strict=True)]
+                columns[place] = pa.array(texts, columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, df.schema)
 
