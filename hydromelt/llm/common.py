@@ -28,8 +28,10 @@ def utf8(column: str) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about ``most`` bytes of ``column`` each; a longer value stands alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    """Consecutive parts of a batch with about ``most`` bytes, or list entries, of ``column`` each; a longer value stands alone."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = pc.fill_null(length(values), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most:
