@@ -317,8 +317,8 @@ def latest_version(spark, folder):
   ORDER BY round_no DESC, file_id LIMIT 20 OFFSET 20"""))
 def history_page(spark, folder):
     """Second page of the run history, newest rounds first."""
-    return paging.page(S.runs(spark, folder).select("file_id", "round_no", "dictionary_version"),
-                       [F.col("round_no").desc(), F.col("file_id")], number=2, size=20)
+    return paging.PageIndex.build(S.runs(spark, folder).select("file_id", "round_no", "dictionary_version"),
+                                  [F.col("round_no").desc(), F.col("file_id")], _place(spark, "pages")).page(number=2, size=20)
 
 
 # --- files --------------------------------------------------------------------------------

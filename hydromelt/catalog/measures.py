@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from hydromelt.operators import analysis, headers, numbering, paging, quality, s
 from hydromelt.operators import melt as melting
 from hydromelt.operators.analysis import AnalysisRequest
 from hydromelt.plans import ingest
-from hydromelt.session import spread
+from hydromelt.session import scratch_root, spread
 
 query = Topic()
 
@@ -273,8 +274,10 @@ def evidence_rows(spark, folder):
 @query(_EVIDENCE_SQL + """ ORDER BY measured_on, m.file_id, source_row, source_column_index, value_num NULLS FIRST
   LIMIT 50 OFFSET 50""")
 def evidence_page(spark, folder):
+    """Second page through a stored index of pages."""
     order = [F.col(c) for c in (*analysis.EVIDENCE_ORDER, "value_num")]
-    return paging.page(_evidence(spark, folder), order, number=2, size=50)
+    path = f"{scratch_root(spark)}/pages-{uuid.uuid4().hex}"
+    return paging.PageIndex.build(_evidence(spark, folder), order, path).page(number=2, size=50)
 
 
 @query(S.with_tables("m files", """SELECT file_id, item_code, CAST(count(*) AS BIGINT) AS n FROM m

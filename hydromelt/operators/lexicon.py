@@ -125,40 +125,72 @@ def collect_synonyms(synonyms: DataFrame, sources: DataFrame, exclude_inferred:
     return counts.join(lists, "code")
 
 
-def drop_redundant(terms: DataFrame) -> DataFrame:
-    """Keep only synonyms whose body is not yet a key of an earlier spelling.
+def spelling_rows(terms: DataFrame) -> DataFrame:
+    """code, base, at, text: each term's names and synonyms as rows, in order of ``at``; names come first.
 
-    Needs ``code``, ``name_ko``, ``name_en``, ``abbr`` and ordered ``surfaces``;
-    adds ``synonyms`` (kept, joined) and ``redundant`` (dropped count).
+    Needs ``code``, ``name_ko``, ``name_en``, ``abbr`` and ordered ``surfaces``.
     """
-    named = F.filter(F.array("name_ko", "name_en", "abbr"), lambda v: ~F.coalesce(v, F.lit("")).isin("", "-"))
+    blank = lambda v: F.coalesce(v, F.lit("")).isin("", "-")
+    named = F.filter(F.array("name_ko", "name_en", "abbr"), lambda v: ~blank(v))
     listed = F.concat(F.transform(named, lambda v: F.struct(F.lit(True).alias("base"), v.alias("text"))),
                       F.transform(F.coalesce("surfaces", F.array().cast("array<string>")),
                                   lambda v: F.struct(F.lit(False).alias("base"), v.alias("text"))))
-    each = (terms.select("code", F.posexplode_outer(listed).alias("pos", "s"))
-            .select("code", "pos", "s.base", "s.text"))
-    forms = each.select("text").where("text is not null").distinct().withColumn(
-        "form", names.normalize_name("text"))
-    ordered = (each.join(forms, "text", "left").groupBy("code")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "base", "text", "form"))).alias("steps")))
-    start = F.struct(F.array().cast("array<string>").alias("keys"),
-                     F.array().cast("array<string>").alias("kept"), F.lit(0).alias("dropped"))
-
-    def step(acc: Column, s: Column) -> Column:
-        body = s["form"]["body"]
-        repeat = ~s["base"] & (body != "") & F.array_contains(acc["keys"], body)
-        own = F.filter(F.concat(F.array(body), s["form"]["paren_tokens"]), lambda k: k != "")
-        return F.struct(
-            F.when(repeat, acc["keys"]).otherwise(F.concat(acc["keys"], own)).alias("keys"),
-            F.when(repeat | s["base"], acc["kept"]).otherwise(
-                F.concat(acc["kept"], F.array(s["text"]))).alias("kept"),
-            (acc["dropped"] + F.when(repeat, 1).otherwise(0)).alias("dropped"))
-
-    steps = F.filter("steps", lambda s: s["text"].isNotNull())
-    folded = ordered.withColumn("fold", F.aggregate(steps, start, step))
-    return terms.drop("surfaces").join(folded.select(
-        "code", F.array_join("fold.kept", "|").alias("synonyms"),
-        F.col("fold.dropped").alias("redundant")), "code")
+    return terms.select("code", F.posexplode(listed).alias("at", "s")).select("code", "s.base", "at", "s.text").where("text IS NOT NULL")
+
+
+def mark_redundant(rows: DataFrame) -> DataFrame:
+    """Adds ``redundant``: whether a synonym's body is already a key of an earlier spelling of its code that stays.
+
+    ``rows`` as of :func:`spelling_rows`. The keys of a spelling are its body and its bracketed parts. A body that an earlier
+    spelling has is always a key by then, whether that one stays or not. So only a body's first spelling hangs on others,
+    through their bracketed parts, and only on such as may go themselves: these few are settled in rounds, each
+    settling all that hang on settled ones alone. No spelling is gathered by code.
+    """
+    forms = rows.select("text").distinct().withColumn("form", names.normalize_name("text"))
+    each = stage(rows.join(forms, "text").select("code", "base", "at", "text", "form.body", F.filter(
+        "form.paren_tokens", lambda k: k != "").alias("tokens")), "spellings")
+    # The names of a term stay in any case; a spelling without a body does too, as nothing can name it.
+    first = each.where("body <> ''").groupBy("code", "body").agg(F.min("at").alias("first"))
+    marked = each.join(first, ["code", "body"], "left").withColumn("sure", F.col("base") | (F.col("body") == "")).withColumn(
+        "open", ~F.col("sure") & (F.col("at") == F.col("first")))
+    keys = marked.where("sure OR open").select("code", F.explode("tokens").alias("key"), F.col("at").alias("by"), "sure")
+    given = keys.where("sure").groupBy("code", "key").agg(F.min("by").alias("given"))
+    settled = stage(marked.join(given.withColumnRenamed("key", "body"), ["code", "body"], "left").select(
+        "code", "at", "text", "body", "base", "open", F.when(F.col("open"), F.coalesce(F.col("given") < F.col("at"), F.lit(False))).otherwise(
+            ~F.col("sure")).alias("redundant")), "settled")
+    asked = settled.where("open AND NOT redundant").select("code", F.col("body").alias("key"), "at")
+    edges = stage(keys.where("NOT sure").join(asked, ["code", "key"]).where("by < at").select("code", "at", "by").join(
+        asked.select("code", F.col("at").alias("by")), ["code", "by"]).distinct(), "edges")
+    return settled.join(_gone(edges), ["code", "at"], "left").select(
+        "code", "base", "at", "text", (F.col("redundant") | F.coalesce("gone", F.lit(False))).alias("redundant"))
+
+
+def _gone(edges: DataFrame) -> DataFrame:
+    """code, at, gone of the spellings that go, given who would make whom go (``by`` before ``at``), if ``by`` itself stays."""
+    gone = edges.select("code", "at", F.lit(True).alias("gone")).where("false")
+    while not edges.isEmpty():
+        open_ = edges.select("code", F.col("at").alias("by"), F.lit(True).alias("open")).distinct()
+        state = edges.join(open_, ["code", "by"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        told = stage(state.groupBy("code", "at").agg(F.bool_or(~F.col("open")).alias("gone")), "told")
+        goes = told.where("gone").select("code", "at")
+        gone = gone.unionByName(goes.withColumn("gone", F.lit(True)))
+        # Who goes makes nobody go, and is asked no more; one that nobody is left for stays, and is no longer open.
+        left = edges.join(goes, ["code", "at"], "left_anti").join(goes.withColumnRenamed("at", "by"), ["code", "by"], "left_anti")
+        edges = stage(left, "edges")
+    return gone
+
+
+def drop_redundant(terms: DataFrame) -> DataFrame:
+    """Keep only synonyms whose body is not yet a key of an earlier spelling.
+
+    Needs ``code``, ``name_ko``, ``name_en``, ``abbr`` and ordered ``surfaces``; adds ``synonyms`` (kept, joined) and
+    ``redundant`` (dropped count). The kept ones are joined as a dictionary row stores them.
+    """
+    marked = mark_redundant(spelling_rows(terms)).where("NOT base")
+    kept = F.array_sort(F.collect_list(F.when(~F.col("redundant"), F.struct("at", "text"))))
+    folded = marked.groupBy("code").agg(F.array_join(F.transform(kept, lambda s: s["text"]), "|").alias("synonyms"),
+                                        F.count_if("redundant").cast("int").alias("redundant"))
+    return terms.drop("surfaces").join(folded, "code", "left").na.fill("", ["synonyms"]).na.fill(0, ["redundant"])
 
 
 def flat_terms(terms: DataFrame, collected: DataFrame, kind: str) -> DataFrame:

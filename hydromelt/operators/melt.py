@@ -18,6 +18,30 @@ def value_subset(cells_long: DataFrame, keys: list[str], value: str, allowed: tu
     return cells_long.groupBy(*keys).agg(F.coalesce(~outside, F.lit(False)).alias("all_allowed"))
 
 
+#: Columns that one mask of bits speaks for.
+_MASK = 63
+
+
+def allowed_columns(data: DataFrame, listed: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """file_id, column_index of the ``wanted`` columns whose filled cells, of which there are some, all lie inside ``allowed``.
+
+    ``listed``: file_id and its wanted columns. A row tells of up to 63 columns in one mask of bits, and masks of many rows are joined
+    before they are shuffled, so no cell becomes a row.
+    """
+    parts = F.transform(F.sequence(F.lit(1), F.size("wanted"), F.lit(_MASK)), lambda begin: F.slice("wanted", begin, F.lit(_MASK)))
+    masks = listed.where(F.size("wanted") > 0).select("file_id", F.explode(parts).alias("part"))
+
+    def mask(test) -> Column:
+        bits = F.transform("part", lambda i, n: F.when(test(values.blank_to_null(F.get("cells", i))), F.call_function("shiftleft", F.lit(1).cast("long"), n)))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda held, bit: held.bitwiseOR(F.coalesce(bit, F.lit(0).cast("long"))))
+
+    seen = data.join(masks, "file_id").groupBy("file_id", "part").agg(
+        F.bit_or(mask(lambda text: text.isNotNull())).alias("filled"), F.bit_or(mask(lambda text: ~text.isin(*allowed))).alias("other"))
+    inside = F.col("filled").bitwiseAND(F.bitwise_not(F.col("other")))
+    return seen.select("file_id", F.posexplode("part").alias("n", "column_index"), inside.alias("inside")).where(
+        F.expr("getbit(inside, n) = 1")).select("file_id", "column_index")
+
+
 def sample_type_columns(columns: DataFrame, data: DataFrame) -> DataFrame:
     """First sample-type column per file: by its name, or by holding only such values.
 
@@ -28,12 +52,8 @@ def sample_type_columns(columns: DataFrame, data: DataFrame) -> DataFrame:
         named = named | F.col("raw").contains(word)
     by_name = columns.where(named).select("file_id", "column_index")
     open_columns = columns.where(~named & F.col("code").isNull()).select("file_id", "column_index")
-    wanted = open_columns.groupBy("file_id").agg(F.collect_set("column_index").alias("wanted"))
-    # A null stands for a blank cell, so a column past a short row still groups.
-    part = data.join(wanted, "file_id").select("file_id", F.explode(F.transform("wanted", lambda i: F.struct(
-        i.alias("column_index"), F.get("cells", i).alias("value")))).alias("v")).select("file_id", "v.*")
-    by_value = value_subset(part, ["file_id", "column_index"], "value", C.SAMPLE_TYPE_VALUES).where(
-        "all_allowed").select("file_id", "column_index")
+    listed = open_columns.groupBy("file_id").agg(F.array_sort(F.collect_set("column_index")).alias("wanted"))
+    by_value = allowed_columns(data, listed, C.SAMPLE_TYPE_VALUES)
     return by_name.unionByName(by_value).groupBy("file_id").agg(F.min("column_index").alias("sample_type"))
 
 

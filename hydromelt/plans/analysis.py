@@ -62,6 +62,12 @@ def replay(measurements: DataFrame, files: DataFrame, conditions: str, owner: in
     return paging.page_with_total(rows, [F.col(c) for c in analysis.EVIDENCE_ORDER], page, size)
 
 
+def index_pages(measurements: DataFrame, files: DataFrame, conditions: str, path: str, owner: int | None = None) -> paging.PageIndex:
+    """The rows behind a stored analysis, stored in order under ``path``, to be paged through at will."""
+    rows = analysis.evidence(analysis.owned(measurements, files, owner), files, stored_request(conditions))
+    return paging.PageIndex.build(rows, [F.col(c) for c in analysis.EVIDENCE_ORDER], path)
+
+
 def exceedance_report(measurements: DataFrame, limits: DataFrame, standard_set: str = C.DEFAULT_STANDARD_SET,
                       region_grade: str = "가지역", scale: str | None = None,
                       file_id=None, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
