@@ -23,7 +23,7 @@ def both_dictionaries(measurement: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def apply_review(spark: SparkSession, queue_path: str, dictionary_dir: str, output_dir: str,
                  at: datetime) -> DataFrame:
-    """Write dictionaries grown by a filled review queue, and the log of what was added."""
+    """Write dictionaries grown by a filled review queue, and the log of what was added. Running it again adds no line twice."""
     measurement, metadata = (dictionaries.read_flat_terms(spark, p)
                              for p in dictionaries.dictionary_paths(dictionary_dir))
     queue = dictionaries.read_table(spark, queue_path)
@@ -33,10 +33,17 @@ def apply_review(spark: SparkSession, queue_path: str, dictionary_dir: str, outp
         grown = review.extend_terms(terms, own)
         sinks.write_csv(grown.orderBy("row_no").coalesce(1).drop("row_no"), f"{output_dir}/{C.DICT_FILES[kind]}")
     log = review.review_log(accepted, F.lit(at.isoformat(timespec="seconds")))
-    sinks.append_log(log, f"{output_dir}/review_log.csv")
+    sinks.append_log(log, f"{output_dir}/review_log.csv", queue_key(queue))
     return log
 
 
+def queue_key(queue: DataFrame) -> str:
+    """A key of a queue's lines, in whatever order they are read."""
+    line = F.xxhash64(*[F.col(f"`{c}`") for c in queue.columns]).cast("decimal(20,0)")
+    found = queue.agg(F.count("*").alias("n"), F.sum(line).alias("lines")).first()
+    return f"{found['n']:x}-{int(found['lines'] or 0) % (1 << 64):016x}"
+
+
 def import_review_log(log: DataFrame, synonyms: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(grown synonyms, sources including the review source)."""
     added = review.log_synonyms(log, synonyms)

@@ -22,11 +22,9 @@ class HeaderNotFound(ValueError):
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table of texts in file order, blanks for nulls, any known encoding.
 
-    Dictionary files are curated lists; each is parsed by one task, once.
+    The file is parsed once, a large one split over tasks.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn(
-        "filename", F.regexp_extract("path", r"([^/]+)$", 1))
-    cells = stage(source_files.read_cells(files), "table")
+    cells = stage(source_files.read_folder(spark, path), "table")
     head = cells.where("row_idx <= 0").orderBy("row_idx").take(1)
     if not head or head[0]["cells"] is None:
         raise ValueError(f"{path}: no known encoding fits")

@@ -117,5 +117,6 @@ def write_report(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    write_csv(log, path, mode="append")
+def append_log(log: DataFrame, path: str, key: str) -> None:
+    """Add one batch of log lines under its key; the same batch again takes its own place."""
+    write_csv(log, f"{path}/queue={key}")

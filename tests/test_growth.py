@@ -22,6 +22,8 @@ def test_apply_review_grows_the_dictionary(spark, dictionary_dir, tmp_path):
     rows = sorted((r.code, r.synonym, r.dict_file, r.reviewer, r.collected_at) for r in log.collect())
     assert rows == [("MD-301", "OPR_NM", "metadata_terms.csv", "박", "2026-08-08T19:22:36"),
                     ("WQ-102", "전기전도도값", "measurement_terms.csv", "박", "2026-08-08T19:22:36")]
+    plans.apply_review(spark, str(queue), dictionary_dir, out, datetime(2026, 8, 8, 19, 22, 36))
+    assert spark.read.option("header", True).csv(f"{out}/review_log.csv").count() == 2
     grown = spark.read.option("header", True).csv(f"{out}/metadata_terms.csv")
     assert "강이름|OPR_NM" in [r.synonyms for r in grown.collect()]
     flat = [dictionaries.read_flat_terms(spark, f"{out}/{name}/*.csv") for name in C.DICT_FILES.values()]
