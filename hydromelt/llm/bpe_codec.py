@@ -136,7 +136,8 @@ def code(df: DataFrame, vocabulary: str = "word_bpe_49k.json", outputs: tuple[st
     """One row per row in: doc_id, n_tokens and what ``outputs`` names of ids, decoded, ids_sha256, decoded_sha256.
 
     ids are token ids as an array of int, decoded is the text they give. Null and empty texts have no tokens and decode
-    to the empty text. Null ids and repeated rows pass through, other columns are ignored, an empty table gives no rows.
+    to the empty text. Very long texts are coded whole, each alone. Null ids, repeated rows
+    and rows that share an id pass through, other columns are ignored, an empty table gives no rows.
     """
     kinds = {"ids": (pa.list_(pa.int32()), "array<int>", lambda ids, text: np.frombuffer(ids, "<u4").astype(np.int32)),
              "decoded": (pa.string(), "string", lambda ids, text: text),

@@ -192,7 +192,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     """One row per row in: doc_id, version, n_shingles, component_id, kept. The version is a hash of the text.
 
     component_id is the smallest id that a document reaches over links, its own included; kept marks that document. Texts
-    without words, null ones too, are linked with nothing. Rows with a null id are linked with nothing and kept. Equal
+    without words, null ones too, are linked with nothing; very long ones are compared by their whole sets. Rows with a null id are linked with nothing and kept. Equal
     sets share a node, so copies are never paired; repeated rows get a row each. Other columns are ignored; an empty
     table gives no rows.
     """

@@ -100,7 +100,7 @@ def count_tokens(df: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: in
     """One row per row in: doc_id, n_bytes, n_tokens, over_limit.
 
     Null and empty texts have no tokens. Special strings in a text count as their one token. Null ids and repeated rows
-    pass through, other columns are ignored, and an empty table gives no rows.
+    pass through, very long texts are counted whole, other columns are ignored, and an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(load(vocabulary))  # its memory ends with the task

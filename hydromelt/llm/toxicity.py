@@ -198,7 +198,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
           text_col: str = "text") -> DataFrame:
     """One row per row in: doc_id, score, predicted. Null texts count as empty; without a model all scores are 0.
 
-    Null ids and repeated rows pass through, other columns are ignored, an empty table gives no rows.
+    Very long texts are scored whole. Null ids, repeated rows and rows that share an id pass through, other columns are ignored, an
+    empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model and model.table()
@@ -215,7 +216,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose texts score below ``threshold``; without a model all of them."""
+    """The rows, with all their columns, whose texts score below ``threshold``; without a model all of them.
+
+    Null texts count as empty, very long ones are scored whole. Repeated rows and rows that share an id are judged each by its own
+    text, null ids make no difference, and an empty table gives no rows.
+    """
     if model is None:
         return docs
 

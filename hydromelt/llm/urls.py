@@ -121,8 +121,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES,
     """One row per page: page_id, host, path, rule, listed, verdict.
 
     A rule that fits decides; else pages whose canonical URL is in ``listed`` (column ``key``) are blocked and the rest
-    allowed. Null URLs and those without ``://`` have empty host and path and are allowed. Repeated pages are judged
-    each; other columns are ignored.
+    allowed. Null URLs and those without ``://`` have empty host and path and are allowed; very long ones are judged whole.
+    Repeated pages and null ids are judged each; other columns are ignored; an empty table gives no rows, an empty list blocks nothing.
     """
     host, path = split_url(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))

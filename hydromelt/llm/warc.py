@@ -229,7 +229,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
 
 def read(spark: SparkSession, folder: str, id_type: str = "long", with_payload: bool = False) -> DataFrame:
     """One row per response or revisit record below ``folder``: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, and the payload if asked for. A record that breaks a check fails the read with its archive's name."""
+    refers_to, and the payload if asked for. A record that breaks a check fails the read with its archive's name.
+
+    Null ids and URLs come back as null, null payloads as empty ones; very long payloads are decoded one by one. Repeated records come
+    back each, other record types don't, and a folder without archives gives no rows.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
 

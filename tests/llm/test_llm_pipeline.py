@@ -52,3 +52,26 @@ def test_stages_return_the_columns_of_documents(spark, odd_docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_docs.where("false"), sf_dir).count() == 0
     assert substrings.EDGE == 50
+
+
+def test_the_chain_over_odd_rows(spark, odd_docs, sf_dir, tmp_path):
+    """Nulls, empty and very long texts, copies, repeated and shared ids and clashing columns, each stage fed with the last one's rows."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, folder = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder)
+        assert docs.columns == odd_docs.columns, name
+        held = {(r["doc_id"], r["n_chars"]) for r in before.where("text IS NULL OR text = ''").collect()}
+        assert {(r["doc_id"], r["n_chars"]) for r in docs.where("text IS NULL OR text = ''").collect()} >= held, name
+    rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert rows[0]["n_tokens"] == rows[1]["n_tokens"] == rows[2]["n_tokens"] == 0
+    assert rows[3]["n_tokens"] > 30_000 and 4 in rows and 5 not in rows and 13 not in rows and None in rows
+
+
+def test_the_chain_over_no_rows(spark, odd_docs, sf_dir, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    odd_docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

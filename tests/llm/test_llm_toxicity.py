@@ -84,3 +84,50 @@ def test_odd_and_empty(odd_docs, no_docs, model):
     kept = X.drop_toxic(odd_docs, model)
     assert kept.columns == odd_docs.columns
     assert kept.count() == X.score(odd_docs, model).where("predicted = 0").count() > odd_docs.count() / 2
+
+
+def plain_bucket(gram):
+    """The hashed bucket of one n-gram, letter by letter."""
+    held = 0x811C9DC5
+    for letter in gram:
+        held = (held ^ ord(letter)) * 0x01000193 & 0xFFFFFFFF
+    mixed = (held ^ len(gram)) * 0x9E3779B1 & 0xFFFFFFFF
+    return ((mixed ^ mixed >> 15) * 0x01000193 & 0xFFFFFFFF) >> (32 - X.BUCKET_BITS)
+
+
+def plain_features(text):
+    padded = f"\n{(text or '').lower()}\n"
+    return {plain_bucket(padded[k:k + n]) for n in X.SIZES for k in range(len(padded) - n + 1)}
+
+
+def test_scores_equal_a_second_computation(make_docs, corpus, model):
+    """From the weights alone: features gram by gram, added up and squashed in plain Python."""
+    texts = [*corpus[0][:60], "", None, "Ünïcödé 東京", "a", "hatework " * 50]
+    weight = dict(zip(model.bucket.tolist(), model.weight.tolist(), strict=True))
+    for r in X.score(make_docs(texts), model).collect():
+        total = model.intercept + sum(weight.get(b, 0.0) for b in plain_features(texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_ratios_and_weights_equal_a_second_computation(spark, make_docs, corpus, monkeypatch):
+    """Log-count ratios counted by sets, and a ridge logistic regression solved by plain Newton steps."""
+    monkeypatch.setattr(X, "FEATURES", 150)
+    monkeypatch.setattr(X, "STEPS", 4000)
+    texts, toxic = corpus[0][:300], corpus[1][:300]
+    labels = spark.createDataFrame([(i, 1, t, "x", "x") for i, t in enumerate(toxic)], LABELS)
+    fitted = X.fit(make_docs(texts), labels)
+    rows = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held, y = [plain_features(texts[i]) for i in rows], np.array([toxic[i] for i in rows], float)
+    ratio = []
+    for b in fitted.bucket.tolist():
+        has = np.array([b in h for h in held], float)
+        ratio.append(np.log(((has @ y + X.SMOOTH) / (y.sum() + 2 * X.SMOOTH)) / ((has @ (1 - y) + X.SMOOTH) / ((1 - y).sum() + 2 * X.SMOOTH))))
+    x = np.array([[r if b in h else 0.0 for b, r in zip(fitted.bucket.tolist(), ratio, strict=True)] for h in held])
+    full, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    ridge = np.r_[np.full(x.shape[1], X.RIDGE), 0.0]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+        step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full / len(y) + np.diag(ridge + 1e-12), full.T @ (p - y) / len(y) + ridge * w)
+        w -= np.clip(step, -1, 1)
+    want = 1 / (1 + np.exp(-(full @ w)))
+    assert np.abs(fitted.score([texts[i] for i in rows]) - want).max() < 0.02
