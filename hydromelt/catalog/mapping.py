@@ -437,7 +437,7 @@ def reload_emptied_file(spark, folder):
     rows = S.measurements(spark, folder).withColumn("loaded", F.lit(True))
     emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
     for batch_id, records, files in ((1, rows, rows.select("file_id").distinct()), (2, rows.where("false"), emptied)):
-        sinks.append_load(spark, records, files, store, batch_id)
+        sinks.append_load(spark, records, lambda _, files=files: files, store, batch_id)
     return ingest.stored_measurements(spark, store).groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
 
 
@@ -450,9 +450,9 @@ def compact_store(spark, folder):
     emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
     files = rows.select("file_id").distinct()
     for batch_id, records, loaded in ((1, rows.unionByName(rows), files), (2, rows, files), (3, rows.where("false"), emptied)):
-        sinks.append_load(spark, records, loaded, store, batch_id)
+        sinks.append_load(spark, records, lambda _, loaded=loaded: loaded, store, batch_id)
     sinks.compact_loads(spark, store)
-    sinks.append_load(spark, rows, files, store, 1)  # a late replay of a load that the compaction took in
+    sinks.append_load(spark, rows, lambda _: files, store, 1)  # a late replay of a load that the compaction took in
     held = snapshots.Store(spark, store)
     held.expire(keep=1, older_than=0)
     return ingest.stored_measurements(spark, store).groupBy("file_id", "item_code").agg(F.count("*").alias("n")).withColumn(

@@ -44,14 +44,13 @@ def ingest(columns: DataFrame, data: DataFrame, store: str, as_of: date,
     if "mapping_run_id" in columns.columns:
         runs = columns.select("file_id", "mapping_run_id").distinct()
         records = records.join(runs, "file_id", "left")
-    records = stage(records, "records")
-    audit = summaries.ingestion_audit(records, loaded).withColumns({
-        "dictionary_version": F.lit(dictionary_version), "ran_at": F.lit(ran_at)})
-    if "mapping_run_id" in columns.columns:
-        audit = audit.join(runs, "file_id", "left")
-    audit = stage(audit, "audit")
-    sinks.append_load(data.sparkSession, records, audit, store, batch_id)
-    return audit
+
+    def audit(written: DataFrame) -> DataFrame:
+        rows = summaries.ingestion_audit(written, loaded).withColumns({
+            "dictionary_version": F.lit(dictionary_version), "ran_at": F.lit(ran_at)})
+        return rows.join(runs, "file_id", "left") if "mapping_run_id" in columns.columns else rows
+
+    return sinks.append_load(data.sparkSession, records, audit, store, batch_id)
 
 
 def newest_mapping(runs: DataFrame, columns: DataFrame, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

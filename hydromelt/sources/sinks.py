@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +23,18 @@ def write_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
 MEASUREMENTS, RUNS, LIMITS = "measurements", "ingestion_runs", "limits"
 
 
-def append_load(spark: SparkSession, records: DataFrame, audit: DataFrame, store: str, batch_id: int, key: str | None = None) -> None:
-    """Add one load, its records and one audit row per loaded file, under its batch number and in one commit.
+def append_load(spark: SparkSession, records: DataFrame, audit: Callable[[DataFrame], DataFrame], store: str, batch_id: int) -> DataFrame:
+    """Add one load, its records and one audit row per loaded file, under its batch number and in one commit; returns the audit.
 
-    Repeating a load replaces it. Nothing old is rewritten: readers go through
-    :func:`hydromelt.operators.tables.current_rows`, which knows emptied files from the audit.
+    Records are written once; ``audit`` makes the audit rows from what was written. Repeating a load replaces it. Nothing old is rewritten: readers
+    go through :func:`hydromelt.operators.tables.current_rows`, which knows emptied files from the audit.
     """
-    sized = records.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", F.col("item_code"))
-    key = str(batch_id) if key is None else key
-    Store(spark, store).commit({(MEASUREMENTS, key): sized.sortWithinPartitions("item_code", "measured_on"),
-                                (RUNS, key): audit.withColumn("batch_id", F.lit(batch_id))})
+    held, key, number = Store(spark, store), str(batch_id), F.lit(batch_id)
+    sized = records.withColumn("batch_id", number).hint("rebalance", F.col("item_code"))
+    part = held.write(MEASUREMENTS, key, sized.sortWithinPartitions("item_code", "measured_on"))
+    runs = held.write(RUNS, key, audit(held.open(part).drop("batch_id")).withColumn("batch_id", number))
+    held.commit({(MEASUREMENTS, key): part, (RUNS, key): runs})
+    return held.open(runs).drop("batch_id")
 
 
 def compact_loads(spark: SparkSession, store: str) -> int:
