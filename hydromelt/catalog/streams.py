@@ -37,14 +37,27 @@ def _places(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{root}/table", f"{root}/checkpoint"
 
 
-@query("""SELECT CAST(length(event_type) AS BIGINT) AS organization_id,
+_RECENT = """SELECT CAST(length(event_type) AS BIGINT) AS organization_id,
   CAST(count(*) FILTER (ts >= TIMESTAMP '2024-01-19 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00') AS BIGINT) AS last_24_hours,
   CAST(count(*) FILTER (ts >= TIMESTAMP '2023-12-21 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00') AS BIGINT) AS last_30_days
-  FROM events GROUP BY 1""")
+  FROM events GROUP BY 1"""
+
+
+@query(_RECENT)
 def usage_recent(spark, folder):
     return usage.recent_usage(_log(spark, folder), F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00'"))
 
 
+@query(_RECENT)
+def stream_usage(spark, folder):
+    """The same totals from counts that a stream keeps, after its parts were compacted."""
+    path, checkpoint = _places(spark, "usage")
+    requests = _usage_columns(_event_stream(spark, folder)).withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    jobs.land_usage(requests, path, checkpoint, horizon="400 days").awaitTermination()
+    jobs.compact_usage(spark, path, horizon="400 days")
+    return jobs.read_usage(spark, path, F.expr("TIMESTAMP '2024-01-20 12:00:00'"))
+
+
 _MINUTES = "SELECT user_id AS api_key_id, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY 1, 2"
 
 

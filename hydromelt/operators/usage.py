@@ -14,6 +14,14 @@ def recent_usage(log: DataFrame, as_of: Column) -> DataFrame:
         F.count_if(since("INTERVAL 30 DAYS")).alias("last_30_days"))
 
 
+def recent_counts(seconds: DataFrame, as_of: Column) -> DataFrame:
+    """:func:`recent_usage` from counts per organisation and second."""
+    since = lambda interval: (F.col("second") >= as_of - F.expr(interval)) & (F.col("second") <= as_of)
+    total = lambda interval: F.coalesce(F.sum(F.when(since(interval), F.col("requests"))), F.lit(0))
+    return seconds.groupBy("organization_id").agg(
+        total("INTERVAL 24 HOURS").alias("last_24_hours"), total("INTERVAL 30 DAYS").alias("last_30_days"))
+
+
 def per_minute(log: DataFrame) -> DataFrame:
     """Requests per key and fixed minute."""
     return log.groupBy("api_key_id", F.window("requested_at", "1 minute").alias("w")).agg(

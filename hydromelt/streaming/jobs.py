@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hydromelt.operators import melt, tables
+from hydromelt.operators import usage as usage_ops
 from hydromelt.sources import ndjson, sinks
 from hydromelt.sources.snapshots import Store
 
 #: Which files each load sent.
 SENDINGS = "sendings"
+#: Landed request counts, and how long a second is counted: the longest total's days and one for late requests.
+USAGE, USAGE_HORIZON = "usage", "31 days"
 
 
 def rate_counts(usage: DataFrame) -> DataFrame:
@@ -42,6 +45,44 @@ def breaches(counted: DataFrame, allowed: int) -> DataFrame:
     return counted.where(F.col("requests") > allowed).withColumn("refused", F.col("requests") - allowed)
 
 
+def land_usage(usage: DataFrame, store: str, checkpoint: str, horizon: str = USAGE_HORIZON) -> StreamingQuery:
+    """Count requests per organisation and second as they arrive, for rolling totals.
+
+    Spark's state holds each second's count until the newest request is ``horizon`` past it; then the state goes, and what
+    comes later for it no longer matters to any total. Every micro-batch commits the counts it changed.
+    """
+    counted = usage.withWatermark("requested_at", horizon).groupBy(
+        "organization_id", F.window("requested_at", "1 second").alias("w")).agg(F.count("*").alias("requests"))
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        part = batch.select("organization_id", F.col("w.start").alias("second"), "requests", F.lit(batch_id).cast("long").alias("batch_id"))
+        Store(batch.sparkSession, store).commit({(USAGE, f"{batch_id:012d}"): part})
+
+    return (counted.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _seconds(stored: DataFrame) -> DataFrame:
+    """The last count of each organisation and second."""
+    return stored.groupBy("organization_id", "second").agg(
+        F.max_by("requests", "batch_id").alias("requests"), F.max("batch_id").alias("batch_id"))
+
+
+def read_usage(spark: SparkSession, store: str, as_of: Column) -> DataFrame:
+    """Requests per organisation in the last 24 hours and 30 days before ``as_of``, to the second."""
+    return usage_ops.recent_counts(_seconds(Store(spark, store).read(USAGE)), as_of)
+
+
+def compact_usage(spark: SparkSession, store: str, horizon: str = USAGE_HORIZON) -> int:
+    """Rewrite the landed counts as one part: the last of each second, and none past the horizon."""
+    held = Store(spark, store)
+    now = held.manifest()
+    seconds = _seconds(held.read(USAGE, now["version"]))
+    newest = seconds.agg(F.max("second")).first()[0]
+    live = seconds.where(F.col("second") >= F.lit(newest) - F.expr(f"INTERVAL {horizon}")) if newest else seconds
+    return held.compact({USAGE: live}, now)
+
+
 def _land(stream: DataFrame, records: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> StreamingQuery:
     """Commits, for every micro-batch, its records and the sendings (file_id, load_id) it holds, both or neither.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hydromelt.operators import melt, tables, usage
 from hydromelt.sources import ndjson
+from hydromelt.sources.snapshots import Store
 from hydromelt.streaming import jobs
 
 
@@ -86,3 +87,24 @@ def test_a_file_sent_again_takes_the_place_of_all_it_had(spark, tmp_path):
         jobs.land_records(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.file_id, r.source_row, int(r.value_num)) for r in jobs.read_records(spark, str(tmp_path / "out")).collect())
     assert got == [("f", 1, 2), ("h", 0, 1), ("h", 1, 1)]
+
+
+def test_rolling_usage_over_batches(spark, tmp_path):
+    """Counts grow over batches, seconds past the horizon leave state and store, and totals equal those of the whole log."""
+    parts = [[(1, "2024-01-01 00:00:00"), (1, "2024-02-09 23:00:00"), (2, "2024-02-09 12:00:01")],
+             [(1, "2024-02-09 23:00:00"), (2, "2024-02-10 12:00:00"), (2, "2024-02-10 12:00:01")],
+             [(1, "2024-01-02 00:00:00"), (1, "2024-02-10 00:00:00")]]
+    schema = "organization_id long, requested_at timestamp"
+    frame = lambda rows: spark.createDataFrame(rows, "organization_id long, t string").select("organization_id", F.to_timestamp("t").alias("requested_at"))
+    as_of = F.expr("TIMESTAMP '2024-02-10 12:00:00'")
+    for rows in parts:
+        frame(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.land_usage(stream, str(tmp_path / "u"), str(tmp_path / "cp")).awaitTermination()
+    key = lambda df: sorted((r.organization_id, r.last_24_hours, r.last_30_days) for r in df.collect())
+    want = key(usage.recent_usage(frame(sum(parts, [])), as_of))
+    assert key(jobs.read_usage(spark, str(tmp_path / "u"), as_of)) == want == [(1, 3, 3), (2, 2, 2)]
+    jobs.compact_usage(spark, str(tmp_path / "u"))
+    assert key(jobs.read_usage(spark, str(tmp_path / "u"), as_of)) == want
+    assert Store(spark, str(tmp_path / "u")).read(jobs.USAGE).agg(F.min("second")).first()[0].year == 2024
+    assert Store(spark, str(tmp_path / "u")).read(jobs.USAGE).where("second < '2024-01-10'").count() == 0
