@@ -85,6 +85,17 @@ def common_letters(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(common_in_order(left.fillna(""), right.fillna("")))
 
 
+def ratio_of(left: Column, right: Column) -> Column:
+    """Indel similarity on a 0-100 scale; two empty texts are alike."""
+    total = F.length(left) + F.length(right)
+    return F.when(total == 0, 100.0).otherwise((F.lit(1.0) - (total - 2 * common_letters(left, right)) / total) * 100.0)
+
+
+def indel_ratio(left: str, right: str) -> Column:
+    """``ratio_of`` two columns to one decimal."""
+    return F.bround(ratio_of(F.col(left), F.col(right)), 1)
+
+
 def trigrams(key: Column) -> Column:
     """Distinct trigrams of one word padded with two blanks before and one after."""
     padded = F.concat(F.lit("  "), key, F.lit(" "))

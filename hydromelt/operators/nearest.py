@@ -82,9 +82,7 @@ class GramIndex:
 
 def score(pairs: DataFrame) -> DataFrame:
     """Adds the indel ratio of ``asked`` and ``text``, 0 to 100."""
-    total = F.length("asked") + F.length("text")
-    common = similarity.common_letters(F.col("asked"), F.col("text"))
-    return pairs.withColumn("ratio", (F.lit(1.0) - (total - 2 * common) / total) * 100.0)
+    return pairs.withColumn("ratio", similarity.ratio_of(F.col("asked"), F.col("text")))
 
 
 def nearest(asked: DataFrame, entries: DataFrame, limit: int = 1, floor: float = FLOOR) -> DataFrame:

@@ -1,6 +1,8 @@
 import difflib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,9 +84,11 @@ def test_common_subsequence_matches_table(a, b):
 @given(st.lists(st.text("abcd", min_size=1, max_size=9), min_size=1, max_size=20, unique=True),
        st.text("abcd", min_size=1, max_size=9))
 def test_nearest_entry_is_first_best(pool, query):
-    best = similarity.NearestEntry(list(enumerate(pool))).find(query)
+    common = similarity.common_in_order(pd.Series([query] * len(pool)), pd.Series(pool))
+    total = np.array([len(query) + len(text) for text in pool])
+    found = (1.0 - (total - 2 * common) / total) * 100.0
     scores = [similarity.ratio(query, text) for text in pool]
-    assert best == (max(scores), scores.index(max(scores)))
+    assert (found.max(), found.argmax()) == (max(scores), scores.index(max(scores)))
 
 
 def test_indel_ratio(spark):
