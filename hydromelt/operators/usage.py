@@ -15,9 +15,14 @@ def recent_usage(log: DataFrame, as_of: Column) -> DataFrame:
 
 
 def recent_counts(seconds: DataFrame, as_of: Column) -> DataFrame:
-    """:func:`recent_usage` from counts per organisation and second."""
-    since = lambda interval: (F.col("second") >= as_of - F.expr(interval)) & (F.col("second") <= as_of)
-    total = lambda interval: F.coalesce(F.sum(F.when(since(interval), F.col("requests"))), F.lit(0))
+    """:func:`recent_usage` as of the start of a second, from counts per organisation and second.
+
+    ``at_start`` of a second's ``requests`` came at its very start: the others are later than it.
+    """
+    now = F.date_trunc("second", as_of)
+    begun = lambda interval: F.col("second") >= now - F.expr(interval)
+    counted = F.when(F.col("second") < now, F.col("requests")).when(F.col("second") == now, F.col("at_start"))
+    total = lambda interval: F.coalesce(F.sum(F.when(begun(interval), counted)), F.lit(0))
     return seconds.groupBy("organization_id").agg(
         total("INTERVAL 24 HOURS").alias("last_24_hours"), total("INTERVAL 30 DAYS").alias("last_30_days"))
 

@@ -48,14 +48,18 @@ def breaches(counted: DataFrame, allowed: int) -> DataFrame:
 def land_usage(usage: DataFrame, store: str, checkpoint: str, horizon: str = USAGE_HORIZON) -> StreamingQuery:
     """Count requests per organisation and second as they arrive, for rolling totals.
 
-    Spark's state holds each second's count until the newest request is ``horizon`` past it; then the state goes, and what
+    Those at the very start of a second are told from those within it, so totals as of a whole second are exact.
+    Spark's state holds each second's counts until the newest request is ``horizon`` past it; then the state goes, and what
     comes later for it no longer matters to any total. Every micro-batch commits the counts it changed.
     """
+    sharp = F.col("requested_at") == F.date_trunc("second", "requested_at")
     counted = usage.withWatermark("requested_at", horizon).groupBy(
-        "organization_id", F.window("requested_at", "1 second").alias("w")).agg(F.count("*").alias("requests"))
+        "organization_id", F.window("requested_at", "1 second").alias("w")).agg(
+        F.count("*").alias("requests"), F.count_if(sharp).alias("at_start"))
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        part = batch.select("organization_id", F.col("w.start").alias("second"), "requests", F.lit(batch_id).cast("long").alias("batch_id"))
+        part = batch.select("organization_id", F.col("w.start").alias("second"), "requests", "at_start",
+                            F.lit(batch_id).cast("long").alias("batch_id"))
         Store(batch.sparkSession, store).commit({(USAGE, f"{batch_id:012d}"): part})
 
     return (counted.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
@@ -63,13 +67,14 @@ def land_usage(usage: DataFrame, store: str, checkpoint: str, horizon: str = USA
 
 
 def _seconds(stored: DataFrame) -> DataFrame:
-    """The last count of each organisation and second."""
+    """The last counts of each organisation and second."""
     return stored.groupBy("organization_id", "second").agg(
-        F.max_by("requests", "batch_id").alias("requests"), F.max("batch_id").alias("batch_id"))
+        F.max_by("requests", "batch_id").alias("requests"), F.max_by("at_start", "batch_id").alias("at_start"),
+        F.max("batch_id").alias("batch_id"))
 
 
 def read_usage(spark: SparkSession, store: str, as_of: Column) -> DataFrame:
-    """Requests per organisation in the last 24 hours and 30 days before ``as_of``, to the second."""
+    """Requests per organisation in the last 24 hours and 30 days before the second that ``as_of`` lies in began."""
     return usage_ops.recent_counts(_seconds(Store(spark, store).read(USAGE)), as_of)
 
 

@@ -108,3 +108,19 @@ def test_rolling_usage_over_batches(spark, tmp_path):
     assert key(jobs.read_usage(spark, str(tmp_path / "u"), as_of)) == want
     assert Store(spark, str(tmp_path / "u")).read(jobs.USAGE).agg(F.min("second")).first()[0].year == 2024
     assert Store(spark, str(tmp_path / "u")).read(jobs.USAGE).where("second < '2024-01-10'").count() == 0
+
+
+def test_usage_within_the_second_of_the_total(spark, tmp_path):
+    """A request within the second that begins at the moment of the total is later than it; one at that moment counts."""
+    rows = [(1, "2024-02-10 12:00:00"), (1, "2024-02-10 12:00:00.000001"), (2, "2024-02-10 12:00:00.5"), (2, "2024-02-10 11:59:59.999999"),
+            (1, "2024-02-09 12:00:00"), (1, "2024-02-09 12:00:00.25"), (1, "2024-02-09 11:59:59.75"), (3, "2024-02-10 12:00:00.25")]
+    log = spark.createDataFrame(rows, "organization_id long, t string").select("organization_id", F.to_timestamp("t").alias("requested_at"))
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    jobs.land_usage(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")), str(tmp_path / "u"), str(tmp_path / "cp")).awaitTermination()
+    as_of = F.expr("TIMESTAMP '2024-02-10 12:00:00'")
+    key = lambda df: sorted((r.organization_id, r.last_24_hours, r.last_30_days) for r in df.collect())
+    want = key(usage.recent_usage(log, as_of))
+    assert key(jobs.read_usage(spark, str(tmp_path / "u"), as_of)) == want == [(1, 3, 4), (2, 1, 1), (3, 0, 0)]
+    jobs.compact_usage(spark, str(tmp_path / "u"))
+    assert key(jobs.read_usage(spark, str(tmp_path / "u"), as_of)) == want
+    assert key(jobs.read_usage(spark, str(tmp_path / "u"), F.expr("TIMESTAMP '2024-02-10 12:00:00.75'"))) == want
