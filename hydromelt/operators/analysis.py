@@ -93,7 +93,11 @@ def owned(measurements: DataFrame, files: DataFrame, owner: int | None) -> DataF
 
 
 def series(measurements: DataFrame, request: AnalysisRequest) -> DataFrame:
-    """Aggregate per period bucket and item, with the number of unusable values."""
+    """Aggregate per period bucket and item, with the number of unusable values.
+
+    A text among aggregates would make Spark sort all rows. Units are therefore told apart first, in the same
+    hashed aggregation, and the least one is taken from the few that a group has.
+    """
     request = request.with_defaults()
     number = values.METRICS[request.metric](F.col("value_num"))
     rounded = number if request.metric == "count" else F.round(number, 4)
@@ -101,7 +105,8 @@ def series(measurements: DataFrame, request: AnalysisRequest) -> DataFrame:
     return (measurements.where(condition(request))
             .groupBy(grouped(F.col("measured_on")).alias("_period"), "item_code")
             .agg(rounded.alias("value"), F.count("*").alias("n"),
-                 F.count_if(F.col("value_num").isNull()).alias("missing"), F.min("unit").alias("unit"))
+                 F.count_if(F.col("value_num").isNull()).alias("missing"),
+                 F.array_min(F.expr("collect_list(DISTINCT unit)")).alias("unit"))
             .select(spelled(F.col("_period")).alias("bucket"), "item_code", "value", "n", "missing", "unit"))
 
 

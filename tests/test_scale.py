@@ -1,6 +1,12 @@
 """Plans whose cost must not grow faster than their input."""
 
+from datetime import date
+
+from pyspark.sql import functions as F
+
 from hydromelt import config as C, session
+from hydromelt.operators import analysis
+from hydromelt.operators.analysis import AnalysisRequest
 
 
 def test_a_large_file_is_dealt_over_more_tasks(spark, tmp_path, monkeypatch):
@@ -11,3 +17,15 @@ def test_a_large_file_is_dealt_over_more_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(C, "SPREAD_BYTES", 100)
     dealt = session.spread(table, "id")
     assert dealt.rdd.getNumPartitions() > 4 * cores and dealt.count() == 1000
+
+
+def test_series_sorts_no_rows(spark, capsys):
+    """Several units in a group: the least is shown, and average and counts are those of all rows."""
+    rows = [("a", 2, "WQ-1", "mg/L"), ("a", 3, "WQ-1", None), ("a", 3, "WQ-1", "g/L"), ("a", None, "WQ-1", "mg/L"), ("a", 1, "WQ-2", None)]
+    facts = spark.createDataFrame(rows, "site_name string, v int, item_code string, unit string").select(
+        "site_name", F.col("v").cast("decimal(18,6)").alias("value_num"), "item_code", "unit", F.lit(date(2024, 1, 2)).alias("measured_on"))
+    points = analysis.series(facts, AnalysisRequest())
+    got = sorted((r.item_code, str(r.value), r.n, r.missing, r.unit) for r in points.collect())
+    assert got == [("WQ-1", "2.6667", 4, 1, "g/L"), ("WQ-2", "1.0000", 1, 0, None)]
+    points.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
