@@ -25,8 +25,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
+def _visible(text: Column) -> Column:
+    """Whether a text begins with a visible ASCII character: two comparisons of bytes."""
+    return (text >= F.lit("!")) & (text < F.lit("\x7f"))
+
+
+def is_filled(text: Column) -> Column:
+    """Whether a text has more than blanks; only odd ones are trimmed to see."""
+    return _visible(text) | (strip(text) != "")
+
+
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(strip(text), F.lit(""))
+    """A trimmed text, or null if nothing is left. Most texts have no blank at their ends, and trimming is dear."""
+    plain = _visible(text) & _visible(F.right(text, F.lit(1)))
+    return F.when(plain, text).otherwise(F.nullif(strip(text), F.lit("")))
 
 
 def is_number_like(text: Column) -> Column:

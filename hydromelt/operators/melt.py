@@ -116,22 +116,24 @@ def _cell(index: Column) -> Column:
 def melt(data: DataFrame, layouts: DataFrame, as_of: Column) -> DataFrame:
     """One record per row and filled measured column, with provenance and flags.
 
-    The layout is joined before the rows fan out. What fans out is one entry per
-    filled measured column with its own texts; the row's cells end before. A blank
-    cell gives no record: missing is not zero.
+    The layout is joined before the rows fan out. What fans out is one entry per measured column with its own texts; the row's
+    cells end before. A blank cell gives no record: missing is not zero.
     """
+    # Cells are trimmed after the fan-out: lambdas are interpreted, and repeat what they name twice.
     entries = F.transform("measures", lambda m: F.struct(
         m["raw"].alias("source_column"), m["column_index"].alias("source_column_index"), m["code"].alias("item_code"),
-        m["unit"].alias("unit"), _cell(m["column_index"]).alias("text"), _cell(m["limit_index"]).alias("limit_text")))
+        m["unit"].alias("unit"), F.get("cells", m["column_index"]).alias("cell"), F.get("cells", m["limit_index"]).alias("limit_cell")))
     wide = data.join(checked_broadcast(layouts), "file_id").select(
-        "file_id", "source_row", F.filter(entries, lambda m: m["text"].isNotNull()).alias("filled"), _cell(F.col("site")).alias("site_name"),
+        "file_id", "source_row", entries.alias("entries"), _cell(F.col("site")).alias("site_name"),
         _cell(F.col("outlet")).alias("outlet"), _cell(F.col("sample_type")).alias("sample_type"),
         *[_cell(F.col(role)).alias(f"{role}_text") for role in ("date", "datetime", "year", "month", "period")])
     dated = values.resolve_dates(wide, "date_text", "datetime_text", "year_text", "month_text", "period_text")
-    # Row-level work ends before the rows fan out.
+    # Row-level work ends before the rows fan out. For an inner fan-out Spark would compute the entries again, to see whether there are any.
     fanned = dated.select("file_id", "source_row", "site_name", "outlet", "sample_type", "measured_on",
-                          "period_label", F.explode("filled").alias("m"))
-    return typed_records(fanned.select("*", "m.*").drop("m"), as_of)
+                          "period_label", F.explode_outer("entries").alias("m"))
+    cells = fanned.select("*", "m.*").where(values.is_filled(F.col("cell"))).withColumns({
+        "text": values.blank_to_null(F.col("cell")), "limit_text": values.blank_to_null(F.col("limit_cell"))})
+    return typed_records(cells.drop("m", "cell", "limit_cell"), as_of)
 
 
 def typed_records(cells: DataFrame, as_of: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from hydromelt import config as C, session
-from hydromelt.operators import analysis
+from hydromelt.operators import analysis, melt
 from hydromelt.operators.analysis import AnalysisRequest
 
 
@@ -29,3 +29,18 @@ def test_series_sorts_no_rows(spark, capsys):
     assert got == [("WQ-1", "2.6667", 4, 1, "g/L"), ("WQ-2", "1.0000", 1, 0, None)]
     points.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_melt_reads_each_cell_once(spark, capsys):
+    """Entries of a row are made once, not again in a filter before the fan-out; blank and oddly blank cells give no record."""
+    rows = [("f", 0, [" 1 ", "　x "]), ("f", 1, ["  ", None]), ("f", 2, ["", "2"]), ("g", 0, ["3", "4"])]
+    data = spark.createDataFrame(rows, "file_id string, source_row long, cells array<string>")
+    columns = spark.createDataFrame([("f", i, f"c{i}", f"WQ-{i}", C.DICT_MEASUREMENT, None) for i in (0, 1)] + [
+        ("g", 0, "d", "MD-006", C.DICT_METADATA, None)],
+        "file_id string, column_index int, raw string, code string, dict_type string, site string")
+    layouts = session.stage(melt.file_layouts(columns, melt.sample_type_columns(columns, data)), "layouts")
+    found = melt.melt(data, layouts, F.lit(date(2024, 1, 1)))
+    found.explain()
+    assert capsys.readouterr().out.count("transform(") == 1
+    got = sorted((r.file_id, r.source_row, r.item_code, r.value_text) for r in found.collect())
+    assert got == [("f", 0, "WQ-0", "1"), ("f", 0, "WQ-1", "x"), ("f", 2, "WQ-1", "2")]
