@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, datetime, timezone
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydromelt import config as C
@@ -429,6 +430,11 @@ def _place(spark, name: str) -> str:
     return f"{session.scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _files_of(written: DataFrame) -> DataFrame:
+    """The audit of a load: the files it has records of, as written."""
+    return written.select("file_id").distinct()
+
+
 @query(S.with_tables("m", """SELECT file_id, item_code, CAST(count(*) AS BIGINT) AS n FROM m
   WHERE file_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 2) GROUP BY 1, 2"""))
 def reload_emptied_file(spark, folder):
@@ -436,8 +442,8 @@ def reload_emptied_file(spark, folder):
     store = _place(spark, "measurements")
     rows = S.measurements(spark, folder).withColumn("loaded", F.lit(True))
     emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
-    for batch_id, records, files in ((1, rows, rows.select("file_id").distinct()), (2, rows.where("false"), emptied)):
-        sinks.append_load(spark, records, lambda _, files=files: files, store, batch_id)
+    sinks.append_load(spark, rows, _files_of, store, 1)
+    sinks.append_load(spark, rows.where("false"), lambda _: emptied, store, 2)
     return ingest.stored_measurements(spark, store).groupBy("file_id", "item_code").agg(F.count("*").alias("n"))
 
 
@@ -448,11 +454,10 @@ def compact_store(spark, folder):
     store = _place(spark, "measurements")
     rows = S.measurements(spark, folder)
     emptied = S.table(spark, folder, "supplier").where("s_nationkey = 2").select(F.col("s_suppkey").alias("file_id"))
-    files = rows.select("file_id").distinct()
-    for batch_id, records, loaded in ((1, rows.unionByName(rows), files), (2, rows, files), (3, rows.where("false"), emptied)):
-        sinks.append_load(spark, records, lambda _, loaded=loaded: loaded, store, batch_id)
+    for batch_id, records, audit in ((1, rows.unionByName(rows), _files_of), (2, rows, _files_of), (3, rows.where("false"), lambda _: emptied)):
+        sinks.append_load(spark, records, audit, store, batch_id)
     sinks.compact_loads(spark, store)
-    sinks.append_load(spark, rows, lambda _: files, store, 1)  # a late replay of a load that the compaction took in
+    sinks.append_load(spark, rows, _files_of, store, 1)  # a late replay of a load that the compaction took in
     held = snapshots.Store(spark, store)
     held.expire(keep=1, older_than=0)
     return ingest.stored_measurements(spark, store).groupBy("file_id", "item_code").agg(F.count("*").alias("n")).withColumn(

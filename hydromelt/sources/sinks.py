@@ -26,24 +26,30 @@ MEASUREMENTS, RUNS, LIMITS = "measurements", "ingestion_runs", "limits"
 def append_load(spark: SparkSession, records: DataFrame, audit: Callable[[DataFrame], DataFrame], store: str, batch_id: int) -> DataFrame:
     """Add one load, its records and one audit row per loaded file, under its batch number and in one commit; returns the audit.
 
-    Records are written once; ``audit`` makes the audit rows from what was written. Repeating a load replaces it. Nothing old is rewritten: readers
+    Records are written once, by the tasks that make them: they are the largest thing here, so they are not shuffled for it, and stay in the order
+    of their rows, in which they pack best. ``audit`` makes the audit rows from what was written. Repeating a load replaces it, unless a
+    compaction has taken it in: then nothing is written. Nothing old is rewritten: readers
     go through :func:`hydromelt.operators.tables.current_rows`, which knows emptied files from the audit.
     """
     held, key, number = Store(spark, store), str(batch_id), F.lit(batch_id)
-    sized = records.withColumn("batch_id", number).hint("rebalance", F.col("item_code"))
-    part = held.write(MEASUREMENTS, key, sized.sortWithinPartitions("item_code", "measured_on"))
+    if key in held.manifest()["folded"]:
+        return audit(records)
+    part = held.write(MEASUREMENTS, key, records.withColumn("batch_id", number))
     runs = held.write(RUNS, key, audit(held.open(part).drop("batch_id")).withColumn("batch_id", number))
     held.commit({(MEASUREMENTS, key): part, (RUNS, key): runs})
     return held.open(runs).drop("batch_id")
 
 
 def compact_loads(spark: SparkSession, store: str) -> int:
-    """Rewrite a store of loads as one part per table that holds only each file's newest load."""
+    """Rewrite a store of loads as one part per table that holds only each file's newest load.
+
+    Records are written as they are read: Spark reads many small files in one task.
+    """
     held = Store(spark, store)
     now = held.manifest()
     runs = held.read(RUNS, now["version"])
     records = current_rows(held.read(MEASUREMENTS, now["version"]), runs)
-    return held.compact({MEASUREMENTS: records, RUNS: current_rows(runs, runs)}, now)
+    return held.compact({MEASUREMENTS: records, RUNS: current_rows(runs, runs).hint("rebalance")}, now)
 
 
 def replace_standard_set(fresh: DataFrame, store: str, standard_set: str = C.DEFAULT_STANDARD_SET) -> int:

@@ -85,7 +85,7 @@ def compact_usage(spark: SparkSession, store: str, horizon: str = USAGE_HORIZON)
     seconds = _seconds(held.read(USAGE, now["version"]))
     newest = seconds.agg(F.max("second")).first()[0]
     live = seconds.where(F.col("second") >= F.lit(newest) - F.expr(f"INTERVAL {horizon}")) if newest else seconds
-    return held.compact({USAGE: live}, now)
+    return held.compact({USAGE: live.hint("rebalance")}, now)
 
 
 def _land(stream: DataFrame, records: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> StreamingQuery:

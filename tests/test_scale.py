@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from hydromelt import config as C, session
 from hydromelt.operators import analysis, melt
 from hydromelt.operators.analysis import AnalysisRequest
+from hydromelt.plans import ingest
+from hydromelt.sources import sinks
+from hydromelt.sources.snapshots import Store
 
 
 def test_a_large_file_is_dealt_over_more_tasks(spark, tmp_path, monkeypatch):
@@ -44,3 +47,21 @@ def test_melt_reads_each_cell_once(spark, capsys):
     assert capsys.readouterr().out.count("transform(") == 1
     got = sorted((r.file_id, r.source_row, r.item_code, r.value_text) for r in found.collect())
     assert got == [("f", 0, "WQ-0", "1"), ("f", 0, "WQ-1", "x"), ("f", 2, "WQ-1", "2")]
+
+
+def test_stored_records_are_not_shuffled(spark, tmp_path, capsys):
+    """Loads, their compaction and reading move no record; a replay of a load that a compaction took in writes nothing."""
+    path = str(tmp_path / "m")
+    records = spark.range(4000).select(F.concat(F.lit("f"), F.col("id") % 50).alias("file_id"), F.col("id").alias("source_row"),
+                                       F.lit("WQ-001").alias("item_code"), F.lit("2024-01-01").alias("measured_on"))
+    files = lambda written: written.select("file_id").distinct()
+    for batch_id in (1, 2):
+        sinks.append_load(spark, records, files, path, batch_id)
+    stored = ingest.stored_measurements(spark, path)
+    stored.explain()
+    shown = capsys.readouterr().out
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and stored.count() == 4000
+    sinks.compact_loads(spark, path)
+    held, folders = Store(spark, path), len(list((tmp_path / "m" / "data").iterdir()))
+    assert sinks.append_load(spark, records, files, path, 1).count() == 50
+    assert len(list((tmp_path / "m" / "data").iterdir())) == folders and held.read(sinks.MEASUREMENTS).count() == 4000
