@@ -7,7 +7,9 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydromelt import config as C
 from hydromelt.operators import matching, melt, summaries, tables
+from hydromelt.operators.joins import checked_broadcast
 from hydromelt.session import stage
 from hydromelt.sources import ndjson, sinks
 from hydromelt.sources.snapshots import Store
@@ -43,7 +45,7 @@ def ingest(columns: DataFrame, data: DataFrame, store: str, as_of: date,
     loaded = data.select("file_id", "source_row")
     if "mapping_run_id" in columns.columns:
         runs = columns.select("file_id", "mapping_run_id").distinct()
-        records = records.join(runs, "file_id", "left")
+        records = records.join(checked_broadcast(runs, C.BROADCAST_FILES), "file_id", "left")
 
     def audit(written: DataFrame) -> DataFrame:
         rows = summaries.ingestion_audit(written, loaded).withColumns({

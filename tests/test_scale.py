@@ -65,3 +65,16 @@ def test_stored_records_are_not_shuffled(spark, tmp_path, capsys):
     held, folders = Store(spark, path), len(list((tmp_path / "m" / "data").iterdir()))
     assert sinks.append_load(spark, records, files, path, 1).count() == 50
     assert len(list((tmp_path / "m" / "data").iterdir())) == folders and held.read(sinks.MEASUREMENTS).count() == 4000
+
+
+def test_ingestion_moves_no_record_for_its_run(spark, monkeypatch, capsys):
+    """The mapping run of each file is sent along with the layouts."""
+    monkeypatch.setattr(sinks, "append_load", lambda _, records, audit, store, batch_id: records)
+    data = spark.createDataFrame([("f", 0, ["1"])], "file_id string, source_row long, cells array<string>")
+    columns = spark.createDataFrame([("f", 0, "c", "WQ-1", C.DICT_MEASUREMENT, None, 7)],
+                                    "file_id string, column_index int, raw string, code string, dict_type string, site string, mapping_run_id long")
+    records = ingest.ingest(columns, data, "", date(2024, 1, 1), "1")
+    records.explain()
+    shown = capsys.readouterr().out
+    assert shown.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in shown
+    assert [(r.file_id, r.item_code, r.mapping_run_id) for r in records.collect()] == [("f", "WQ-1", 7)]
