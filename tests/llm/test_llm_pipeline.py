@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -75,3 +76,15 @@ def test_the_chain_over_no_rows(spark, odd_docs, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     odd_docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark, tmp_path):
+    spark.range(40).selectExpr("id AS doc_id", "repeat('x', 1000000) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "held": [sum(map(len, batch.column("text").to_pylist()))]})
+
+    found = table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long, held long").collect()
+    assert sum(r["n"] for r in found) == 40
+    assert max(r["held"] for r in found) <= 8_000_000
